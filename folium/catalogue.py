@@ -1,0 +1,22 @@
+"""All queries over the sample tables, and the SQL that each is checked against."""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    query = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    dot = F.aggregate(F.zip_with("embedding", "q", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    scored = e.join(F.broadcast(query)).select((F.col("vec_id") / 5).cast("long").alias("doc"), dot.alias("cosine"))
+    return scored.groupBy("doc").agg(F.round(F.max("cosine"), 6).alias("cosine")).orderBy(F.desc("cosine"), "doc").limit(8)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"semantic_topk": semantic_topk}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
