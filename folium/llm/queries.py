@@ -2,10 +2,10 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, mixing, sharding
+from folium.llm import bpe, mixing, near_dedup, quality_classifier, quality_rules, sharding, topk_search
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -14,11 +14,23 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _crc(doc_id: Column, parts: int) -> Column:
+    return F.crc32(doc_id.cast("string")) % parts
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "source", mixing.word_count(F.col("text")).alias("_size"), mixing.quality_weight(F.col("text")).alias("_quality"))
     return mixing.mix(docs, F.col("_size"), F.col("_quality")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_documents(spark, sf_dir), k=3, limit=85)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir), TOKENIZER)
 
@@ -31,8 +43,22 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("key"), "grown_shard": sharding.shard_of(F.col("doc_id"), [1.0] * 9).cast("int")})
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(topk_search.usable(F.col("embedding")))
+    vectors = rows.select("vec_id", topk_search.grid(F.col("embedding")).alias("v"))
+    return topk_search.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(_crc(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = quality_classifier.fit(docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_classifier.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_mixing, op7_bpe, op8_sharding]
+    found = [op4_quality_rules, op5_mixing, op6_near_dedup, op7_bpe, op8_sharding, op9_topk_search, op10_quality_classifier]
     return {f.__name__: f for f in found}
 
 
