@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, mixing, near_dedup, quality_classifier, quality_rules, sharding, suffix_arrays, suffix_trees, topk_search
+from folium.llm import bpe, language_model, mixing, near_dedup, quality_classifier, quality_rules, sharding, suffix_arrays, suffix_trees, topk_search
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
@@ -18,6 +18,14 @@ def _crc(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % parts
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    held_out = F.coalesce(_crc(F.col("doc_id"), 10) == 0, F.lit(False))
+    model = language_model.train(docs.where(~held_out))
+    scored = language_model.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return suffix_arrays.remove_repeats(docs, window=100).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -68,7 +76,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_suffix_arrays, op3_suffix_trees, op4_quality_rules, op5_mixing, op6_near_dedup, op7_bpe, op8_sharding, op9_topk_search, op10_quality_classifier]
+    found = [op1_katz_backoff, op2_suffix_arrays, op3_suffix_trees, op4_quality_rules, op5_mixing, op6_near_dedup, op7_bpe, op8_sharding, op9_topk_search, op10_quality_classifier]
     return {f.__name__: f for f in found}
 
 
