@@ -9,6 +9,7 @@ coordinate; otherwise only those long enough remain. Products of the candidates
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +42,9 @@ def length_buckets(vectors: DataFrame, rows: int) -> DataFrame:
     return dealt.withColumn("bucket", F.spark_partition_id())
 
 
-def _matrix(table: pa.Table, width: int) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows padded with zeros to width."""
-    lists = table["v"].combine_chunks()
+    lists = column.combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     out = np.zeros((len(lists), width))
     if len(lists):
@@ -65,10 +66,10 @@ def best(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
     none = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
     if not queries.num_rows or not vectors.num_rows:
         return none
-    width = max(max(len(x.as_py()) for x in t["v"]) for t in (queries, vectors))
-    q, v = _matrix(queries, width), _matrix(vectors, width)
-    q_id, v_id = queries["vec_id"].to_numpy(), vectors["vec_id"].to_numpy()
-    q_len, v_len = queries["length"].to_numpy(), vectors["length"].to_numpy()
+    width = max(pc.max(pc.list_value_length(x)).as_py() for x in (queries["q"], vectors["v"]))
+    q, v = _matrix(queries["q"], width), _matrix(vectors["v"], width)
+    q_id, v_id = queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy()
+    q_len, v_len = queries["q_length"].to_numpy(), vectors["length"].to_numpy()
     floor = queries["floor"].to_numpy(zero_copy_only=False)
     order = np.lexsort((v_id, -v_len))
     v, v_id, v_len = v[order], v_id[order], v_len[order]
@@ -124,22 +125,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     with zeros. An empty table, or one without queries, gives no rows."""
     vectors = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "v").dropDuplicates()
     bucketed = written(length_buckets(vectors, BUCKET_ROWS), "topk-buckets")
-    queries = bucketed.where(is_query).select("vec_id", "v", "length")
+    # new names, as the queries meet the table that they come from
+    queries = bucketed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("length").alias("q_length"))
     n_buckets = bucketed.agg(F.max("bucket")).first()[0]
     n_buckets = 1 if n_buckets is None else n_buckets + 1
     n_chunks = max(1, -(-queries.count() // QUERY_ROWS))
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.lit(n_chunks)).cast("int"))
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int"))
 
     def meet(asked: DataFrame, against: DataFrame, first: int, last: int) -> DataFrame:
         left = asked.withColumn("bucket", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        right = against.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+        right = against.select("vec_id", "v", "length", F.col("bucket").alias("of_bucket")).withColumn("of_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
         run = lambda key, a, b: best(a, b, k)
-        return left.groupBy("bucket", "chunk").cogroup(right.groupBy("bucket", "chunk")).applyInArrow(run, RESULT)
+        return left.groupBy("bucket", "chunk").cogroup(right.groupBy("of_bucket", "of_chunk")).applyInArrow(run, RESULT)
 
     none = queries.withColumn("floor", F.lit(float("-inf")))
     seeds = meet(none, bucketed.where("bucket = 0"), 0, 0)
     floors = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("_floor"))
-    asked = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("_floor", F.lit(float("-inf")))).drop("query_id", "_floor")
+    asked = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("_floor", F.lit(float("-inf")))).drop("_floor")
     found = seeds
     if n_buckets > 1:
         found = seeds.unionByName(meet(asked, bucketed.where("bucket > 0"), 1, n_buckets - 1))
