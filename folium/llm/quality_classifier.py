@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.storage import written
@@ -24,6 +24,8 @@ BUCKETS = 1 << BUCKET_BITS
 #: Bounds of what is fitted on the driver: the rows whose hashed ids are smallest.
 FIT_ROWS = 12_000
 CALIBRATION_ROWS = 6_000
+#: Bits of the filter of labelled ids (4 MB), whatever their number; where they fill it, it lets more pass.
+FILTER_BITS = 1 << 25
 #: A text's features are summed up from so many rows of counts a task.
 PARTS = 16
 
@@ -70,20 +72,39 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.a * self.margins(document, bucket, n) + self.b, -50, 50)))
 
 
+def _filter_places(column: str) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(F.lit(salt), column), F.lit(FILTER_BITS)).cast("int") for salt in (1, 2)])
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a column, eight bits a byte. The driver gets FILTER_BITS / 64 rows at most."""
+    bits = ids.select(F.explode(_filter_places(column)).alias("bit"))
+    word = F.shiftright("bit", 6)
+    found = bits.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[found["word"]] = found["bits"]
+    return out.view(np.uint8)
+
+
 def labelled_features(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, label, buckets (rising 32-bit numbers) of every labelled text; others are dropped."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"))
-    joined = docs.select("doc_id", "text").join(marks, "doc_id")
+    """doc_id, label, buckets (rising 32-bit numbers) of every labelled text; others are dropped.
+
+    A filter of fixed size keeps most texts without a label from being shuffled; the join decides."""
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    passing = docs.sparkSession.sparkContext.broadcast(id_filter(marks, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch):
+            place = batch["places"].flatten().to_numpy().reshape(-1, 2)
+            passes = ((passing.value[place >> 3] >> (place & 7)) & 1).all(1)
+            for part in sliced(batch.filter(pa.array(passes))):
                 document, bucket = features(*flat(part["text"]))
                 edges = np.searchsorted(document, np.arange(part.num_rows + 1))
                 blobs = [bucket[s:e].astype(np.int32).tobytes() for s, e in zip(edges, edges[1:])]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), part["_label"], pa.array(blobs, pa.binary())], names=["doc_id", "label", "buckets"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "buckets"])
 
-    return joined.mapInArrow(run, "doc_id long, label int, buckets binary")
+    chosen = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _filter_places("doc_id").alias("places"))
+    return chosen.mapInArrow(run, "doc_id long, buckets binary").join(marks, "doc_id").select("doc_id", "label", "buckets")
 
 
 def class_counts(found: DataFrame) -> np.ndarray:
