@@ -2,9 +2,10 @@
 
 Texts with the same set of shingles form a class, and one text stands for it from there on. Its
 MinHash samples give band keys; texts that share a key are candidates. Within a bucket every text is
-first paired with the least one, so pairs stay in proportion to the texts; then only texts of one
-bucket that are still in different components are paired. Odd sketches (parity bitmaps of the samples)
-drop pairs that are far below the limit, and the rest is checked on the full sets.
+first paired with the least one, so pairs stay in proportion to the texts. Buckets whose texts are then
+still in different components are gathered into groups, and each task compares two blocks of a group:
+it looks only at texts of different components, and gives only links that join two. Odd sketches (parity
+bitmaps of the samples) drop pairs far below the limit; the rest is checked on the full sets.
 
 With 32 bands of 4 samples a pair at similarity 0.85 shares no key with probability 6e-11 (0.8: 5e-8).
 A sketch drops a pair only if its estimate is SLACK below the limit, some 5 standard deviations.
@@ -25,6 +26,8 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 SLACK = 0.2
+#: Texts in a block of a group.
+BLOCK_ROWS = 4096
 
 _FACTORS = mix(np.arange(1001, 1001 + SAMPLES, dtype=U64)) | U64(1)
 _SEEDS = mix(np.arange(5001, 5001 + SAMPLES, dtype=U64))
@@ -157,6 +160,62 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def joining_links(block: np.ndarray, component: np.ndarray, sketch: np.ndarray, sets: list[np.ndarray], limit: int) -> list[tuple[int, int]]:
+    """Rows of two blocks (or of one) whose sets are linked, one link for each two components that meet."""
+    names = np.unique(np.concatenate(sets), return_inverse=True)[1] if sets else np.zeros(0, dtype=np.int64)
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    start = np.concatenate(([0], np.cumsum(size)))
+    maps = sketch.view(U64)
+    across = block.min(initial=0) != block.max(initial=0)
+    component = component.copy()
+    marked = np.zeros(len(names) + 1, dtype=bool)
+    links = []
+    for one in range(len(sets)):
+        rest = slice(one + 1, None)
+        other = component[rest] != component[one]
+        if across:
+            other &= block[rest] != block[one]
+        other &= 100 * np.minimum(size[rest], size[one]) >= limit * np.maximum(size[rest], size[one])
+        at = np.flatnonzero(other) + one + 1
+        if not len(at):
+            continue
+        odd = np.bitwise_count(maps[at] ^ maps[one]).sum(1, dtype=np.int64)
+        share = 1 - 2 * odd / SKETCH_BITS
+        at = at[1 + SKETCH_BITS / (4 * SAMPLES) * np.log(np.maximum(share, 1e-9)) >= limit / 100 - SLACK]
+        if not len(at):
+            continue
+        own = names[start[one] : start[one + 1]]
+        marked[own] = True
+        place = np.repeat(start[at] - np.concatenate(([0], np.cumsum(size[at])[:-1])), size[at]) + np.arange(size[at].sum())
+        common = np.add.reduceat(marked[names[place]].astype(np.int64), np.concatenate(([0], np.cumsum(size[at])[:-1])))
+        marked[own] = False
+        for two in at[100 * common >= limit * (size[at] + size[one] - common)]:
+            if component[two] != component[one]:
+                links.append((one, int(two)))
+                component[component == component[two]] = component[one]
+    return links
+
+
+def _links_across(placed: DataFrame, sketches: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
+    """Links between texts that share a bucket (key, doc_id, component) and are of different components."""
+    heads = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("head")).where("low < high")
+    mixed = written(placed.join(heads.select("key", "head"), "key"), "mixed-buckets")
+    groups = components(mixed, "doc_id", "head").withColumnsRenamed({"node": "doc_id", "component": "group"})
+    counts = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = mixed.select("doc_id", "component").distinct().join(groups, "doc_id").join(counts, "group")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(sketches, "doc_id").join(sets, "doc_id").select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "component", "block", "sketch", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids = table["doc_id"].to_numpy()
+        maps = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        sets = [_hashes(x.as_py()) for x in table["shingles"]]
+        found = np.array(joining_links(table["block"].to_numpy(), table["component"].to_numpy(), maps, sets, limit), dtype=np.int64).reshape(-1, 2)
+        return pa.table({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
+
+    return rows.groupBy("group", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, limit: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; documents are linked if their sets of
     k-word shingles have a similarity of limit hundredths or more.
@@ -180,14 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, limit: int = 80) -> DataFrame:
     links = written(_confirmed(pairs, sets, limit), "star-links")
     so_far = components(links)
 
-    # texts of one bucket in different components: pairs across, but for those checked above
     placed = shared.join(so_far.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    left = placed.join(split, "key")
-    right = left.select("key", F.col("doc_id").alias("b"), F.col("component").alias("component_b"))
-    across = left.withColumnRenamed("doc_id", "a").join(right, "key").where("a > b and component != component_b").select("a", "b").distinct()
-    fresh = written(_sketched(across.join(stars, ["a", "b"], "left_anti"), sketches, limit), "cross-pairs")
-    more = _confirmed(fresh, sets, limit)
+    more = written(_links_across(placed, sketches, sets, limit), "links-across")
     reached = components(links.unionByName(more))
 
     of_class = classes.join(reached.withColumnRenamed("node", "class_id"), "class_id", "left").select("set_high", "set_low", F.coalesce("component", "class_id").alias("component"))
