@@ -1,8 +1,10 @@
 """Checks of stored embeddings against the library, and of ranges in one large store."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folium.operators.ordered import running
+
 
 def embedding_shape(embeddings: DataFrame) -> DataFrame:
     """n, dim of a model's embeddings; fails if they differ in length."""
@@ -29,14 +31,14 @@ def coverage(library: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def compacted(ranges: DataFrame) -> DataFrame:
     """Ranges (id, start, len, deleted) that stay, moved down by what was deleted before them."""
-    before = Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.sum(F.when(F.col("deleted"), F.col("len")).otherwise(0)).over(before), F.lit(0))
-    return ranges.withColumn("new_start", F.col("start") - gone).where(~F.col("deleted")).select("id", "new_start", "len")
+    gone = F.when(F.col("deleted"), F.col("len")).otherwise(0)
+    moved = running(ranges, ["start"], gone, "gone")
+    return moved.where(~F.col("deleted")).select("id", (F.col("start") - F.coalesce("gone", F.lit(0))).alias("new_start"), "len")
 
 
 def range_faults(ranges: DataFrame) -> DataFrame:
     """id, fault of ranges (id, start, len): negative, overlap with an earlier one, or gap before it."""
-    before = Window.orderBy("start", "id").rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.col("start") + F.col("len")).over(before)
-    fault = F.when((F.col("start") < 0) | (F.col("len") < 0), "negative").when(F.col("start") < F.coalesce(reach, F.lit(0)), "overlap").when(F.col("start") > F.coalesce(reach, F.lit(0)), "gap")
-    return ranges.withColumn("fault", fault).where("fault is not null").select("id", "fault")
+    reached = running(ranges, ["start", "id"], F.col("start") + F.col("len"), "reach", "max")
+    reach = F.coalesce("reach", F.lit(0))
+    fault = F.when((F.col("start") < 0) | (F.col("len") < 0), "negative").when(F.col("start") < reach, "overlap").when(F.col("start") > reach, "gap")
+    return reached.withColumn("fault", fault).where("fault is not null").select("id", "fault")

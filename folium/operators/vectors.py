@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.operators.ordered import running
+
 #: Rows of a query table that one search may broadcast.
 MOST_QUERIES = 1000
 
@@ -105,7 +107,8 @@ def document_hues(chunks: DataFrame) -> DataFrame:
     """doc, hue: the place of each document in their order, over their number."""
     docs = chunks.select("doc").distinct()
     total = docs.agg(F.count("*").alias("_n"))
-    return docs.withColumn("_i", F.row_number().over(Window.orderBy("doc")) - 1).crossJoin(F.broadcast(total)).select("doc", (F.col("_i") / F.col("_n")).alias("hue"))
+    placed = running(docs, ["doc"], F.lit(1), "_i")
+    return placed.crossJoin(F.broadcast(total)).select("doc", (F.coalesce("_i", F.lit(0)) / F.col("_n")).alias("hue"))
 
 
 def projected(chunks: DataFrame, axes: int = 3) -> DataFrame:
