@@ -18,7 +18,9 @@ from folium.llm.storage import written
 from folium.llm.words import BYTE_KEYS, U64, Stretches, document_of, flat, sliced, word_hashes, words
 
 #: About so many units of stretches for each shard.
-SHARD_UNITS = {"bytes": 3 << 20, "words": 1 << 20}
+SHARD_UNITS = {"bytes": 2 << 20, "words": 1 << 19}
+#: Texts are worked on in slices of about so many bytes: each byte takes some 100 bytes of arrays here.
+SLICE = 1 << 20
 
 #: Given the bodies of stretches, their documents and first units: document, start, end of removed ranges.
 Finder = Callable[[Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -58,7 +60,7 @@ def anchors(values: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tup
 def _anchor_rows(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, limit=SLICE):
                 values, offsets, _, _ = units(part["text"], unit)
                 at, grams = anchors(values, offsets, window, k)
                 document = np.searchsorted(offsets, at, side="right") - 1
@@ -73,7 +75,7 @@ def _stretches(docs: DataFrame, homes: DataFrame, unit: str, window: int, k: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, limit=SLICE):
                 values, offsets, first, last = units(part["text"], unit)
                 lists = part["anchors"]
                 at_home = lists.flatten()

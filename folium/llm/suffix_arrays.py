@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from folium.llm.repeats import merged, range_arrays, with_removed_ranges
+from folium.llm.repeats import SLICE, merged, range_arrays, with_removed_ranges
 from folium.llm.words import flat, sliced
 
 #: Arrays of more bytes stand in unlinked files of the task; so do a queue's tuples beyond so many.
@@ -365,7 +365,7 @@ def remove_repeats(docs: DataFrame, window: int = 100, k: int | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, limit=SLICE):
                 data, offsets = flat(part["text"])
                 row, start, end = range_arrays(part["ranges"])
                 raw, size = data.tobytes(), np.diff(offsets)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from folium.llm.repeats import merged, range_arrays, with_removed_ranges
+from folium.llm.repeats import SLICE, merged, range_arrays, with_removed_ranges
 from folium.llm.words import flat, sliced, word_hashes, words
 
 #: Suffixes whose subtrees are built at once.
@@ -119,7 +119,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, limit=SLICE):
                 data, offsets = flat(part["text"])
                 first, last, of_words = words(data, offsets)
                 row, start, end = range_arrays(part["ranges"])
