@@ -15,10 +15,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def written_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def append(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
+    """Adds the rows of df to the table of a path."""
+    df.write.mode("append").partitionBy(*partition_by).parquet(path)
+
+
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = written_folder(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.folder = path
