@@ -11,14 +11,19 @@ import json
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from folium.llm.words import sliced
+
 #: The pattern that splits a text before byte-level BPE.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: So many different pieces are kept encoded in each Python worker, some 300 bytes each.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
+#: So many tested pairs of tokens, some 200 bytes each.
+KEPT_PAIRS = 500_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,7 +75,7 @@ class PrefixEncoder:
     def compatible(self, left: int, right: int) -> bool:
         key = (left, right)
         if key not in self.pairs:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
             self.pairs[key] = self.merged(self.bytes[left] + self.bytes[right]) == [self.bytes[left], self.bytes[right]]
         return self.pairs[key]
@@ -140,20 +145,22 @@ def encode(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(content.value)
         for batch in batches:
-            counts, hashes, decoded, ids = [], [], [], []
-            for text in batch["text"]:
-                found = bpe.encode(text.as_py() or "")
-                joined = ",".join([x[1] for x in found])
-                counts.append(sum([x[0] for x in found]))
-                hashes.append(hashlib.sha256(joined.encode()).hexdigest())
-                back = b"".join([x[2] for x in found]).decode("utf-8", "replace")
-                decoded.append(hashlib.sha256(back.encode()).hexdigest())
+            for part in sliced(batch):
+                counts, hashes, decoded, ids = [], [], [], [np.zeros(0, dtype=np.int32)]
+                for text in part["text"]:
+                    found = bpe.encode(text.as_py() or "")
+                    joined = ",".join([x[1] for x in found])
+                    counts.append(sum([x[0] for x in found]))
+                    hashes.append(hashlib.sha256(joined.encode()).hexdigest())
+                    back = b"".join([x[2] for x in found]).decode("utf-8", "replace")
+                    decoded.append(hashlib.sha256(back.encode()).hexdigest())
+                    if with_ids and joined:
+                        ids.append(np.fromiter(map(int, joined.split(",")), dtype=np.int32, count=counts[-1]))
+                columns = [part["doc_id"].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    ids.append([int(i) for i in joined.split(",")] if joined else [])
-            columns = [batch["doc_id"].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    edges = np.cumsum([0, *counts], dtype=np.int32)
+                    columns, names = [*columns, pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(ids)))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
