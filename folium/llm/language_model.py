@@ -2,8 +2,8 @@
 
 A document is a start, its words without case, and an end. An n-gram's key is a polynomial over the hashes of its
 tokens, so history and suffix follow from key, last and first token. Counts of r = 1 to 5 keep the share
-d(r) by Good and Turing; n-grams of two tokens or more that occur once keep none, which leaves their
-whole count to the backoff. An n-gram g = (h, w) has log P(w|h) = log(d * count(g) / count(h)) if it is
+d(r) by Good and Turing. The whole model has every n-gram (least = 1); with a larger least, n-grams of two
+tokens or more that occur less often keep none, which leaves their whole count to the backoff. An n-gram g = (h, w) has log P(w|h) = log(d * count(g) / count(h)) if it is
 in the table, else log alpha(h) + log P(w|h'), h' without h's first token; alpha(h) is what the table
 leaves of h over what the next lower order leaves, so that all P(w|h) sum to 1 exactly.
 
@@ -113,9 +113,10 @@ def _release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def _counted(docs: DataFrame, order: int, shards: int, its_round: int) -> DataFrame:
+def _counted(docs: DataFrame, order: int, shards: int, its_round: int, least: int) -> DataFrame:
     """gram, key, hist, suffix, n, types: a row for each n-gram of the round, of order tokens at most, with the
-    keys of its history and suffix. Those of two tokens or more that occur once are only numbered (key null, n 1)."""
+    keys of its history and suffix. Those of two tokens or more that occur less than least times are only numbered
+    (key null), count by count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,13 +152,14 @@ def _counted(docs: DataFrame, order: int, shards: int, its_round: int) -> DataFr
         key, n = key[by], n[by].astype(np.int64)
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         total = np.add.reduceat(n, edge)
-        kept = total >= (1 if gram == 1 else 2)
+        kept = total >= (1 if gram == 1 else least)
         key, one = key[edge[kept]], by[edge[kept]]
         word = ends[0, one] if gram > 1 else key
         suffix = key - ends[1, one] * U64(pow(BASE, gram - 1, 1 << 64)) if gram > 2 else word
         columns = [*[x.view(np.int64) for x in (key, (key - word) * U64(INVERSE), suffix)], total[kept], np.ones(len(one), dtype=np.int64)]
-        once = [None, None, None, 1, int((~kept).sum())]
-        out = pa.table({c: pa.concat_arrays([pa.array(x, pa.int64()), pa.array([y], pa.int64())]) for c, x, y in zip(_COUNTED, columns, once)})
+        rare, types = np.unique(total[~kept], return_counts=True)
+        none = [None] * len(rare)
+        out = pa.table({c: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for c, x, y in zip(_COUNTED, columns, [none, none, none, rare, types])})
         return out.append_column("gram", pa.array(np.full(out.num_rows, gram, dtype=np.int32)))
 
     packed = docs.mapInArrow(run, "gram int, shard int, key binary, used binary, number binary, n binary")
@@ -198,16 +200,17 @@ class KatzModel:
     smooth: float
 
 
-def train(docs: DataFrame, order: int = 3, smooth: float = 0.1) -> KatzModel:
+def train(docs: DataFrame, order: int = 3, smooth: float = 0.1, least: int = 2) -> KatzModel:
     """The model of the texts of docs; a null text is an empty one. Of no document at all: no n-grams,
-    and every token is unknown with probability 1."""
+    and every token is unknown with probability 1. least: how often n-grams of two tokens or more occur
+    that are in the table; 1 gives the whole model."""
     spark = docs.sparkSession
     docs = docs.select("text")
     n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     shards = max(1, -(-size // (6 * SHARD_TOKENS)))
     grams = []
     for its_round in range(ROUNDS):
-        grams.append(written(_counted(docs, order, shards, its_round), "grams", ("gram",)))
+        grams.append(written(_counted(docs, order, shards, its_round, least), "grams", ("gram",)))
         _release(spark)
     together = lambda tables: reduce(DataFrame.unionByName, tables)
     by_count = together(grams).where(F.col("n") <= LARGEST_DISCOUNTED + 1).groupBy("gram", "n").agg(F.sum("types").alias("types")).collect()
@@ -241,8 +244,10 @@ def train(docs: DataFrame, order: int = 3, smooth: float = 0.1) -> KatzModel:
             _release(spark)
         sums = together(own).groupBy("hist").agg(F.sum(kept[n]).alias("kept"), F.sum("p_lower").alias("p_lower"))
         counts = lower.select(F.col("key").alias("hist"), F.col("n").alias("n_hist")).unionByName(begin)
-        # a history keeps half a token at least for what the table does not hold
-        scale = F.least(F.lit(1.0), (F.col("n_hist") - 0.5) / F.col("kept"))
+        # a history keeps half a token for what the table does not hold: at least, or in the whole model, where
+        # most histories have one token and d(1) is what it keeps, only if discounting frees nothing
+        half = (F.col("n_hist") - 0.5) / F.col("kept")
+        scale = F.least(F.lit(1.0), half) if least > 1 else F.when(F.col("kept") < F.col("n_hist"), 1.0).otherwise(half)
         alpha = (1 - F.col("kept") * scale / F.col("n_hist")) / F.greatest(1 - F.col("p_lower"), F.lit(1e-12))
         backoff = written(sums.join(counts, "hist").select("hist", alpha.alias("alpha"), (scale / F.col("n_hist")).alias("scale")), f"backoff-{n - 1}")
         _release(spark)

@@ -1,0 +1,63 @@
+import collections
+import math
+
+import pytest
+
+from folium.llm import language_model, queries
+from tests.llm.test_language_model import Plain, _texts, _tokens
+
+
+class Whole(Plain):
+    """The Katz model that has every n-gram, those that occur once too, by recursion."""
+
+    def __init__(self, texts):
+        super().__init__(texts)
+        self.sums = collections.defaultdict(lambda: [0.0, 0.0])
+        for n in (2, 3):
+            for g in self.counts[n]:
+                s = self.sums[g[:-1]]
+                s[0] += self.kept(g)
+                s[1] += self.p(g[-1], g[1:-1])
+
+    def p(self, w, history):
+        if not history:
+            return super().p(w, history)
+        g = (*history, w)
+        if history not in self.sums:
+            return self.p(w, history[1:])
+        n = self.starts if history == ("<s>",) else self.counts[len(history)][history]
+        kept, lower = self.sums[history]
+        scale = 1.0 if kept < n else (n - 0.5) / kept
+        if g in self.counts[len(g)]:
+            return self.kept(g) * scale / n
+        return (1 - kept * scale / n) / (1 - lower) * self.p(w, history[1:])
+
+
+def _frame(spark, texts):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+
+
+def test_ngrams_that_occur_once_are_in_the_table_with_their_share(spark):
+    texts = _texts()
+    docs = _frame(spark, texts)
+    model = language_model.train(docs.where("doc_id % 3 != 0"), least=1)
+    plain = Whole([_tokens(t) for i, t in enumerate(texts) if i % 3])
+    held = {r["gram"]: r["count"] for r in model.table.groupBy("gram").count().collect()}
+    assert held == {n: len(plain.counts[n]) for n in (1, 2, 3)}
+    assert sum(c == 1 for c in plain.counts[3].values()) > held[3] / 2
+    for history in [("<s>",), *list(plain.sums)[:40]]:
+        assert sum(plain.p(w, history) for (w,) in plain.counts[1]) + plain.p("unseen", history) == pytest.approx(1, abs=1e-9)
+    rows = {r["doc_id"]: r["score"] for r in language_model.score(docs, model).collect()}
+    for i, text in enumerate(texts):
+        line = ["<s>", *_tokens(text)]
+        assert rows[i] == pytest.approx(sum(math.log10(plain.p(line[j], tuple(line[max(0, j - 2) : j]))) for j in range(1, len(line))))
+
+
+def test_query_scores_with_the_whole_model(spark, tmp_path):
+    texts = _texts()
+    _frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op1_katz_backoff(spark, str(tmp_path)).collect()
+    plain = Whole([_tokens(texts[r["doc_id"]]) for r in rows if not r["held_out"]])
+    for r in rows:
+        line = ["<s>", *_tokens(texts[r["doc_id"]])]
+        assert r["score"] == pytest.approx(sum(math.log10(plain.p(line[j], tuple(line[max(0, j - 2) : j]))) for j in range(1, len(line))))
