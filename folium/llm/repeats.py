@@ -4,7 +4,9 @@ Windows are so many consecutive units (bytes, or words) of one document. Of the
 least by hash is its anchor, so equal windows have equal anchors at the same place. The least document
 that holds an anchor is the anchor's home. A document sends, for each home, the stretches around its
 anchors of that home; so all occurrences of a window that occurs twice meet in the shard of one home.
-Documents without repeated anchors send nothing, and every text is shuffled once.
+Documents without repeated anchors send nothing, and every text is shuffled once. Of the stretches of a
+home with one body only the earliest is searched: every window of another one starts earlier there, so
+that one is removed whole.
 """
 
 from collections.abc import Callable, Iterator
@@ -71,9 +73,11 @@ def _anchor_rows(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
 
 
 def _stretches(docs: DataFrame, homes: DataFrame, unit: str, window: int, k: int) -> DataFrame:
-    """home, doc_id, start (in units), body of every stretch."""
+    """home, doc_id, start and n (in units), body of every stretch. The body is null, and the home is the
+    document's own, if the task has had the same stretch of an earlier place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earliest: dict[int, tuple[int, int]] = {}  # place of a stretch by the hash of its home and body
         for batch in batches:
             for part in sliced(batch, limit=SLICE):
                 values, offsets, first, last = units(part["text"], unit)
@@ -96,9 +100,23 @@ def _stretches(docs: DataFrame, homes: DataFrame, unit: str, window: int, k: int
                 shift = offsets[document]
                 bodies = [data[s:e].tobytes() for s, e in zip(first[shift + low], last[shift + high - 1])] if len(low) else []
                 ids = part["doc_id"].to_numpy(zero_copy_only=False)[document]
-                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int64()), pa.array(ids, pa.int64()), pa.array(low, pa.int64()), pa.array(bodies, pa.binary())], names=["home", "doc_id", "start", "body"])
+                for i, place in enumerate(zip(ids.tolist(), low.tolist())):
+                    key = hash((int(home[i]), bodies[i]))
+                    if earliest.setdefault(key, place) < place:
+                        bodies[i] = None
+                    else:
+                        earliest[key] = place
+                home = np.where([b is None for b in bodies], ids, home) if len(bodies) else home
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in (home, ids, low, high - low)], pa.array(bodies, pa.binary())], names=["home", "doc_id", "start", "n", "body"])
 
-    return docs.join(homes, "doc_id").mapInArrow(run, "home long, doc_id long, start long, body binary")
+    return docs.join(homes, "doc_id").mapInArrow(run, "home long, doc_id long, start long, n long, body binary")
+
+
+def _searched_once(stretches: DataFrame) -> DataFrame:
+    """The same over all tasks, which send one another a copy of each stretch at most, or few."""
+    copy = F.expr("row_number() over (partition by home, n, xxhash64(body) order by doc_id, start)")
+    first = F.col("_copy") == 1
+    return stretches.withColumn("_copy", copy).select(F.when(first, F.col("home")).otherwise(F.col("doc_id")).alias("home"), "doc_id", "start", "n", F.when(first, F.col("body")).alias("body"))
 
 
 def merged(document: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,11 +161,22 @@ def with_removed_ranges(docs: DataFrame, unit: str, window: int, k: int, find: F
     shards = max(1, -(-n_units // SHARD_UNITS[unit]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((b["doc_id"].to_numpy(), b["start"].to_numpy(), b["body"].to_pylist()) for b in batches if b.num_rows)
-        document, start, end = merged(*find(rows))
+        copies = [np.zeros((3, 0), dtype=np.int64)]
+
+        def rows() -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+            for b in batches:
+                whole = b.filter(b["body"].is_null())
+                place, n = (whole["doc_id"].to_numpy(), whole["start"].to_numpy()), whole["n"].to_numpy()
+                copies.append(np.stack([*place, place[1] + n]))
+                b = b.filter(b["body"].is_valid())
+                if b.num_rows:
+                    yield b["doc_id"].to_numpy(), b["start"].to_numpy(), b["body"].to_pylist()
+
+        found = np.stack(find(rows()))
+        document, start, end = merged(*np.concatenate([found, *copies], axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (document, start, end)], names=["doc_id", "start", "end"])
 
-    stretches = _stretches(once, homes, unit, window, k).repartition(shards, "home")
+    stretches = _searched_once(_stretches(once, homes, unit, window, k)).repartition(shards, "home")
     ranges = stretches.mapInArrow(run, "doc_id long, start long, end long")
     of_doc = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return order.join(of_doc.withColumnRenamed("doc_id", "_order"), "_order", "left").drop("_order")
