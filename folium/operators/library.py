@@ -1,7 +1,13 @@
 """Library operators: joins of files, texts, metadata and caches; inventories; snapshots of a sync."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from folium.functions import keys as key_language
 from folium.functions import text as text_functions
@@ -113,6 +119,54 @@ def normalised_metadata(raw: DataFrame) -> DataFrame:
 
 
 def moving_average(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """timing of each key: the first value, then (4 * old + new) / 5 for each one after it, in order."""
-    folded = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value].cast("double")), F.lit(None).cast("double"), lambda acc, v: F.when(acc.isNull(), v).otherwise((acc * 4 + v) / 5))
-    return samples.groupBy(*keys).agg(folded.alias("timing"))
+    """timing of each key: the first value, then (4 * old + new) / 5 for each one after it, in order.
+
+    A null value makes the average start anew. Stretches of the order are folded one by one, and each key's
+    stretches, a task's worth each, put together: old becomes old * weight + rest, or alone where there is no
+    old or a null is among the values."""
+    by = [*keys, "_order", "_value"]
+    rows = samples.select(*keys, F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"))
+    parts = {"weight": DoubleType(), "rest": DoubleType(), "alone": DoubleType()}
+    schema = StructType([*rows.schema, *[StructField(name, kind) for name, kind in parts.items()]])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, weight, rest, alone = None, 1.0, 0.0, None
+
+        def stretch() -> pa.RecordBatch:
+            sums = [pa.array([x], pa.float64()) for x in (weight, rest, alone)]
+            return pa.RecordBatch.from_arrays([*first.columns, *sums], names=schema.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column("_value").to_pylist()
+            new = np.zeros(len(values), dtype=bool)
+            # the row before each one, which is the last batch's for the first
+            before = pa.Table.from_batches([first if first is not None else batch.slice(0, 1), batch.slice(0, len(values) - 1)])
+            for key in keys:
+                a, b = before[key].combine_chunks(), batch.column(key)
+                same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
+                none = pc.and_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+                new |= ~(same | none)
+            new[0] |= first is None
+            edges = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), len(values)]
+            for start, end in zip(edges, edges[1:]):
+                if new[start]:
+                    if first is not None:
+                        yield stretch()
+                    first, weight, rest, alone = batch.slice(start, 1), 1.0, 0.0, None
+                for v in values[start:end]:
+                    if v is None:
+                        weight = rest = alone = None
+                    else:
+                        alone = v if alone is None else (alone * 4 + v) / 5
+                        if weight is not None:
+                            # never 0, so that what is infinite stays so
+                            weight, rest = max(weight * 4 / 5, 5e-324), (rest * 4 + v) / 5
+        if first is not None:
+            yield stretch()
+
+    stretches = rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(folded, schema)
+    in_order = F.array_sort(F.collect_list(F.struct("_order", "_value", *parts)))
+    whole = F.aggregate(in_order, F.lit(None).cast("double"), lambda old, x: F.when(old.isNull() | x["weight"].isNull(), x["alone"]).otherwise(old * x["weight"] + x["rest"]))
+    return stretches.groupBy(*keys).agg(whole.alias("timing"))
