@@ -1,6 +1,6 @@
 """Queries over note formats, on notes made of the sample documents."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.plans.samples import table
@@ -44,9 +44,18 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("note_id", "prefix", get("$.title").alias("title"), get("$.tags").alias("tags"), get("$.when").alias("when"), "body")
 
 
+def _round_trips(docs: DataFrame, length: Column) -> DataFrame:
+    text = F.concat(F.lit("# Head\n\n- item **bold** and _it_ `code`\n\n> quote [a](http://x.y)\n\n```py\nx = *1*\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n$$\nx\n$$\n"), F.substring(F.regexp_replace("text", r"[^\p{L}\n .]", ""), F.lit(1), length), F.when(F.col("doc_id") % 5 == 0, "\n* star").otherwise(""))
+    return notes.round_trips(docs.select(F.col("doc_id").alias("note_id"), text.alias("text")))
+
+
 def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("# Head\n\n- item **bold** and _it_ `code`\n\n> quote [a](http://x.y)\n\n```py\nx = *1*\n```\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n$$\nx\n$$\n"), F.substring(F.regexp_replace("text", r"[^\p{L}\n .]", ""), 1, 200), F.when(F.col("doc_id") % 5 == 0, "\n* star").otherwise(""))
-    return notes.round_trips(_docs(spark, sf_dir).select(F.col("doc_id").alias("note_id"), text.alias("text")))
+    return _round_trips(_docs(spark, sf_dir), F.lit(200))
+
+
+def whole_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over whole texts."""
+    return _round_trips(_docs(spark, sf_dir), F.length("text"))
 
 
 def opf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,5 +72,6 @@ QUERIES = {
     "note_tables": (tables, _TABLES_SQL),
     "org_properties": (properties, "SELECT doc_id AS note_id, 'before' || chr(10) AS prefix, 'A \"b\" ' || lang AS title, '[\"one\",\"two\"]' AS tags, '2020-01-01 Wed' AS \"when\", 'body ' || source AS body FROM documents"),
     "md_org_roundtrip": (round_trip, "SELECT doc_id AS note_id, doc_id % 5 != 0 AS same FROM documents"),
+    "md_org_roundtrip_whole": (whole_round_trip, None),
     "opf_metadata": (opf, "SELECT 'T ' || doc_id AS title, 'A ' || lang AS authors, 's1,' || source AS tags, lang AS languages, 'ISBN/978' AS identifiers, 'T' AS title_sort FROM documents"),
 }

@@ -51,13 +51,21 @@ def _words(column: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(column, r"[ \n]+"), 1, n), " ")
 
 
-def years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    marked = F.concat(F.substring(t, 1, 80), F.lit("\n"), (1790 + F.col("doc_id") % 320).cast("string"), F.lit(" "), F.substring(t, 81, 50))
-    found = events.years_in_text(_docs(spark, sf_dir).select("doc_id", marked.alias("text")))
+def _years(docs: DataFrame, rest: Column) -> DataFrame:
+    marked = F.concat(F.substring("text", 1, 80), F.lit("\n"), (1790 + F.col("doc_id") % 320).cast("string"), F.lit(" "), rest)
+    found = events.years_in_text(docs.select("doc_id", marked.alias("text")))
     return found.select("doc_id", F.col("at").cast("long").alias("place"), F.col("year").cast("long").alias("year"), F.md5("snippet").alias("snippet_md5"))
 
 
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _years(_docs(spark, sf_dir), F.substring("text", 81, 50))
+
+
+def whole_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over whole texts."""
+    return _years(_docs(spark, sf_dir), F.expr("substring(text, 81)"))
+
+
 def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folium.sources import notes as formats
 
@@ -77,6 +85,11 @@ def important_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.array_join(keys.without_stop_words(words), " ").alias("words"))
 
 
+def whole_important_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over whole texts."""
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(keys.without_stop_words(F.split("text", " ")), " ").alias("words"))
+
+
 def _key_query(terms: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _docs(spark, sf_dir).where(keys.matches(F.col("text"), terms)).select("doc_id")
 
@@ -133,9 +146,11 @@ SELECT doc_id, md5(CASE WHEN s >= length(text) THEN '' ELSE regexp_replace(subst
         "SELECT doc_id, round(abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(text)[1:12], ''), lambda c: ascii(c)::BIGINT)), lambda h, c: c + (((h * 32 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) - h) % 360) / 360.0, 6) AS hue FROM documents",
     ),
     "year_mentions": (years, "WITH y AS (SELECT doc_id, 1790 + doc_id % 320 AS year, length(text[1:80]) + 1 AS place, text[1:80] || chr(10) || (1790 + doc_id % 320) || ' ' || text[81:130] AS t FROM documents) SELECT doc_id, place, year, md5(translate(substr(t, greatest(place - 50, 0) + 1, place + 20 - greatest(place - 50, 0)), chr(10) || chr(13) || chr(9), '   ')) AS snippet_md5 FROM y WHERE year BETWEEN 1800 AND 2099"),
+    "year_mentions_whole": (whole_years, None),
     "wiki_links": (wiki_links, "SELECT doc_id, unnest([lower(source), lang, doc_id::VARCHAR]) AS target FROM documents"),
     "highlight_terms": (highlight_terms, "SELECT doc_id, unnest(['the', 'of' || lang, 'tion', 'b' || lang, 'y' || lang]) AS term FROM documents"),
     "important_words": (important_words, "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' ')[1:12], lambda w: lower(w)), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in keys.STOP_WORDS) + ")), ' ') AS words FROM documents"),
+    "important_words_whole": (whole_important_words, None),
     "keyword_match_and": (_key_query(["the", "of"]), f"SELECT doc_id FROM documents WHERE {_word('the')} AND {_word('of')}"),
     "keyword_match_or": (_key_query(["und|les"]), f"SELECT doc_id FROM documents WHERE {_word('und')} OR {_word('les')}"),
     "keyword_match_not": (_key_query(["!the", "!de"]), f"SELECT doc_id FROM documents WHERE NOT {_word('the')} AND NOT {_word('de')}"),
