@@ -101,6 +101,11 @@ def shades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.shades(chunks(spark, sf_dir).where("chunk_index <= doc % 5")).select("doc", "chunk_index", F.round("lightness", 6).alias("lightness"))
 
 
+def whole_shades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all chunks."""
+    return vectors.shades(chunks(spark, sf_dir)).select("doc", "chunk_index", F.round("lightness", 6).alias("lightness"))
+
+
 def hues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.document_hues(chunks(spark, sf_dir)).select("doc", F.round("hue", 6).alias("hue"))
 
@@ -131,6 +136,7 @@ QUERIES = {
     "context_windows_whole": (whole_windows, None),
     "cloud_normalise": (cloud, f"WITH {CHUNKS_SQL}, p AS (SELECT doc, chunk_index, embedding[1] AS x, embedding[2] * 2 AS y, embedding[3] AS z FROM chunks), b AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS b_y, min(z) AS az, max(z) AS bz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS reach FROM p) SELECT doc, chunk_index, round((x - (ax + bx) / 2) / reach * 10, 6) AS x, round((y - (ay + b_y) / 2) / reach * 10, 6) AS y, round((z - (az + bz) / 2) / reach * 10, 6) AS z FROM p, b"),
     "doc_shade": (shades, f"WITH {CHUNKS_SQL}, c AS (SELECT doc, chunk_index, max(chunk_index) OVER (PARTITION BY doc) AS most FROM chunks WHERE chunk_index <= doc % 5) SELECT doc, chunk_index, round(CASE WHEN most > 0 THEN 0.6::DOUBLE - chunk_index::DOUBLE / most * 0.3::DOUBLE ELSE 0.5 END, 6) AS lightness FROM c"),
+    "doc_shade_whole": (whole_shades, None),
     "doc_hue": (hues, f"WITH {CHUNKS_SQL}, d AS (SELECT DISTINCT doc FROM chunks) SELECT doc, round((row_number() OVER (ORDER BY doc) - 1)::DOUBLE / count(*) OVER (), 6) AS hue FROM d"),
     "pca_cloud": (pca, None),
     "pointer_compaction": (compaction, "WITH r AS (SELECT doc_id AS id, doc_id * 10 AS start, doc_id % 10 AS len, doc_id % 3 = 0 AS deleted FROM documents), c AS (SELECT *, coalesce(sum(CASE WHEN deleted THEN len ELSE 0 END) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM r) SELECT id, (start - gone)::BIGINT AS new_start, len FROM c WHERE NOT deleted"),
