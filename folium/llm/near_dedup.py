@@ -7,7 +7,8 @@ still in different components are gathered into groups, and each task compares t
 it looks only at texts of different components, and gives only links that join two. Odd sketches (parity
 bitmaps of the samples) drop pairs far below the limit; the rest is checked on the full sets.
 
-With 32 bands of 4 samples a pair at similarity 0.85 shares no key with probability 6e-11 (0.8: 5e-8).
+With 40 bands of 6 samples a pair at similarity 0.85 shares no key with probability 3e-9 (0.8: 5e-6), and
+one at 0.3 shares one with probability 0.03, so that texts of one template seldom make one large group.
 A sketch drops a pair only if its estimate is SLACK below the limit, some 5 standard deviations.
 """
 
@@ -22,12 +23,12 @@ from folium.llm.components import components
 from folium.llm.storage import written
 from folium.llm.words import BYTE_KEYS, LOWER, U64, Stretches, document_of, flat, mix, sliced, words
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 SLACK = 0.2
-#: Texts in a block of a group.
-BLOCK_ROWS = 4096
+#: Shingles in a block of a group, and texts in it at most, about.
+BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 4096
 
 _FACTORS = mix(np.arange(1001, 1001 + SAMPLES, dtype=U64)) | U64(1)
 _SEEDS = mix(np.arange(5001, 5001 + SAMPLES, dtype=U64))
@@ -124,23 +125,20 @@ def _sketched(pairs: DataFrame, known: DataFrame, limit: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """doc_id, shingles (sorted, 6 bytes each) of the rows whose doc_id is in wanted."""
+    """doc_id, shingles (sorted, 8 bytes each) of the rows whose doc_id is in wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
                 found, edges = shingles(*flat(part["text"]), k)
-                short = np.ascontiguousarray((found >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array([short[s:e].tobytes() for s, e in zip(edges, edges[1:])], pa.binary())], names=["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].cast(pa.int64()), pa.array([found[s:e].tobytes() for s, e in zip(edges, edges[1:])], pa.binary())], names=["doc_id", "shingles"])
 
     chosen = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return chosen.mapInArrow(run, "doc_id long, shingles binary")
 
 
 def _hashes(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    return np.frombuffer(blob, dtype=U64)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
@@ -201,7 +199,8 @@ def _links_across(placed: DataFrame, sketches: DataFrame, sets: DataFrame, limit
     heads = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("doc_id").alias("head")).where("low < high")
     mixed = written(placed.join(heads.select("key", "head"), "key"), "mixed-buckets")
     groups = components(mixed, "doc_id", "head").withColumnsRenamed({"node": "doc_id", "component": "group"})
-    counts = groups.groupBy("group").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    sized = groups.join(sketches.select("doc_id", "n_shingles"), "doc_id").groupBy("group")
+    counts = sized.agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows = mixed.select("doc_id", "component").distinct().join(groups, "doc_id").join(counts, "group")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.join(sketches, "doc_id").join(sets, "doc_id").select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "component", "block", "sketch", "shingles")
@@ -230,7 +229,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, limit: int = 80) -> DataFrame:
     keyed = known.select("doc_id", F.explode("bands").alias("key"))
     pivots = keyed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = written(keyed.join(pivots, "key"), "shared-bands")  # rows of buckets with two texts or more
-    sketches = known.select("doc_id", "sketch")
+    sketches = known.select("doc_id", "n_shingles", "sketch")
 
     stars = shared.where("doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
     pairs = written(_sketched(stars, sketches, limit), "star-pairs")

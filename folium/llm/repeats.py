@@ -22,7 +22,7 @@ from folium.llm.words import BYTE_KEYS, U64, Stretches, document_of, flat, slice
 #: About so many units of stretches for each shard.
 SHARD_UNITS = {"bytes": 2 << 20, "words": 1 << 19}
 #: Texts are worked on in slices of about so many bytes: each byte takes some 100 bytes of arrays here.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 #: Given the bodies of stretches, their documents and first units: document, start, end of removed ranges.
 Finder = Callable[[Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]], tuple[np.ndarray, np.ndarray, np.ndarray]]

@@ -105,8 +105,9 @@ def repeated_windows(window: int):
     return find
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, k: int | None = None) -> DataFrame:
-    """docs with kept_text (the kept words joined by a space), n_words, n_removed, kept_sha256.
+def remove_repeats(docs: DataFrame, window: int = 50, k: int | None = None, layout: bool = False) -> DataFrame:
+    """docs with kept_text (the kept words joined by a space), n_words, n_removed, kept_sha256. With layout,
+    kept_text is the text without the removed words and the gaps before them, so lines stay lines.
 
     A word goes if a run of window words that covers it also starts earlier, in a smaller doc_id or
     before it in the same text; a null text has no words. The order of rows without doc_id and of rows
@@ -129,9 +130,18 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int | None = None) -> D
                 kept = np.cumsum(gone)[:-1] == 0
                 raw = data.tobytes()
                 texts = [b" ".join([raw[s:e] for s, e in zip(first[a:b][kept[a:b]], last[a:b][kept[a:b]])]) for a, b in zip(of_words, of_words[1:])]
+                digests = [hashlib.sha256(t).hexdigest() for t in texts]
+                if layout:
+                    texts = []
+                    edges = np.searchsorted(row, np.arange(part.num_rows + 1))
+                    for i in range(part.num_rows):
+                        a, b = of_words[i] + start[edges[i] : edges[i + 1]], of_words[i] + end[edges[i] : edges[i + 1]]
+                        cut = np.where(a > of_words[i], last[a - 1], first[a]) if len(a) else a
+                        upto = last[b - 1] if len(b) else b
+                        texts.append(b"".join([raw[s:e] for s, e in zip([offsets[i], *upto], [*cut, offsets[i + 1]])]))
                 n_words = np.diff(of_words)
                 n_kept = np.array([kept[a:b].sum() for a, b in zip(of_words, of_words[1:])], dtype=np.int64)
-                columns = [*[part[c] for c in names], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
+                columns = [*[part[c] for c in names], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_words - n_kept, pa.int64()), pa.array(digests)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, *ADDED])
 
     return ranged.select(*names, "ranges").mapInArrow(run, schema)
