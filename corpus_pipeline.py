@@ -1,16 +1,20 @@
 """Documents to training tokens: quality rules, near duplicates, repeated passages, mixing, encoding.
 
 Every stage takes (spark, docs, folder of the tables) and gives a DataFrame, the columns of documents but
-for the last. Rows without doc_id and rows that repeat one are told apart by a number of their own.
+for the last; further columns are dropped, so their names cannot clash. Rows without doc_id and rows that
+repeat one are told apart by a number of their own. Null and empty texts go in the first stage; given to
+a later one they are linked with nothing, have no passages, size 0 and no ids. Of an empty table every
+stage makes an empty one.
 """
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm import bpe, mixing, near_dedup, quality_rules, suffix_trees
 from folium.llm.storage import written
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words that a passage must share with an earlier one to be removed.
 PASSAGE_WORDS = 50
@@ -45,9 +49,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand in an earlier place too; others keep their text as it is.
-    A document of which nothing is left goes."""
-    cut = suffix_trees.remove_repeats(docs.select(*COLUMNS), window=PASSAGE_WORDS)
+    """Documents without passages that stand in an earlier place too, with their lines and gaps as they
+    are. A document of which nothing is left goes."""
+    cut = suffix_trees.remove_repeats(docs.select(*COLUMNS), window=PASSAGE_WORDS, layout=True)
     left = cut.where("n_removed = 0 or n_removed < n_words")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
