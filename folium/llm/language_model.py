@@ -1,82 +1,37 @@
-"""Katz backoff n-gram model: counted, normalised and evaluated by shards of hashed n-grams.
-
-A document is a start, its words without case, and an end. An n-gram's key is a polynomial over the hashes of its
-tokens, so history and suffix follow from key, last and first token. Counts of r = 1 to 5 keep the share
-d(r) by Good and Turing. The whole model has every n-gram (least = 1); with a larger least, n-grams of two
-tokens or more that occur less often keep none, which leaves their whole count to the backoff. An n-gram g = (h, w) has log P(w|h) = log(d * count(g) / count(h)) if it is
-in the table, else log alpha(h) + log P(w|h'), h' without h's first token; alpha(h) is what the table
-leaves of h over what the next lower order leaves, so that all P(w|h) sum to 1 exactly.
-
-The recursion is evaluated by differences: the row of g holds by how much its own term exceeds the term
-by backoff, plus log alpha(g) for the token that follows. The sum over all n-grams of a text that are in
-the tables is then the sum of the recursion over its tokens. All logarithms are to base 10.
+"""Katz backoff n-gram model of order 3, counted, normalised and evaluated by shards of tokens.
+
+A document is a start, its words without case, and an end. Counts of r = 1 to 5 keep the share d(r) by Good and
+Turing. A token w behind the history h has P(w|h) = d * count(hw) / count(h) if hw occurs in the learned texts, else
+alpha(h) * P(w|h'), h' without h's first token, down to single tokens; alpha(h) is what the n-grams of h leave over
+what their suffixes leave, so that all P(w|h) sum to 1 exactly. An unknown token has the mass that discounting
+single tokens frees. Every n-gram counts, those that occur once too.
+
+Slices of a million tokens or two send each shard the different trigrams (a, b, c) whose middle token b lives there,
+with the documents of their occurrences. What the recursion needs for them is then in one place: the counts of
+(a, b, c), (b, c) and b, and all successors of the histories (a, b) and b. Only the counts of the last tokens c are
+asked from their own shards. The shuffle of the slices serves the counting and the scoring; the model goes into a
+table with one partition for each shard, the scores come back as sums by document.
 """
 
-import gc
-import math
-import time
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.storage import append, discard, written, written_folder
+from folium.llm.storage import written
 from folium.llm.words import BYTE_KEYS, LOWER, U64, Stretches, document_of, flat, mix, sliced, words
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
 START, END = mix(np.array([0xA11CE, 0xB0B], dtype=U64))
 #: Counts above this are kept whole.
 LARGEST_DISCOUNTED = 5
-#: So many tokens for each shard of n-grams.
-SHARD_TOKENS = 4_000_000
-#: The n-grams are counted and looked up in so many rounds of keys, which divides the disk that they take.
-ROUNDS = 4
-
-
-class Tokens:
-    """The tokens of a batch of texts, and the keys of their n-grams."""
-
-    def __init__(self, texts: pa.Array):
-        data, offsets = flat(texts)
-        starts, ends, of_words = words(data, offsets)
-        n = len(offsets) - 1
-        self.offsets = of_words + np.arange(n + 1)  # one end for each document
-        self.tokens = np.full(self.offsets[-1], END, dtype=U64)
-        at = np.arange(len(starts)) + document_of(of_words)
-        self.tokens[at] = Stretches(BYTE_KEYS[LOWER[data]]).of(starts, ends)
-        self.document = document_of(self.offsets)
-        self.place = np.arange(len(self.tokens)) - self.offsets[self.document]
-
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of the last token, key and first token of each n-gram; the first ones begin with START."""
-        at = np.flatnonzero(self.place >= order - 2) if order > 1 else np.arange(len(self.tokens))
-        key = np.zeros(len(at), dtype=U64)
-        for back in range(order - 1, -1, -1):
-            token = self.tokens[np.maximum(at - back, 0)]
-            if back and back == order - 1:
-                token = np.where(self.place[at] == order - 2, START, token)
-            if back == order - 1:
-                first = token
-            key = key * U64(BASE) + token
-        return at, key, first
-
-
-def _home(key: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shard and round of each key, from bits of the key."""
-    return ((key >> U64(33)) % U64(shards)).astype(np.int64), ((key >> U64(12)) % U64(ROUNDS)).astype(np.int64)
-
-
-def _home_columns(shards: int) -> list[Column]:
-    """The same over a column."""
-    bits = lambda at, n: (F.shiftrightunsigned("key", at) % n).cast("int")
-    return [bits(33, shards).alias("shard"), bits(12, ROUNDS).alias("round")]
+#: Tokens of a slice, and bytes of text for each shard.
+SLICE_TOKENS = 1_500_000
+SHARD_BYTES = 24 << 20
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -91,82 +46,15 @@ def _numbers(blob: bytes, dtype: type) -> np.ndarray:
 
 def _pack(rising: np.ndarray) -> bytes:
     """Rising numbers by their differences."""
-    return _squeezed(np.diff(rising, prepend=U64(0)))
+    return _squeezed(np.diff(rising, prepend=rising.dtype.type(0)))
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(_numbers(blob, U64))
+def _unpack(blob: bytes, dtype: type = U64) -> np.ndarray:
+    return np.cumsum(_numbers(blob, dtype), dtype=dtype)
 
 
-def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(shard, start, end) of rising shards."""
-    cut = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(shard) else []
-    for s, e in zip(cut, [*cut[1:], len(shard)]):
-        yield int(shard[s]), int(s), int(e)
-
-
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more, which it does soon after."""
-    for _ in range(2):  # what the first pass frees in Python, the second frees in Spark
-        gc.collect()
-        spark.sparkContext._jvm.java.lang.System.gc()
-        time.sleep(0.5)
-
-
-def _counted(docs: DataFrame, order: int, shards: int, its_round: int, least: int) -> DataFrame:
-    """gram, key, hist, suffix, n, types: a row for each n-gram of the round, of order tokens at most, with the
-    keys of its history and suffix. Those of two tokens or more that occur less than least times are only numbered
-    (key null), count by count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch):
-                tokens = Tokens(part["text"])
-                rows = []
-                for gram in range(1, order + 1):
-                    at, key, first = tokens.grams(gram)
-                    shard, its = _home(key, shards)
-                    chosen = its == its_round
-                    at, key, first, shard = at[chosen], key[chosen], first[chosen], shard[chosen]
-                    key, index, n = np.unique(key, return_index=True, return_counts=True)
-                    by = np.argsort(shard[index], kind="stable")
-                    key, index, n = key[by], index[by], n[by].astype(np.int32)
-                    last, first, shard = tokens.tokens[at[index]], first[index], shard[index]
-                    for i, s, e in _by_shard(shard):
-                        # last and first tokens by their number among those of the row
-                        ends = [last[s:e], first[s:e]][: gram - 1]
-                        used, number = np.unique(np.concatenate(ends), return_inverse=True) if ends else (key[:0], np.zeros(0, dtype=np.int64))
-                        rows.append((gram, i, _pack(key[s:e]), _pack(used), _squeezed(number.astype(np.int32)), _squeezed(n[s:e])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), [pa.int32()] * 2 + [pa.binary()] * 4)], names=["gram", "shard", "key", "used", "number", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        gram = table["gram"][0].as_py()
-        key = np.concatenate([_unpack(x.as_py()) for x in table["key"]])
-        n = np.concatenate([_numbers(x.as_py(), np.int32) for x in table["n"]])
-        ends = [np.zeros((0, 0), dtype=U64)]
-        if gram > 1:
-            ends = [_unpack(x.as_py())[_numbers(y.as_py(), np.int32)].reshape(min(gram - 1, 2), -1) for x, y in zip(table["used"], table["number"])]
-        ends = np.concatenate(ends, axis=1)
-        by = np.argsort(key)
-        key, n = key[by], n[by].astype(np.int64)
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        total = np.add.reduceat(n, edge)
-        kept = total >= (1 if gram == 1 else least)
-        key, one = key[edge[kept]], by[edge[kept]]
-        word = ends[0, one] if gram > 1 else key
-        suffix = key - ends[1, one] * U64(pow(BASE, gram - 1, 1 << 64)) if gram > 2 else word
-        columns = [*[x.view(np.int64) for x in (key, (key - word) * U64(INVERSE), suffix)], total[kept], np.ones(len(one), dtype=np.int64)]
-        rare, types = np.unique(total[~kept], return_counts=True)
-        none = [None] * len(rare)
-        out = pa.table({c: pa.concat_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())]) for c, x, y in zip(_COUNTED, columns, [none, none, none, rare, types])})
-        return out.append_column("gram", pa.array(np.full(out.num_rows, gram, dtype=np.int32)))
-
-    packed = docs.mapInArrow(run, "gram int, shard int, key binary, used binary, number binary, n binary")
-    return packed.groupBy("gram", "shard").applyInArrow(add, ", ".join(f"{c} long" for c in _COUNTED) + ", gram int")
-
-
-_COUNTED = ["key", "hist", "suffix", "n", "types"]
+def _home(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key >> U64(33)) % U64(shards)).astype(np.int32)
 
 
 def discounts(counts: dict[int, int]) -> list[float]:
@@ -184,182 +72,320 @@ def discounts(counts: dict[int, int]) -> list[float]:
     return [(r - 0.5) / r for r in range(1, k + 1)]
 
 
+def _kept(counts: np.ndarray, shares: list[float]) -> np.ndarray:
+    """What is left of counts by their shares."""
+    share = np.array([0.0, *shares, 1.0])
+    return share[np.minimum(counts, LARGEST_DISCOUNTED + 1)] * counts
+
+
+_ASKED = "shard int, slice long, words binary, first binary, second binary, n_third binary, third binary, times binary, document binary, learns binary, ids array<long>, sizes binary"
+
+
+def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]], number: int, shards: int) -> pa.RecordBatch:
+    """A slice's trigrams by shard: the hashes of the words in use, the pairs (b, c) by their places there, how many
+    first tokens a each pair has (0: none, behind the start), how often each trigram occurs, and where."""
+    sizes = np.concatenate([x[1] for x in held]) + 1
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    document = document_of(offsets).astype(np.int32)
+    token = np.full(offsets[-1], END, dtype=U64)
+    last = np.zeros(len(token), dtype=bool)
+    last[offsets[1:] - 1] = True
+    token[~last] = np.concatenate([x[0] for x in held])
+    vocabulary, c = np.unique(np.append(token, START), return_inverse=True)
+    begin, c = c[-1], c[:-1]
+    n_words = len(vocabulary)
+    # words by shard, then by hash
+    home = _home(vocabulary, shards)
+    by_home = np.argsort(home, kind="stable")
+    place = np.empty(n_words, dtype=np.int64)
+    place[by_home] = np.arange(n_words)
+    b, a = np.empty_like(c), np.full_like(c, -1)
+    b[1:], a[2:] = c[:-1], c[:-2]
+    b[offsets[:-1]], a[offsets[:-1]] = begin, -1
+    second = offsets[:-1][sizes > 1] + 1
+    a[second] = begin
+    if n_words**2 * (n_words + 1) < 1 << 62:
+        order = np.argsort((place[b] * n_words + c) * (n_words + 1) + a + 1)
+    else:
+        order = np.lexsort((a, c, place[b]))
+    a, b, c, document = a[order], b[order], c[order], document[order]
+    pair_new = np.ones(len(a), dtype=bool)
+    pair_new[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
+    new = pair_new.copy()
+    new[1:] |= a[1:] != a[:-1]
+    at = np.flatnonzero(new)
+    times = np.diff(np.append(at, len(a))).astype(np.int32)
+    pair_at = np.flatnonzero(pair_new[at])  # by trigram
+    n_third = np.diff(np.append(pair_at, len(at))).astype(np.int32)
+    a, b, c = a[at], b[at][pair_at], c[at][pair_at]
+    cut = np.searchsorted(home[b], np.arange(shards + 1))
+    ids, learns = pa.concat_arrays([x[2] for x in held]), np.packbits(np.concatenate([x[3] for x in held])).tobytes()
+    rows = []
+    for shard in np.flatnonzero(np.diff(cut)):
+        s, e = cut[shard], cut[shard + 1]
+        t = pair_at[s], pair_at[e] if e < len(pair_at) else len(at)
+        o = at[t[0]], at[t[1]] if t[1] < len(at) else len(document)
+        used = np.zeros(n_words, dtype=bool)
+        used[b[s:e]] = used[c[s:e]] = True
+        third = a[t[0] : t[1]]
+        used[third[third >= 0]] = True
+        rank = np.cumsum(used, dtype=np.int32)
+        row = [int(shard), number, _pack(vocabulary[used]), _pack(rank[b[s:e]]), _squeezed(rank[c[s:e]]), _squeezed(n_third[s:e])]
+        row += [_squeezed(np.where(third >= 0, rank[third], 0).astype(np.int32)), _squeezed(times[t[0] : t[1]]), _squeezed(document[o[0] : o[1]]), learns]
+        rows.append([*row, None, None] if rows else [*row, ids.to_pylist(), _squeezed(sizes.astype(np.int32))])
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8, pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _ASKED.split(", ")])
+
+
+def _asked(docs: DataFrame, shards: int) -> DataFrame:
+    """The trigrams of docs (doc_id, text, learns), slice by slice and shard by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in sliced(batch):
+                data, offsets = flat(part["text"])
+                starts, ends, of_words = words(data, offsets)
+                held.append((Stretches(BYTE_KEYS[LOWER[data]]).of(starts, ends), np.diff(of_words), part["doc_id"].cast(pa.int64()), part["learns"].to_numpy(zero_copy_only=False).astype(bool)))
+                n += len(starts) + part.num_rows
+                if n >= SLICE_TOKENS:
+                    yield _slice_rows(held, number, shards)
+                    held, n, number = [], 0, number + 1
+        if held:
+            yield _slice_rows(held, number, shards)
+
+    return docs.mapInArrow(run, _ASKED)
+
+
+class _Shard:
+    """What all slices ask of one shard, with equal trigrams merged."""
+
+    def __init__(self, asked: pa.Table):
+        column = lambda name, read: [read(x.as_py()) for x in asked[name]]
+        hashes = column("words", _unpack)
+        shift = np.concatenate(([0], np.cumsum([len(x) for x in hashes])))[:-1]
+        self.words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        del hashes
+        n_words = len(self.words)
+        numbers = lambda name: column(name, lambda x: _numbers(x, np.int32))
+        b = np.concatenate([place[s + x - 1] for s, x in zip(shift, column("first", lambda x: _unpack(x, np.int32)))])
+        c = np.concatenate([place[s + x - 1] for s, x in zip(shift, numbers("second"))])
+        pairs, pair = np.unique(b * n_words + c, return_inverse=True)
+        self.b, self.c = pairs // n_words, pairs % n_words
+        del pairs, b, c
+        third = numbers("third")
+        a = np.concatenate([np.where(x > 0, place[s + x - 1] + 1, 0) for s, x in zip(shift, third)])
+        pair = np.repeat(pair, np.concatenate(numbers("n_third")))
+        trigrams, self.at = np.unique(pair * (n_words + 1) + a, return_inverse=True)
+        self.pair, self.a = trigrams // (n_words + 1), trigrams % (n_words + 1) - 1  # -1: none
+        del trigrams, pair, a
+        self.edges = np.concatenate(([0], np.cumsum([len(x) for x in third])))
+        self.times = numbers("times")
+        self.learns = column("learns", lambda x: np.unpackbits(np.frombuffer(x, dtype=np.uint8)).astype(np.int64))
+        self.document = numbers("document")
+        learned = [np.add.reduceat(flags[d], np.concatenate(([0], np.cumsum(t)[:-1]))) for flags, d, t in zip(self.learns, self.document, self.times)]
+        summed = lambda at, x, n: np.bincount(at, weights=x, minlength=n).astype(np.int64)
+        self.n3 = summed(self.at, np.concatenate(learned), len(self.pair))
+        self.n2 = summed(self.pair, self.n3, len(self.b))
+        self.n1 = summed(self.b, self.n2, n_words)  # as a history
+
+
+def _counts(shards: int):
+    """What a shard tells and asks before it can normalise: counts of its tokens, the last tokens whose counts
+    it needs, and how many n-grams have each count (7: and all above, with the sum of their counts)."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        own = _Shard(asked)
+        shard = asked["shard"][0].as_py()
+        rows = []
+        token = np.flatnonzero((own.n1 > 0) & (own.words != START))
+        counted = [(shard, own.words[token], own.n1[token])]
+        begin = np.flatnonzero((own.words == START) & (own.n1 > 0))
+        if len(begin):  # a text that starts ends once
+            counted.append((int(_home(np.array([END]), shards)[0]), np.array([END]), own.n1[begin]))
+        for to, keys, counts in counted:
+            rows.append((to, None, _pack(keys), _squeezed(counts), None, None, None, None))
+        needed = own.words[np.unique(own.c)]
+        home = _home(needed, shards)
+        for to in np.unique(home):
+            rows.append((int(to), shard, _pack(needed[home == to]), None, None, None, None, None))
+        single = np.concatenate([x[2] for x in counted])
+        for order, n in ((1, single), (2, own.n2), (3, own.n3[own.a >= 0])):
+            n = n[n > 0]
+            of_class = np.minimum(n, LARGEST_DISCOUNTED + 2)
+            types, total = np.bincount(of_class, minlength=1), np.bincount(of_class, weights=n, minlength=1)
+            rows += [(0, None, None, None, order, int(r), int(types[r]), int(total[r])) for r in np.flatnonzero(types)]
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["to", "origin", "keys", "counts", "order", "r", "types", "total"])
+
+    return run
+
+
+def _replies(told: pa.Table) -> pa.Table:
+    """The counts that other shards ask of one; the numbers of n-grams by count pass."""
+    rows = told.to_pylist()
+    known = [(_unpack(r["keys"]), _numbers(r["counts"], np.int64)) for r in rows if r["counts"] is not None]
+    keys, counts = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, U64), np.zeros(0, np.int64))
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    out = []
+    for r in rows:
+        if r["origin"] is not None:
+            asked = _unpack(r["keys"])
+            at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+            n = np.where(keys[at] == asked, counts[at], 0) if len(keys) else np.zeros(len(asked), np.int64)
+            out.append((r["origin"], r["keys"], _squeezed(n), None, None, None, None))
+        elif r["order"] is not None:
+            out.append((None, None, None, r["order"], r["r"], r["types"], r["total"]))
+    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    columns = zip(*out) if out else [[]] * len(kinds)
+    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names=["shard", "keys", "counts", "order", "r", "types", "total"])
+
+
 @dataclass
-class KatzModel:
-    """table: gram (order), round, shard, key, value (what an occurrence adds to the score) and, for single
-    tokens, n (the count). start is added once a text; unknown stands for tokens that are not in the
-    table. smooth is what the base score adds to each count."""
-
-    table: DataFrame
-    order: int
-    shards: int
+class _Single:
+    """The shares of all orders, and the probabilities of single tokens."""
+
+    shares: dict[int, list[float]]
     tokens: int
     types: int
-    start: float
     unknown: float
-    smooth: float
+    factor: float
+
+    @classmethod
+    def of(cls, stats: list[dict]) -> "_Single":
+        types = {n: {x["r"]: x["types"] for x in stats if x["order"] == n} for n in (1, 2, 3)}
+        shares = {n: discounts(types[n]) for n in types}
+        single = [x for x in stats if x["order"] == 1]
+        tokens = sum(x["total"] for x in single)
+        mass = sum(x["total"] * ([*shares[1], 1.0, 1.0][x["r"] - 1]) for x in single)
+        unknown = max(1 - mass / tokens, 0.5 / tokens) if tokens else 1.0
+        return cls(shares, tokens, sum(x["types"] for x in single), unknown, (1 - unknown) / mass if tokens else 0.0)
+
+
+def _backoff(history: np.ndarray, n: int, counts: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each history its count, the factor on what its n-grams keep, and alpha; 1 where it does not occur.
+
+    A history whose n-grams keep all leaves half a token for the others."""
+    seen = counts > 0
+    total, keep = np.bincount(history, weights=counts, minlength=n), np.bincount(history, weights=kept, minlength=n)
+    below = np.bincount(history, weights=np.where(seen, lower, 0.0), minlength=n)
+    some = total > 0
+    whole = np.where(some, total, 1.0)
+    factor = np.where(some & (keep >= whole), (whole - 0.5) / np.where(keep > 0, keep, 1.0), 1.0)
+    alpha = np.where(some, (1 - keep * factor / whole) / np.maximum(1 - below, 1e-12), 1.0)
+    return whole, factor, alpha
+
+
+_MODEL = ["words", "n1", "backoff1", "first", "second", "n2", "history_first", "history_second", "backoff2", "pair", "third", "n3"]
+_ANSWER = ["documents", "known", "base", "score"]
+_TOLD = "kind string, shard int, slice long, ids array<long>, sizes binary, tokens long, " + ", ".join(f"{c} binary" for c in [*_ANSWER, *_MODEL])
+
+
+def _evaluated(smooth: float, stored: bool):
+    """The normalised n-grams of a shard, and the sums over its tokens for each document of each slice."""
+
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), *[pa.binary()] * (len(_ANSWER) + len(_MODEL))]
+    names = [x.split()[0] for x in _TOLD.split(", ")]
+
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return pa.schema(list(zip(names, kinds))).empty_table()
+        own = _Shard(asked)
+        single = _Single.of(next((x for x in told["stats"].to_pylist() if x is not None), []))
+        of_word = np.zeros(len(own.words), dtype=np.int64)
+        for keys, counts in zip(told["keys"], told["counts"]):
+            if keys.is_valid:
+                of_word[np.searchsorted(own.words, _unpack(keys.as_py()))] = _numbers(counts.as_py(), np.int64)
+        p1 = np.where(of_word > 0, _kept(of_word, single.shares[1]) * single.factor, single.unknown)
+
+        kept = _kept(own.n2, single.shares[2])
+        total, factor, alpha1 = _backoff(own.b, len(own.words), own.n2, kept, p1[own.c])
+        p2 = np.where(own.n2 > 0, kept * factor[own.b] / total[own.b], alpha1[own.b] * p1[own.c])
+
+        real = np.flatnonzero(own.a >= 0)
+        pair = own.pair[real]
+        histories, history = np.unique(own.a[real] * len(own.words) + own.b[pair], return_inverse=True)
+        kept = _kept(own.n3[real], single.shares[3])
+        total, factor, alpha2 = _backoff(history, len(histories), own.n3[real], kept, p2[pair])
+        p = p2[own.pair]
+        p[real] = np.where(own.n3[real] > 0, kept * factor[history] / total[history], alpha2[history] * p2[pair])
+
+        # each asked trigram's own values, and their sums by document
+        score = np.log10(p)[own.at]
+        last = own.c[own.pair[own.at]]
+        base = np.log10((of_word + smooth) / (single.tokens + smooth * (single.types + 1)))[last]
+        known = (of_word > 0)[last].astype(np.float64)
+        rows = []
+        for i, (slice_id, ids, sizes) in enumerate(zip(*[asked[c].to_pylist() for c in ("slice", "ids", "sizes")])):
+            part = slice(own.edges[i], own.edges[i + 1])
+            document, times = own.document[i], own.times[i]
+            sums = [np.bincount(document, weights=np.repeat(x[part], times)) for x in (known, base, score)]
+            some = np.flatnonzero(np.bincount(document))
+            blobs = [_pack(some.astype(np.int32)), _squeezed(sums[0][some].astype(np.int32)), _squeezed(sums[1][some]), _squeezed(sums[2][some])]
+            rows.append(["answer", int(asked["shard"][0].as_py()), slice_id, ids, sizes, single.tokens, *blobs, *[None] * len(_MODEL)])
+        if stored:
+            held = [np.flatnonzero(x) for x in (own.n1 > 0, own.n2 > 0, (own.n3 > 0) & (own.a >= 0))]
+            seen = np.flatnonzero(np.bincount(history, weights=own.n3[real], minlength=len(histories)))
+            small = lambda x: _squeezed(x.astype(np.int32))
+            of_pair = np.cumsum(own.n2 > 0) - 1
+            model = [_pack(own.words), small(own.n1), _squeezed(np.where(own.n1 > 0, alpha1, 1.0)), small(own.b[held[1]]), small(own.c[held[1]]), small(own.n2[held[1]])]
+            model += [small(histories[seen] // len(own.words)), small(histories[seen] % len(own.words)), _squeezed(alpha2[seen])]
+            model += [_pack(of_pair[own.pair[held[2]]].astype(np.int32)), small(own.a[held[2]] + 1), small(own.n3[held[2]])]
+            rows.append(["model", int(asked["shard"][0].as_py()), None, None, None, single.tokens, *[None] * len(_ANSWER), *model])
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+
+    return run
+
+
+def _summed(answers: pa.Table) -> pa.Table:
+    """The scores of a slice's documents, from those of its tokens in all shards."""
+    home = next(i for i, x in enumerate(answers["sizes"]) if x.is_valid)
+    ids, sizes = answers["ids"][home].values.cast(pa.int64()), _numbers(answers["sizes"][home].as_py(), np.int32)
+    sums = np.zeros((3, len(sizes)))
+    for row in zip(*[answers[c] for c in _ANSWER]):
+        documents, *parts = (x.as_py() for x in row)
+        at = _unpack(documents, np.int32)
+        for total, part, kind in zip(sums, parts, (np.int32, np.float64, np.float64)):
+            total[at] += _numbers(part, kind)
+    tokens = pa.array(np.full(len(sizes), answers["tokens"][home].as_py(), dtype=np.int64))
+    columns = [ids, pa.array(sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), tokens, pa.array(sums[1]), pa.array(sums[2])]
+    return pa.table(columns, names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def train(docs: DataFrame, order: int = 3, smooth: float = 0.1, least: int = 2) -> KatzModel:
-    """The model of the texts of docs; a null text is an empty one. Of no document at all: no n-grams,
-    and every token is unknown with probability 1. least: how often n-grams of two tokens or more occur
-    that are in the table; 1 gives the whole model."""
-    spark = docs.sparkSession
-    docs = docs.select("text")
-    n_docs, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    shards = max(1, -(-size // (6 * SHARD_TOKENS)))
-    grams = []
-    for its_round in range(ROUNDS):
-        grams.append(written(_counted(docs, order, shards, its_round, least), "grams", ("gram",)))
-        _release(spark)
-    together = lambda tables: reduce(DataFrame.unionByName, tables)
-    by_count = together(grams).where(F.col("n") <= LARGEST_DISCOUNTED + 1).groupBy("gram", "n").agg(F.sum("types").alias("types")).collect()
-    kept: dict[int, Column] = {}
-    for n in range(1, order + 1):
-        share = F.array(*[F.lit(d) for d in discounts({r["n"]: r["types"] for r in by_count if r["gram"] == n})], F.lit(1.0))
-        kept[n] = F.element_at(share, F.least("n", F.lit(LARGEST_DISCOUNTED + 1)).cast("int")) * F.col("n")
-    held = lambda table, n: table.where((F.col("gram") == n) & F.col("key").isNotNull())
-
-    single = held(together(grams), 1)
-    total, types, mass = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(kept[1]), F.lit(0.0))).first()
-    # the unknown has the mass that discounting frees, half a token at least
-    unknown = max(1 - mass / total, 0.5 / total) if total else 1.0
-    p = kept[1] * ((1 - unknown) / mass if total else 1.0)
-    lower = written(single.select("key", "n", p.alias("p"), F.log10(p).alias("gain")), "probabilities-1")
-    begin = spark.range(1).select(F.lit(int(START.view(np.int64))).alias("hist"), F.lit(n_docs).alias("n_hist"))
-    model, start = written_folder(spark, "katz-model"), 0.0
-
-    def store(gram: int, table: DataFrame, value: Column) -> None:
-        append(table.select("key", value.alias("value"), "n", F.lit(gram).alias("gram"), *_home_columns(shards)), model, ("gram", "round"))
-        _release(spark)
-
-    for n in range(2, order + 1):
-        # an n-gram occurs as often as its suffix at most, so the lower table has every suffix
-        suffixes = lower.select(F.col("key").alias("suffix"), F.col("p").alias("p_lower"))
-        own = []
-        for part in grams:
-            own.append(written(held(part, n).join(suffixes, "suffix").select("key", "hist", "n", "p_lower"), f"own-{n}"))
-            if n == order:
-                discard(part)
-            _release(spark)
-        sums = together(own).groupBy("hist").agg(F.sum(kept[n]).alias("kept"), F.sum("p_lower").alias("p_lower"))
-        counts = lower.select(F.col("key").alias("hist"), F.col("n").alias("n_hist")).unionByName(begin)
-        # a history keeps half a token for what the table does not hold: at least, or in the whole model, where
-        # most histories have one token and d(1) is what it keeps, only if discounting frees nothing
-        half = (F.col("n_hist") - 0.5) / F.col("kept")
-        scale = F.least(F.lit(1.0), half) if least > 1 else F.when(F.col("kept") < F.col("n_hist"), 1.0).otherwise(half)
-        alpha = (1 - F.col("kept") * scale / F.col("n_hist")) / F.greatest(1 - F.col("p_lower"), F.lit(1e-12))
-        backoff = written(sums.join(counts, "hist").select("hist", alpha.alias("alpha"), (scale / F.col("n_hist")).alias("scale")), f"backoff-{n - 1}")
-        _release(spark)
-        if n == 2:
-            found = backoff.where(F.col("hist") == int(START.view(np.int64))).first()
-            start = math.log10(found["alpha"]) if found else 0.0
-        store(n - 1, lower.join(backoff.select(F.col("hist").alias("key"), "alpha"), "key", "left"), F.col("gain") + F.coalesce(F.log10("alpha"), F.lit(0.0)))
-        discard(lower)
-        p = kept[n] * F.col("scale")
-        gain = F.log10(p) - F.log10(F.col("alpha") * F.col("p_lower"))
-        if n == order:
-            for part in own:
-                store(n, part.join(backoff, "hist"), gain)
-                discard(part)
-        else:
-            lower = written(together(own).join(backoff, "hist").select("key", "n", p.alias("p"), gain.alias("gain")), f"probabilities-{n}")
-            discard(*own)
-            _release(spark)
-        discard(backoff)
-    if order == 1:
-        store(1, lower, F.col("gain"))
-    table = spark.read.schema("key long, value double, n long, shard int, gram int, round int").parquet(model)
-    return KatzModel(table, order, shards, total, types, start, math.log10(unknown), smooth)
-
-
-def _requests(docs: DataFrame, model: KatzModel, its_round: int) -> DataFrame:
-    """The n-grams of one round by shard: the documents of a slice, and for each order the keys in rising
-    order, how often each occurs, and the numbers of the documents of its occurrences."""
-
-    order, shards = model.order, model.shards
+@dataclass
+class KatzScores:
+    """scores: doc_id, n_tokens, n_known, train_tokens, base_score, score of every row. model: one row and one
+    partition for each shard, with the hashes of its words, the counts of its n-grams by places among them, and
+    the backoff weights of histories of one token and of two."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch):
-                tokens = Tokens(part["text"])
-                rows: dict[int, list[bytes]] = {}
-                for gram in range(1, order + 1):
-                    at, key, _ = tokens.grams(gram)
-                    shard, its = _home(key, shards)
-                    chosen = its == its_round
-                    key, shard, document = key[chosen], shard[chosen], tokens.document[at[chosen]]
-                    by = np.lexsort((key, shard))
-                    key, shard, document = key[by], shard[by], document[by].astype(np.int32)
-                    for i, s, e in _by_shard(shard):
-                        edge = np.flatnonzero(np.concatenate(([True], key[s + 1 : e] != key[s : e - 1])))
-                        parts = rows.setdefault(i, [zstandard.compress(b"", 1)] * (3 * order))
-                        parts[3 * gram - 3 : 3 * gram] = [_pack(key[s:e][edge]), _squeezed(np.diff(np.append(edge, e - s)).astype(np.int32)), _squeezed(document[s:e])]
-                n = len(rows)
-                ids, texts = [part["doc_id"].cast(pa.int64()).to_pylist()] * n, [part["text_key"].to_pylist()] * n
-                kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((list(rows), ids, texts, list(rows.values())), kinds)], names=["shard", "ids", "texts", "parts"])
-
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, "shard int, ids array<long>, texts array<long>, parts array<binary>")
-
-
-_SUMS = ["n_tokens", "n_known", "base_score", "score", "rows"]
-
-
-def _answers(requests: DataFrame, model: KatzModel, its_round: int) -> DataFrame:
-    """What the n-grams of one round add, document by document."""
-    order, unknown, smooth = model.order, model.unknown, model.smooth
-    whole = model.tokens + smooth * (model.types + 1)
-
-    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
-        held = []
-        for gram in range(1, order + 1):
-            own = known.filter(pc.equal(known["gram"], gram))
-            key = own["key"].to_numpy().view(U64)
-            by = np.argsort(key)
-            held.append((key[by], own["value"].to_numpy()[by], own["n"].to_numpy()[by]))
-        out = []
-        for ids, texts, parts in zip(asked["ids"], asked["texts"], asked["parts"]):
-            n, parts = len(ids), parts.as_py()
-            sums = np.zeros((len(_SUMS), n))
-            for gram, (keys, values, counts) in enumerate(held, 1):
-                key = _unpack(parts[3 * gram - 3])
-                times, document = (_numbers(b, np.int32) for b in parts[3 * gram - 2 : 3 * gram])
-                found, at = np.zeros(len(key), dtype=bool), np.zeros(len(key), dtype=np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                    found = keys[at] == key
-                look = lambda column, other: np.where(found, column[at], other) if len(column) else np.full(len(key), other)
-                each = lambda x: np.bincount(document, weights=np.repeat(x, times), minlength=n)
-                sums[3] += each(look(values, unknown if gram == 1 else 0.0))
-                if gram == 1:
-                    sums[0] += np.bincount(document, minlength=n)
-                    sums[1] += each(found.astype(np.float64))
-                    sums[2] += each(np.log10((look(counts, 0) + smooth) / whole))
-                    sums[4] += each((key == END).astype(np.float64))
-            some = np.flatnonzero(sums.any(0))
-            out.append((pa.array(ids.as_py(), pa.int64()).take(pa.array(some)), np.array(texts.as_py(), dtype=np.int64)[some], sums[:, some]))
-        columns = [pa.concat_arrays([x[0] for x in out]) if out else pa.array([], pa.int64()), *[np.concatenate(x) for x in ([[y[1] for y in out] or [np.zeros(0, np.int64)], *[[y[2][i] for y in out] or [np.zeros(0)] for i in range(len(_SUMS))]])]]
-        return pa.table([pa.array(c) for c in columns], names=["doc_id", "text_key", *_SUMS])
-
-    table = model.table.where(F.col("round") == its_round)
-    schema = "doc_id long, text_key long, " + ", ".join(f"{c} double" for c in _SUMS)
-    return requests.groupBy("shard").cogroup(table.groupBy("shard")).applyInArrow(run, schema)
-
-
-def score(docs: DataFrame, model: KatzModel) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score of every row; a null text has its end as only token.
-
-    Rows of one doc_id and text have one score, found once for all of them; so have rows without doc_id."""
-    sums = []
-    for its_round in range(ROUNDS):
-        answers = _answers(_requests(docs, model, its_round), model, its_round)
-        by_text = answers.groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in _SUMS])
-        sums.append(written(by_text, "scores"))
-        _release(docs.sparkSession)
-    total = reduce(DataFrame.unionByName, sums).groupBy("doc_id", "text_key").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    rows = F.round("rows").cast("int")  # each row has one end
-    one = lambda c: F.col(c) / F.col("rows")
-    each = [F.round(one(c)).cast("long").alias(c) for c in ("n_tokens", "n_known")]
-    out = total.withColumn("_copy", F.explode(F.sequence(F.lit(1), rows)))
-    return out.select("doc_id", *each, one("base_score").alias("base_score"), (one("score") + F.lit(model.start)).alias("score"))
+    scores: DataFrame
+    model: DataFrame
+
+
+def learned_and_scored(docs: DataFrame, learns: Column, smooth: float = 0.1, stored: bool = True) -> KatzScores:
+    """Learns a model from the rows where learns is true, and scores all rows of docs (doc_id, text).
+
+    A null text has its end as its only token. Rows without doc_id and rows that repeat one are texts of their
+    own, and each keeps its row; of no row at all there are no scores. If no row learns, every token is unknown
+    with probability 1. base_score: the sum of the logarithms of (count + smooth) / (tokens + smooth * (types + 1)).
+    stored: whether the model's rows are written; the scores are the same. All logarithms are to base 10.
+    Other columns of docs may be any, and are not returned."""
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text", F.coalesce(learns, F.lit(False)).alias("learns"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-size // SHARD_BYTES))
+    asked = _asked(docs, shards)
+    told = asked.groupBy("shard").applyInArrow(_counts(shards), "to int, origin int, keys binary, counts binary, order int, r int, types long, total long")
+    replies = told.groupBy("to").applyInArrow(_replies, "shard int, keys binary, counts binary, order int, r int, types long, total long")
+    by_count = replies.where(F.col("order").isNotNull()).groupBy("order", "r").agg(F.sum("types").alias("types"), F.sum("total").alias("total"))
+    stats = by_count.agg(F.collect_list(F.struct("order", "r", "types", "total")).alias("stats"))  # 21 entries at most
+    to_all = spark.range(shards).select(F.col("id").cast("int").alias("shard")).crossJoin(stats)
+    known = replies.where(F.col("shard").isNotNull()).select("shard", "keys", "counts", F.lit(None).cast(stats.schema["stats"].dataType).alias("stats"))
+    known = known.unionByName(to_all.select("shard", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "stats"))
+    # one job: Spark shuffles what the slices ask once and reads it for the counts and for the scores
+    done = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_evaluated(smooth, stored), _TOLD)
+    table = written(done, "katz", ("kind", "shard"))
+    answers = table.where("kind = 'answer'").select("slice", "ids", "sizes", "tokens", *_ANSWER)
+    scores = answers.groupBy("slice").applyInArrow(_summed, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return KatzScores(scores, table.where("kind = 'model'").select("shard", "tokens", *_MODEL))

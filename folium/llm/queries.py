@@ -22,9 +22,8 @@ def _crc(doc_id: Column, parts: int) -> Column:
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     held_out = F.coalesce(_crc(F.col("doc_id"), 10) == 0, F.lit(False))
-    model = language_model.train(docs.where(~held_out), least=1)
-    scored = language_model.score(docs, model)
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scores = language_model.learned_and_scored(docs, ~held_out).scores
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op2_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:

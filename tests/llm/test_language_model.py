@@ -2,17 +2,20 @@ import collections
 import math
 import random
 import re
+import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from folium.llm import language_model
+from folium.llm import language_model, queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
 
 class Plain:
-    """The same model over dictionaries, of order 3, by recursion."""
+    """Katz backoff of order 3 over dictionaries, by recursion."""
 
     def __init__(self, texts):
         self.counts = [None, *(collections.Counter() for _ in range(3))]
@@ -29,11 +32,10 @@ class Plain:
         self.single = (1 - self.unknown) / mass
         self.sums = collections.defaultdict(lambda: [0.0, 0.0])
         for n in (2, 3):
-            for g, c in self.counts[n].items():
-                if c > 1:
-                    s = self.sums[g[:-1]]
-                    s[0] += self.kept(g)
-                    s[1] += self.p(g[-1], g[1:-1])
+            for g in self.counts[n]:
+                s = self.sums[g[:-1]]
+                s[0] += self.kept(g)
+                s[1] += self.p(g[-1], g[1:-1])
 
     def kept(self, g):
         c = self.counts[len(g)][g]
@@ -47,10 +49,14 @@ class Plain:
             return self.p(w, history[1:])
         n = self.starts if history == ("<s>",) else self.counts[len(history)][history]
         kept, lower = self.sums[history]
-        scale = min(1.0, (n - 0.5) / kept)
-        if self.counts[len(g)][g] > 1:
-            return self.kept(g) * scale / n
-        return (1 - kept * scale / n) / (1 - lower) * self.p(w, history[1:])
+        factor = 1.0 if kept < n else (n - 0.5) / kept
+        if g in self.counts[len(g)]:
+            return self.kept(g) * factor / n
+        return (1 - kept * factor / n) / (1 - lower) * self.p(w, history[1:])
+
+    def score(self, tokens):
+        line = ["<s>", *tokens]
+        return sum(math.log10(self.p(line[j], tuple(line[max(0, j - 2) : j]))) for j in range(1, len(line)))
 
 
 def _texts():
@@ -63,31 +69,53 @@ def _tokens(text):
     return WORD.findall((text or "").translate(LOWER)) + ["</s>"]
 
 
-def test_scores_and_normalisation(spark):
+def _frame(spark, texts, schema="doc_id long, text string"):
+    return spark.createDataFrame([(i, t) for i, t in enumerate(texts)], schema).repartition(4)
+
+
+@pytest.mark.parametrize("slice_tokens, shard_bytes", [(language_model.SLICE_TOKENS, language_model.SHARD_BYTES), (200, 3000)])
+def test_scores_and_normalisation(spark, monkeypatch, slice_tokens, shard_bytes):
+    monkeypatch.setattr(language_model, "SLICE_TOKENS", slice_tokens)
+    monkeypatch.setattr(language_model, "SHARD_BYTES", shard_bytes)
     texts = _texts()
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    model = language_model.train(docs.where("doc_id % 3 != 0"))
+    docs = _frame(spark, texts)
+    got = language_model.learned_and_scored(docs, F.col("doc_id") % 3 != 0)
     plain = Plain([_tokens(t) for i, t in enumerate(texts) if i % 3])
-    assert model.tokens == plain.n
+    assert sum(c == 1 for c in plain.counts[3].values()) > len(plain.counts[3]) / 2
     for history in [("<s>",), *list(plain.sums)[:40]]:
-        total = sum(plain.p(w, history) for (w,) in plain.counts[1]) + plain.p("unseen", history)
-        assert total == pytest.approx(1, abs=1e-9)
-    rows = {r["doc_id"]: r for r in language_model.score(docs, model).collect()}
+        assert sum(plain.p(w, history) for (w,) in plain.counts[1]) + plain.p("unseen", history) == pytest.approx(1, abs=1e-9)
+    rows = {r["doc_id"]: r for r in got.scores.collect()}
+    assert len(rows) == len(texts)
     for i, text in enumerate(texts):
-        tokens = _tokens(text)
-        line = ["<s>", *tokens]
-        score = sum(math.log10(plain.p(line[j], tuple(line[max(0, j - 2) : j]))) for j in range(1, len(line)))
+        tokens, r = _tokens(text), rows[i]
         base = sum(math.log10((plain.counts[1][(t,)] + 0.1) / (plain.n + 0.1 * (plain.v + 1))) for t in tokens)
-        r = rows[i]
-        assert (r["n_tokens"], r["n_known"]) == (len(tokens), sum((t,) in plain.counts[1] for t in tokens))
-        assert r["score"] == pytest.approx(score) and r["base_score"] == pytest.approx(base)
-
-
-def test_repeated_rows_null_ids_and_no_training_rows(spark):
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum((t,) in plain.counts[1] for t in tokens), plain.n)
+        assert r["score"] == pytest.approx(plain.score(tokens)) and r["base_score"] == pytest.approx(base)
+    # the stored model has every n-gram once, and the backoff weight of every history
+    held = got.model.collect()
+    count = lambda name, kind: [x for r in held for x in language_model._numbers(r[name], kind)]
+    assert sorted(count("n2", "i4")) == sorted(plain.counts[2].values()) and sorted(count("n3", "i4")) == sorted(plain.counts[3].values())
+    alpha = lambda h: (1 - plain.sums[h][0] / (plain.counts[2][h] if len(h) == 2 else plain.counts[1][h] or plain.starts)) / (1 - plain.sums[h][1])
+    free = [h for h in plain.sums if len(h) == 2 and plain.sums[h][0] < plain.counts[2][h]]
+    stored = np.sort(count("backoff2", "f8"))
+    assert len(stored) == sum(len(h) == 2 for h in plain.sums)
+    assert np.abs(stored[np.searchsorted(stored, [alpha(h) - 1e-9 for h in free]).clip(0, len(stored) - 1)] - [alpha(h) for h in free]).max() < 1e-6
+
+
+def test_query_on_odd_rows(spark, tmp_path):
+    long = " ".join(f"w{i % 5000} The" for i in range(120_000))
+    rows = [*enumerate(_texts()), (None, "a b"), (None, "a b"), (7, "the same line"), (200, ""), (201, None), (202, long)]
+    frame = spark.createDataFrame([(*r, "en", 1.0, 2) for r in rows], "doc_id long, text string, lang string, score double, slice int")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op1_katz_backoff(spark, str(tmp_path)).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    plain = Plain([_tokens(t) for i, t in rows if not held(i)])
+    want = sorted((str(i), held(i), len(_tokens(t)), round(plain.score(_tokens(t)), 5 if len(t or "") < 10_000 else 2)) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], round(r["score"], 5 if r["n_tokens"] < 10_000 else 2)) for r in got) == want
+
+
+def test_no_rows_and_no_learning_rows(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b"), (2, None)], "doc_id long, text string")
-    rows = language_model.score(docs, language_model.train(docs, order=2)).collect()
-    assert len(rows) == 4
-    assert len({round(r["score"], 9) for r in rows if r["n_tokens"] == 3}) == 1
-    empty = language_model.train(docs.limit(0))
-    assert empty.tokens == 0
-    assert all(r["n_known"] == 0 and math.isfinite(r["score"]) for r in language_model.score(docs, empty).collect())
+    assert language_model.learned_and_scored(docs.limit(0), F.lit(True)).scores.count() == 0
+    rows = language_model.learned_and_scored(docs, F.lit(None).cast("boolean")).scores.collect()
+    assert [r["score"] for r in rows] == [0.0] * 4 and all(r["n_known"] == r["train_tokens"] == 0 for r in rows)
