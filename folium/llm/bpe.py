@@ -22,7 +22,7 @@ from folium.llm.words import sliced
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: So many different pieces are kept encoded in each Python worker, some 300 bytes each.
 KEPT_PIECES = 200_000
-#: So many tested pairs of tokens, some 200 bytes each.
+#: So many tested pairs of tokens, some 100 bytes each.
 KEPT_PAIRS = 500_000
 
 
@@ -53,7 +53,8 @@ class PrefixEncoder:
         self.ending.make_automaton()
         self.split = regex.compile(PIECES)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by left * size + right
+        self.size = max(self.bytes) + 1
         self.whole: dict[int, bool] = {}
         self.kept: dict[str, tuple[int, str, bytes]] = {}
 
@@ -73,7 +74,7 @@ class PrefixEncoder:
         return self.whole[token]
 
     def compatible(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * self.size + right
         if key not in self.pairs:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
@@ -83,7 +84,7 @@ class PrefixEncoder:
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece: the last token of every prefix first, then back from the end."""
         text = piece.encode("utf-8", "surrogatepass").decode("latin-1")
-        last, start, pairs = [-1] * (len(text) + 1), [0] * (len(text) + 1), self.pairs
+        last, start, pairs, size = [-1] * (len(text) + 1), [0] * (len(text) + 1), self.pairs, self.size
         for end, (token, length) in self.ending.iter(text):
             if last[end + 1] >= 0:
                 continue
@@ -91,7 +92,7 @@ class PrefixEncoder:
             if before == 0:
                 fits = self.reachable(token)
             else:
-                fits = pairs.get((last[before], token))
+                fits = pairs.get(last[before] * size + token)
                 if fits is None:
                     fits = self.compatible(last[before], token)
             if fits:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.storage import written
-from folium.llm.words import BYTE_KEYS, LOWER, U64, Stretches, document_of, flat, mix, sliced, words
+from folium.llm.words import BYTE_KEYS, LOWER, U64, Stretches, document_of, flat, give_back, mix, sliced, words
 
 START, END = mix(np.array([0xA11CE, 0xB0B], dtype=U64))
 #: Counts above this are kept whole.
@@ -151,6 +151,7 @@ def _asked(docs: DataFrame, shards: int) -> DataFrame:
                 if n >= SLICE_TOKENS:
                     yield _slice_rows(held, number, shards)
                     held, n, number = [], 0, number + 1
+                    give_back()
         if held:
             yield _slice_rows(held, number, shards)
 
@@ -216,6 +217,8 @@ def _counts(shards: int):
             types, total = np.bincount(of_class, minlength=1), np.bincount(of_class, weights=n, minlength=1)
             rows += [(0, None, None, None, order, int(r), int(types[r]), int(total[r])) for r in np.flatnonzero(types)]
         kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        del own
+        give_back()
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["to", "origin", "keys", "counts", "order", "r", "types", "total"])
 
     return run
@@ -333,6 +336,8 @@ def _evaluated(smooth: float, stored: bool):
             model += [small(histories[seen] // len(own.words)), small(histories[seen] % len(own.words)), _squeezed(alpha2[seen])]
             model += [_pack(of_pair[own.pair[held[2]]].astype(np.int32)), small(own.a[held[2]] + 1), small(own.n3[held[2]])]
             rows.append(["model", int(asked["shard"][0].as_py()), None, None, None, single.tokens, *[None] * len(_ANSWER), *model])
+        del own
+        give_back()
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     return run

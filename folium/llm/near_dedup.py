@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from folium.llm.components import components
 from folium.llm.storage import written
-from folium.llm.words import BYTE_KEYS, LOWER, U64, Stretches, document_of, flat, mix, sliced, words
+from folium.llm.words import BYTE_KEYS, LOWER, U64, Stretches, document_of, flat, give_back, mix, sliced, words
 
 BANDS, ROWS = 40, 6
 SAMPLES = BANDS * ROWS
@@ -154,6 +154,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 near.append(100 * common >= limit * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+            give_back()
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -210,6 +211,8 @@ def _links_across(placed: DataFrame, sketches: DataFrame, sets: DataFrame, limit
         maps = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
         sets = [_hashes(x.as_py()) for x in table["shingles"]]
         found = np.array(joining_links(table["block"].to_numpy(), table["component"].to_numpy(), maps, sets, limit), dtype=np.int64).reshape(-1, 2)
+        del sets, maps
+        give_back()
         return pa.table({"a": ids[found[:, 0]], "b": ids[found[:, 1]]})
 
     return rows.groupBy("group", "low", "high").applyInArrow(run, "a long, b long")

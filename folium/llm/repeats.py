@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.storage import written
-from folium.llm.words import BYTE_KEYS, U64, Stretches, document_of, flat, sliced, word_hashes, words
+from folium.llm.words import BYTE_KEYS, U64, Stretches, document_of, flat, give_back, sliced, word_hashes, words
 
 #: About so many units of stretches for each shard.
 SHARD_UNITS = {"bytes": 2 << 20, "words": 1 << 19}
@@ -175,6 +175,7 @@ def with_removed_ranges(docs: DataFrame, unit: str, window: int, k: int, find: F
         found = np.stack(find(rows()))
         document, start, end = merged(*np.concatenate([found, *copies], axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (document, start, end)], names=["doc_id", "start", "end"])
+        give_back()
 
     stretches = _searched_once(_stretches(once, homes, unit, window, k)).repartition(shards, "home")
     ranges = stretches.mapInArrow(run, "doc_id long, start long, end long")

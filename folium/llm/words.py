@@ -5,6 +5,7 @@ fixed random keys, finished by a mixer: two different stretches share one with p
 2**-64, so equal hashes are taken as equal content wherever a caller says so.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,16 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on, and the next stage should not pay for this one."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all bits of x."""
     x = x ^ (x >> U64(30))
@@ -100,6 +111,7 @@ def sliced(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
             start, held = i, 0
         held += int(size)
     yield batch.slice(start)
+    give_back()
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
