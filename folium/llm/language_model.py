@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,10 @@ START, END = mix(np.array([0xA11CE, 0xB0B], dtype=U64))
 LARGEST_DISCOUNTED = 5
 #: Tokens of a slice, and bytes of text for each shard.
 SLICE_TOKENS = 1_500_000
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 16 << 20
+#: A word that is one of so many tokens, or more, is sent by its number in a list that all tasks have; there
+#: can be no more such words than this.
+COMMON_ONE_IN = 1 << 19
 
 
 def _squeezed(values: np.ndarray) -> bytes:
@@ -78,12 +81,33 @@ def _kept(counts: np.ndarray, shares: list[float]) -> np.ndarray:
     return share[np.minimum(counts, LARGEST_DISCOUNTED + 1)] * counts
 
 
+def _common_words(docs: DataFrame) -> np.ndarray:
+    """The hashes of the words that are one of COMMON_ONE_IN tokens of a task at least, and of all tokens, by
+    count. The list only shortens what is sent: whatever it holds, the scores are the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for part in sliced(batch):
+                data, offsets = flat(part["text"])
+                starts, ends, _ = words(data, offsets)
+                keys, at = np.unique(np.concatenate((keys, Stretches(BYTE_KEYS[LOWER[data]]).of(starts, ends))), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate((counts, np.ones(len(starts))))).astype(np.int64)
+        often = counts * COMMON_ONE_IN >= counts.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often]), pa.array(np.where(np.arange(often.sum()) == 0, counts.sum(), 0))], names=["key", "n", "tokens"])
+
+    found = docs.select("text").mapInArrow(run, "key long, n long, tokens long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+    found = found.withColumn("all", F.expr("sum(tokens) over ()")).where(F.col("n") * COMMON_ONE_IN >= F.col("all")).orderBy(F.desc("n"), "key").select("key").toPandas()
+    return found["key"].to_numpy(np.int64).view(U64)
+
+
 _ASKED = "shard int, slice long, words binary, first binary, second binary, n_third binary, third binary, times binary, document binary, learns binary, ids array<long>, sizes binary"
 
 
-def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]], number: int, shards: int) -> pa.RecordBatch:
-    """A slice's trigrams by shard: the hashes of the words in use, the pairs (b, c) by their places there, how many
-    first tokens a each pair has (0: none, behind the start), how often each trigram occurs, and where."""
+def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]], number: int, shards: int, common: np.ndarray) -> pa.RecordBatch:
+    """A slice's trigrams by shard: the hashes of the words in use that are not common, the pairs (b, c) by their
+    numbers (from 1: common words, then those of the row), the first tokens a of each pair (0: none, behind the
+    start), how often each trigram occurs, and where."""
     sizes = np.concatenate([x[1] for x in held]) + 1
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     document = document_of(offsets).astype(np.int32)
@@ -94,9 +118,13 @@ def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]],
     vocabulary, c = np.unique(np.append(token, START), return_inverse=True)
     begin, c = c[-1], c[:-1]
     n_words = len(vocabulary)
-    # words by shard, then by hash
+    # words by shard, then by number: common ones by theirs, then others by hash
     home = _home(vocabulary, shards)
-    by_home = np.argsort(home, kind="stable")
+    by_hash = np.argsort(common)
+    found = np.minimum(np.searchsorted(common, vocabulary, sorter=by_hash), max(len(common) - 1, 0))
+    code = np.full(n_words, -1) if not len(common) else np.where(common[by_hash[found]] == vocabulary, by_hash[found], -1)
+    rare = code < 0
+    by_home = np.argsort(home * (len(common) + n_words + 1) + np.where(rare, len(common) + np.arange(n_words), code), kind="stable")
     place = np.empty(n_words, dtype=np.int64)
     place[by_home] = np.arange(n_words)
     b, a = np.empty_like(c), np.full_like(c, -1)
@@ -129,7 +157,8 @@ def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]],
         used[b[s:e]] = used[c[s:e]] = True
         third = a[t[0] : t[1]]
         used[third[third >= 0]] = True
-        rank = np.cumsum(used, dtype=np.int32)
+        used &= rare
+        rank = np.where(rare, len(common) + np.cumsum(used), code + 1).astype(np.int32)
         row = [int(shard), number, _pack(vocabulary[used]), _pack(rank[b[s:e]]), _squeezed(rank[c[s:e]]), _squeezed(n_third[s:e])]
         row += [_squeezed(np.where(third >= 0, rank[third], 0).astype(np.int32)), _squeezed(times[t[0] : t[1]]), _squeezed(document[o[0] : o[1]]), learns]
         rows.append([*row, None, None] if rows else [*row, ids.to_pylist(), _squeezed(sizes.astype(np.int32))])
@@ -137,7 +166,7 @@ def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]],
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in _ASKED.split(", ")])
 
 
-def _asked(docs: DataFrame, shards: int) -> DataFrame:
+def _asked(docs: DataFrame, shards: int, common: Broadcast) -> DataFrame:
     """The trigrams of docs (doc_id, text, learns), slice by slice and shard by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,11 +178,11 @@ def _asked(docs: DataFrame, shards: int) -> DataFrame:
                 held.append((Stretches(BYTE_KEYS[LOWER[data]]).of(starts, ends), np.diff(of_words), part["doc_id"].cast(pa.int64()), part["learns"].to_numpy(zero_copy_only=False).astype(bool)))
                 n += len(starts) + part.num_rows
                 if n >= SLICE_TOKENS:
-                    yield _slice_rows(held, number, shards)
+                    yield _slice_rows(held, number, shards, common.value)
                     held, n, number = [], 0, number + 1
                     give_back()
         if held:
-            yield _slice_rows(held, number, shards)
+            yield _slice_rows(held, number, shards, common.value)
 
     return docs.mapInArrow(run, _ASKED)
 
@@ -161,28 +190,29 @@ def _asked(docs: DataFrame, shards: int) -> DataFrame:
 class _Shard:
     """What all slices ask of one shard, with equal trigrams merged."""
 
-    def __init__(self, asked: pa.Table):
+    def __init__(self, asked: pa.Table, common: np.ndarray):
         column = lambda name, read: [read(x.as_py()) for x in asked[name]]
         hashes = column("words", _unpack)
         shift = np.concatenate(([0], np.cumsum([len(x) for x in hashes])))[:-1]
-        self.words, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.words, place = np.unique(np.concatenate([common, *hashes]), return_inverse=True)
         del hashes
+        at = lambda s, number: place[np.where(number > len(common), number + s, number) - 1]
         n_words = len(self.words)
         numbers = lambda name: column(name, lambda x: _numbers(x, np.int32))
-        b = np.concatenate([place[s + x - 1] for s, x in zip(shift, column("first", lambda x: _unpack(x, np.int32)))])
-        c = np.concatenate([place[s + x - 1] for s, x in zip(shift, numbers("second"))])
+        b = np.concatenate([at(s, x) for s, x in zip(shift, column("first", lambda x: _unpack(x, np.int32)))])
+        c = np.concatenate([at(s, x) for s, x in zip(shift, numbers("second"))])
         pairs, pair = np.unique(b * n_words + c, return_inverse=True)
         self.b, self.c = pairs // n_words, pairs % n_words
         del pairs, b, c
         third = numbers("third")
-        a = np.concatenate([np.where(x > 0, place[s + x - 1] + 1, 0) for s, x in zip(shift, third)])
+        a = np.concatenate([np.where(x > 0, at(s, np.maximum(x, 1)) + 1, 0) for s, x in zip(shift, third)])
         pair = np.repeat(pair, np.concatenate(numbers("n_third")))
         trigrams, self.at = np.unique(pair * (n_words + 1) + a, return_inverse=True)
         self.pair, self.a = trigrams // (n_words + 1), trigrams % (n_words + 1) - 1  # -1: none
         del trigrams, pair, a
         self.edges = np.concatenate(([0], np.cumsum([len(x) for x in third])))
         self.times = numbers("times")
-        self.learns = column("learns", lambda x: np.unpackbits(np.frombuffer(x, dtype=np.uint8)).astype(np.int64))
+        self.learns = column("learns", lambda x: np.unpackbits(np.frombuffer(x, dtype=np.uint8)).astype(np.int32))
         self.document = numbers("document")
         learned = [np.add.reduceat(flags[d], np.concatenate(([0], np.cumsum(t)[:-1]))) for flags, d, t in zip(self.learns, self.document, self.times)]
         summed = lambda at, x, n: np.bincount(at, weights=x, minlength=n).astype(np.int64)
@@ -191,12 +221,12 @@ class _Shard:
         self.n1 = summed(self.b, self.n2, n_words)  # as a history
 
 
-def _counts(shards: int):
+def _counts(shards: int, common: Broadcast):
     """What a shard tells and asks before it can normalise: counts of its tokens, the last tokens whose counts
     it needs, and how many n-grams have each count (7: and all above, with the sum of their counts)."""
 
     def run(asked: pa.Table) -> pa.Table:
-        own = _Shard(asked)
+        own = _Shard(asked, common.value)
         shard = asked["shard"][0].as_py()
         rows = []
         token = np.flatnonzero((own.n1 > 0) & (own.words != START))
@@ -285,7 +315,7 @@ _ANSWER = ["documents", "known", "base", "score"]
 _TOLD = "kind string, shard int, slice long, ids array<long>, sizes binary, tokens long, " + ", ".join(f"{c} binary" for c in [*_ANSWER, *_MODEL])
 
 
-def _evaluated(smooth: float, stored: bool):
+def _evaluated(smooth: float, stored: bool, common: Broadcast):
     """The normalised n-grams of a shard, and the sums over its tokens for each document of each slice."""
 
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), *[pa.binary()] * (len(_ANSWER) + len(_MODEL))]
@@ -294,7 +324,7 @@ def _evaluated(smooth: float, stored: bool):
     def run(asked: pa.Table, told: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.schema(list(zip(names, kinds))).empty_table()
-        own = _Shard(asked)
+        own = _Shard(asked, common.value)
         single = _Single.of(next((x for x in told["stats"].to_pylist() if x is not None), []))
         of_word = np.zeros(len(own.words), dtype=np.int64)
         for keys, counts in zip(told["keys"], told["counts"]):
@@ -332,9 +362,12 @@ def _evaluated(smooth: float, stored: bool):
             seen = np.flatnonzero(np.bincount(history, weights=own.n3[real], minlength=len(histories)))
             small = lambda x: _squeezed(x.astype(np.int32))
             of_pair = np.cumsum(own.n2 > 0) - 1
-            model = [_pack(own.words), small(own.n1), _squeezed(np.where(own.n1 > 0, alpha1, 1.0)), small(own.b[held[1]]), small(own.c[held[1]]), small(own.n2[held[1]])]
-            model += [small(histories[seen] // len(own.words)), small(histories[seen] % len(own.words)), _squeezed(alpha2[seen])]
-            model += [_pack(of_pair[own.pair[held[2]]].astype(np.int32)), small(own.a[held[2]] + 1), small(own.n3[held[2]])]
+            used = np.zeros(len(own.words), dtype=bool)
+            used[own.b[held[1]]] = used[own.c[held[1]]] = used[own.a[held[2]]] = True
+            place = np.cumsum(used) - 1
+            model = [_pack(own.words[used]), small(own.n1[used]), _squeezed(alpha1[used]), small(place[own.b[held[1]]]), small(place[own.c[held[1]]]), small(own.n2[held[1]])]
+            model += [small(place[histories[seen] // len(own.words)]), small(place[histories[seen] % len(own.words)]), _squeezed(alpha2[seen])]
+            model += [_pack(of_pair[own.pair[held[2]]].astype(np.int32)), small(place[own.a[held[2]]]), small(own.n3[held[2]])]
             rows.append(["model", int(asked["shard"][0].as_py()), None, None, None, single.tokens, *[None] * len(_ANSWER), *model])
         del own
         give_back()
@@ -380,8 +413,9 @@ def learned_and_scored(docs: DataFrame, learns: Column, smooth: float = 0.1, sto
     docs = docs.select("doc_id", "text", F.coalesce(learns, F.lit(False)).alias("learns"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
-    asked = _asked(docs, shards)
-    told = asked.groupBy("shard").applyInArrow(_counts(shards), "to int, origin int, keys binary, counts binary, order int, r int, types long, total long")
+    common = spark.sparkContext.broadcast(_common_words(docs))
+    asked = _asked(docs, shards, common)
+    told = asked.groupBy("shard").applyInArrow(_counts(shards, common), "to int, origin int, keys binary, counts binary, order int, r int, types long, total long")
     replies = told.groupBy("to").applyInArrow(_replies, "shard int, keys binary, counts binary, order int, r int, types long, total long")
     by_count = replies.where(F.col("order").isNotNull()).groupBy("order", "r").agg(F.sum("types").alias("types"), F.sum("total").alias("total"))
     stats = by_count.agg(F.collect_list(F.struct("order", "r", "types", "total")).alias("stats"))  # 21 entries at most
@@ -389,7 +423,7 @@ def learned_and_scored(docs: DataFrame, learns: Column, smooth: float = 0.1, sto
     known = replies.where(F.col("shard").isNotNull()).select("shard", "keys", "counts", F.lit(None).cast(stats.schema["stats"].dataType).alias("stats"))
     known = known.unionByName(to_all.select("shard", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "stats"))
     # one job: Spark shuffles what the slices ask once and reads it for the counts and for the scores
-    done = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_evaluated(smooth, stored), _TOLD)
+    done = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_evaluated(smooth, stored, common), _TOLD)
     table = written(done, "katz", ("kind", "shard"))
     answers = table.where("kind = 'answer'").select("slice", "ids", "sizes", "tokens", *_ANSWER)
     scores = answers.groupBy("slice").applyInArrow(_summed, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
