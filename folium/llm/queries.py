@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, language_model, mixing, near_dedup, quality_classifier, quality_rules, sharding, suffix_arrays, suffix_trees, topk_search
+from folium.llm import bpe, language_model, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, suffix_arrays, suffix_trees, topk_search
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -81,4 +81,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the operators that SQL can express; tests hold the others against plain Python."""
+    return dict(oracles.SQL)
