@@ -1,77 +1,130 @@
 """Quality rules: counts within a text, and bands of n-gram perplexity for each language.
 
-The perplexity model is a modified Kneser-Ney model of order 4 over classes of bytes, so that a corpus
-of any size has at most CLASSES ** 4 different n-grams: Spark counts them over all texts, the driver
-turns the counts into arrays of sorted hashes (some 45 MB at the very most), and those are broadcast.
+Each language has a modified Kneser-Ney model of order 4 over characters. Its alphabet are the 254 characters that
+it uses most, as counted by Spark, in any script; further ones share a symbol. Spark counts the n-grams over all
+texts and builds each language's model in a task of its own, as arrays of n-grams sorted by hash with their
+probabilities and backoff weights, one row and one partition for each language. Texts are scored with the models
+of as many languages at once as fit a broadcast of MODEL_BYTES; further languages take another pass over their texts.
 """
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm.storage import written
-from folium.llm.words import SPACE, U64, Stretches, document_of, flat, mix, per_document, sliced, word_hashes, words
-
-ORDER = 4
-#: 0 start of text, 1 space, 2 new line, 3 digit, 4 sentence mark, 5 other ASCII, 6 control,
-#: 7 to 32 letters without case, 33 to 40 bytes beyond ASCII by their upper half.
-CLASSES = 41
-
-
-def _byte_classes() -> np.ndarray:
-    out = np.full(256, 5, dtype=np.int32)
-    out[:32] = 6
-    out[32], out[10], out[127] = 1, 2, 6
-    out[48:58] = 3
-    out[[ord(c) for c in ".,;:!?'\"()-"]] = 4
-    out[97:123] = out[65:91] = np.arange(7, 33)
-    out[128:] = 33 + (np.arange(128, 256) >> 4 & 7)
-    return out
-
-
-BYTE_CLASSES = _byte_classes()
+from folium.llm.words import SPACE, U64, Stretches, document_of, flat, give_back, mix, per_document, sliced, word_hashes, words
+
+ORDER, SYMBOLS = 4, 256
+#: 0 stands before a text, 1 for characters beyond the alphabet, and the rest for the alphabet.
+START, OTHER, FIRST = 0, 1, 2
+#: Languages with fewer texts than one in so many share a model, so there are no more models than this and one.
+LANGUAGES = 1024
+#: Models are broadcast together up to so many bytes.
+MODEL_BYTES = 96 << 20
+#: Texts are worked on in slices of about so many bytes.
+SLICE = 1 << 20
 SYMBOL = np.zeros(256, dtype=bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def gram_codes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte the code of the n-gram that ends there; class 0 stands before the text."""
-    now = BYTE_CLASSES[data]
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points, A-Z in lower case, and n + 1 offsets of the texts' characters."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype=np.uint32).copy()
+    points[(points >= 65) & (points <= 90)] += 32
+    begins = np.concatenate(([0], np.cumsum(data & 0xC0 != 0x80)))
+    return points, begins[offsets]
+
+
+def _model_of(lang: Column, shares: DataFrame) -> Column:
+    """The name of a text's model: its language if it has one of its own, else nothing (a null language too)."""
+    own = [r["lang"] for r in shares.collect()]  # LANGUAGES at most
+    return F.when(lang.isin(own), lang).otherwise("") if own else F.lit("")
+
+
+def _by_model(part: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """(model, rows, code points, offsets) of the texts of each model."""
+    names = np.array(part["model"].to_pylist(), dtype=object)
+    points, offsets = characters(*flat(part["text"]))
+    for name in sorted(set(names)):
+        rows = np.flatnonzero(names == name)
+        sizes = np.diff(offsets)[rows]
+        at = np.repeat(offsets[rows] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+        yield name, rows, points[at], np.concatenate(([0], np.cumsum(sizes)))
+
+
+def alphabets(docs: DataFrame) -> DataFrame:
+    """model, alphabet: the most frequent characters, by code point, of each model's texts (model, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in sliced(batch, limit=SLICE):
+                for name, _, points, _ in _by_model(part):
+                    found, n = np.unique(points, return_counts=True)
+                    held = total.setdefault(name, np.zeros((2, 0), dtype=np.int64))
+                    keys, at = np.unique(np.concatenate((held[0], found)), return_inverse=True)
+                    total[name] = np.stack((keys, np.bincount(at, weights=np.concatenate((held[1], n))).astype(np.int64)))
+        for name, (keys, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int32()), pa.array(n)], names=["model", "point", "n"])
+
+    counts = docs.select("model", "text").mapInArrow(run, "model string, point int, n long").groupBy("model", "point").agg(F.sum("n").alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("n"), "point")))
+    return ranked.where(F.col("rank") <= SYMBOLS - FIRST).groupBy("model").agg(F.array_sort(F.collect_list("point")).alias("alphabet"))
+
+
+def gram_codes(points: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """For each character the code of the n-gram that ends there."""
+    at = np.minimum(np.searchsorted(alphabet, points), max(len(alphabet) - 1, 0))
+    now = np.where(alphabet[at] == points, at + FIRST, OTHER).astype(np.uint32) if len(alphabet) else np.full(len(points), OTHER, dtype=np.uint32)
     out = now.copy()
     for back in range(1, ORDER):
         before = np.zeros_like(now)
         before[back:] = now[:-back]
         for i in range(back):
-            at = offsets[:-1] + i
-            before[at[at < len(now)]] = 0
-        out += before * np.int32(CLASSES**back)
+            first = offsets[:-1] + i
+            before[first[first < len(now)]] = START
+        out |= before << np.uint32(8 * back)
     return out
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """gram int, n long: over all texts, added up in each task before they are shuffled."""
+def gram_counts(docs: DataFrame, letters: dict[str, np.ndarray]) -> DataFrame:
+    """model, gram long, n long: how many texts have each n-gram, added up in each task before they are shuffled.
+
+    A text counts once for an n-gram, so what one text repeats a hundred times is not taught a hundred times."""
+    shared = docs.sparkSession.sparkContext.broadcast(letters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**ORDER, dtype=np.int64)
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for part in sliced(batch):
-                total += np.bincount(gram_codes(*flat(part["text"])), minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["gram", "n"])
+            for part in sliced(batch, limit=SLICE):
+                for name, _, points, offsets in _by_model(part):
+                    codes = gram_codes(points, offsets, shared.value[name]).astype(np.int64) | document_of(offsets) << 32
+                    found, n = np.unique(np.unique(codes).astype(np.uint32), return_counts=True)
+                    held = total.get(name, (found[:0], n[:0]))
+                    keys, at = np.unique(np.concatenate((held[0], found)), return_inverse=True)
+                    total[name] = keys, np.bincount(at, weights=np.concatenate((held[1], n))).astype(np.int64)
+        for name, (keys, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["model", "gram", "n"])
+        give_back()
 
-    return docs.select("text").mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("model", "text").mapInArrow(run, "model string, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
 class SortedHashes:
     """Values by 64-bit hash: two parallel arrays in the order of the hashes."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, hashes: np.ndarray, values: np.ndarray):
+        self.hashes, self.values = hashes, values
+
+    @classmethod
+    def of(cls, keys: np.ndarray, values: np.ndarray) -> "SortedHashes":
         hashes = mix(keys.astype(U64))
         order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], values[order].astype(np.float64)
+        return cls(hashes[order], values[order].astype(np.float32))
 
     def get(self, keys: np.ndarray, default: float) -> np.ndarray:
         out = np.full(len(keys), default)
@@ -84,17 +137,22 @@ class SortedHashes:
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney probabilities of n-gram codes."""
+    """Interpolated modified Kneser-Ney probabilities of n-gram codes, highest order first in levels."""
+
+    def __init__(self, levels: list[tuple[SortedHashes, SortedHashes]]):
+        self.levels = levels
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        self.levels = []
+    @classmethod
+    def of(cls, grams: np.ndarray, counts: np.ndarray) -> "KneserNey":
+        levels = []
         for order in range(ORDER, 0, -1):
-            self.levels.append(self._level(order, grams, counts))
-            # the next lower order counts the different classes that come before
-            grams, counts = np.unique(grams % CLASSES ** (order - 1), return_counts=True)
+            levels.append(cls._level(grams, counts))
+            # the next lower order counts the different characters that come before
+            grams, counts = np.unique(grams % SYMBOLS ** (order - 1), return_counts=True)
+        return cls(levels)
 
     @staticmethod
-    def _level(order: int, grams: np.ndarray, counts: np.ndarray) -> tuple[int, SortedHashes, SortedHashes]:
+    def _level(grams: np.ndarray, counts: np.ndarray) -> tuple[SortedHashes, SortedHashes]:
         n = [int((counts == i).sum()) for i in range(1, 5)]
         if all(n[:3]):
             y = n[0] / (n[0] + 2 * n[1])
@@ -102,24 +160,55 @@ class KneserNey:
         else:
             drop = [0.5, 1.0, 1.5]  # too few n-grams to estimate from
         discount = np.array([0.0, *drop])[np.minimum(counts, 3)]
-        contexts, at = np.unique(grams // CLASSES, return_inverse=True)
+        contexts, at = np.unique(grams // SYMBOLS, return_inverse=True)
         total = np.bincount(at, weights=counts, minlength=len(contexts))
         left = np.bincount(at, weights=discount, minlength=len(contexts))
-        return order, SortedHashes(grams, (counts - discount) / total[at]), SortedHashes(contexts, left / total)
+        return SortedHashes.of(grams, (counts - discount) / total[at]), SortedHashes.of(contexts, left / total)
 
     def probability(self, grams: np.ndarray) -> np.ndarray:
-        """Of the last class of each code after those before it: from the lowest order up."""
-        out = np.full(len(grams), 1.0 / (CLASSES - 1))
-        for order, own, rest in reversed(self.levels):
-            code = grams % CLASSES**order
-            out = own.get(code, 0.0) + rest.get(code // CLASSES, 1.0) * out
+        """Of the last character of each code after those before it: from the lowest order up."""
+        out = np.full(len(grams), 1.0 / (SYMBOLS - 1))
+        for order, (own, rest) in enumerate(reversed(self.levels), 1):
+            code = grams % SYMBOLS**order
+            out = own.get(code, 0.0) + rest.get(code // SYMBOLS, 1.0) * out
         return out
 
 
-def train(docs: DataFrame) -> KneserNey:
-    """The model of all texts. The counts have at most CLASSES ** ORDER rows, whatever the corpus."""
-    table = gram_counts(docs).toPandas().sort_values("gram")
-    return KneserNey(table["gram"].to_numpy(np.int64), table["n"].to_numpy(np.int64))
+_LEVEL = ["hashes", "shares", "contexts", "rests"]
+
+
+def train(docs: DataFrame) -> DataFrame:
+    """model, alphabet, size and the levels' arrays of each model, a written table in partitions by model, from
+    all texts (model, text)."""
+    letters = written(alphabets(docs), "alphabets")
+    known = {r["model"]: np.array(r["alphabet"], dtype=np.uint32) for r in letters.collect()}  # 254 characters for each model
+    arrays = [f"{c}_{n}" for n in range(ORDER, 0, -1) for c in _LEVEL]
+
+    def build(table: pa.Table) -> pa.Table:
+        grams, counts = table["gram"].to_numpy(), table["n"].to_numpy()
+        order = np.argsort(grams)
+        made = [x for pair in KneserNey.of(grams[order], counts[order]).levels for half in pair for x in (half.hashes.tobytes(), half.values.tobytes())]
+        return pa.table([table["model"][:1], pa.array([sum(map(len, made))], pa.int64()), *[pa.array([x], pa.binary()) for x in made]], names=["name", "size", *arrays])
+
+    built = gram_counts(docs, known).groupBy("model").applyInArrow(build, "name string, size long, " + ", ".join(f"{c} binary" for c in arrays))
+    return written(built.join(letters.withColumnRenamed("model", "name"), "name").withColumn("model", F.concat(F.lit("of-"), "name")), "character-models", ("model",))
+
+
+def _loaded(row: dict) -> tuple[np.ndarray, KneserNey]:
+    read = lambda name, n, kind: np.frombuffer(row[f"{name}_{n}"], dtype=kind)
+    pairs = [[SortedHashes(read(h, n, U64), read(v, n, np.float32)) for h, v in (_LEVEL[:2], _LEVEL[2:])] for n in range(ORDER, 0, -1)]
+    return np.array(row["alphabet"], dtype=np.uint32), KneserNey([tuple(p) for p in pairs])
+
+
+def _groups(sizes: list[tuple[str, int]]) -> list[list[str]]:
+    """Names of models that are broadcast together."""
+    out, held = [], MODEL_BYTES
+    for name, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        if held + size > MODEL_BYTES:
+            out, held = [*out, []], 0
+        out[-1].append(name)
+        held += size
+    return out
 
 
 def repeated_within(keys: np.ndarray, document: np.ndarray) -> np.ndarray:
@@ -171,57 +260,83 @@ def text_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def scored(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """doc_id, lang, the counts, base_failed, n_bytes, and bits: the model's bits a byte (null: no byte)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", n_bytes long, bits double"
+def scored(docs: DataFrame, models: DataFrame, names: list[str]) -> DataFrame:
+    """doc_id, lang, the counts, n_chars, bits (the model's bits a character; null: no character) of the texts
+    (doc_id, lang, model, text) of some models."""
+    rows = [r.asDict() for r in models.where(F.col("name").isin(names)).collect()]  # MODEL_BYTES at most, or one model
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+    schema = "doc_id long, lang string, " + ", ".join(f"{c} long" for c in COUNTS) + ", n_chars long, bits double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, table = shared.value, np.zeros(CLASSES**ORDER)
-        known = np.zeros(CLASSES**ORDER, dtype=bool)
+        known = {r["name"]: _loaded(r) for r in shared.value}
         for batch in batches:
-            for part in sliced(batch):
-                data, offsets = flat(part["text"])
-                codes = gram_codes(data, offsets)
-                new = np.unique(codes[~known[codes]])
-                table[new], known[new] = -np.log2(model.probability(new.astype(np.int64))), True
-                size = np.diff(offsets)
-                bits = per_document(table[codes], offsets) / np.maximum(size, 1)
-                counts = text_counts(data, offsets)
-                columns = [part["doc_id"].cast(pa.int64()), part["lang"].cast(pa.string()), *[pa.array(counts[c], pa.int64()) for c in COUNTS], pa.array(size, pa.int64()), pa.array(bits, mask=size == 0)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTS, "n_bytes", "bits"])
-
-    out = docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
-
-
-def language_bands(found: DataFrame, width: float) -> DataFrame:
-    """lang, middle, below, above: the median of bits, and how far a text may lie from it.
-
-    Quartiles are taken over all texts that pass the base rules, from counts by thousandth of a bit,
-    so they do not depend on the order of rows. Each side is width times its own quartile's distance,
-    and 0.07 of a bit at least."""
-    bins = found.where(~F.col("base_failed") & F.col("bits").isNotNull()).groupBy("lang", F.round(F.col("bits") * 1000).cast("int").alias("bin")).count()
-    of_lang = Window.partitionBy("lang")
-    upto = F.sum("count").over(of_lang.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(of_lang)
+            for part in sliced(batch, limit=SLICE):
+                total, size = np.zeros(part.num_rows), np.zeros(part.num_rows, dtype=np.int64)
+                for name, chosen, points, offsets in _by_model(part):
+                    alphabet, model = known[name]
+                    codes, at = np.unique(gram_codes(points, offsets, alphabet), return_inverse=True)
+                    total[chosen] = per_document(-np.log2(model.probability(codes.astype(np.int64)))[at], offsets)
+                    size[chosen] = np.diff(offsets)
+                counts = text_counts(*flat(part["text"]))
+                columns = [part["doc_id"].cast(pa.int64()), part["lang"].cast(pa.string()), *[pa.array(counts[c], pa.int64()) for c in COUNTS], pa.array(size), pa.array(total / np.maximum(size, 1), mask=size == 0)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", *COUNTS, "n_chars", "bits"])
+
+    return docs.where(F.col("model").isin(names)).select("doc_id", "lang", "model", "text").mapInArrow(run, schema)
+
+
+#: Texts of one language and length class that a band of its own takes.
+CLASS_TEXTS = 200
+#: How far from the median a text may lie, in distances of its side's quartile, and in bits a character at least.
+WIDTH, LEAST_BITS = 7.0, 0.05
+
+
+def _bands(found: DataFrame, by: list[str]) -> DataFrame:
+    """middle, below, above (the median of bits, and the distances of its quartiles) and texts, for each by.
+
+    Quartiles are taken over all texts that pass the base rules, from counts by thousandth of a bit, so they do
+    not depend on the order of rows."""
+    bins = found.where(~F.col("base_failed") & F.col("bits").isNotNull()).groupBy(*by, F.round(F.col("bits") * 1000).cast("int").alias("bin")).count()
+    group = Window.partitionBy(*by)
+    upto = F.sum("count").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("count").over(group)
     ranked = bins.withColumn("share", upto)
     at = lambda q: F.min(F.when(F.col("share") >= q, F.col("bin"))) / 1000
-    quartiles = ranked.groupBy("lang").agg(at(0.25).alias("low"), at(0.5).alias("middle"), at(0.75).alias("high"))
-    side = lambda d: F.greatest(F.lit(width) * d, F.lit(0.07))
-    return quartiles.select("lang", "middle", side(F.col("middle") - F.col("low")).alias("below"), side(F.col("high") - F.col("middle")).alias("above"))
+    quartiles = ranked.groupBy(*by).agg(at(0.25).alias("low"), at(0.5).alias("middle"), at(0.75).alias("high"), F.sum("count").alias("texts"))
+    return quartiles.select(*[F.col(c).alias(f"_{c}") for c in by], "middle", (F.col("middle") - F.col("low")).alias("below"), (F.col("high") - F.col("middle")).alias("above"), "texts")
+
+
+def length_class(n_chars: Column) -> Column:
+    """Texts of up to 128 characters, then up to each power of two, and beyond 16384."""
+    return F.least(F.greatest(F.ceil(F.log2(F.greatest(n_chars, F.lit(1)))), F.lit(7)), F.lit(15)).cast("int")
 
 
-def judge(docs: DataFrame, width: float = 3.0) -> DataFrame:
+def judge(docs: DataFrame, width: float = WIDTH) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, bits.
 
-    A text is rejected if it fails the base rules, or if its bits a byte lie outside the band of its
-    language; the band of a text of n bytes is wider by the factor 1 + sqrt(2000 / n), as short texts
-    scatter more. A null or empty text has no words, so it fails. Null languages share a band."""
-    found = written(scored(docs, train(docs)), "quality-rules")
-    bands = language_bands(found, width).withColumnRenamed("lang", "_lang")
-    judged = found.join(bands, F.col("lang").eqNullSafe(F.col("_lang")), "left")
-    room = 1 + F.sqrt(2000 / F.greatest(F.col("n_bytes"), F.lit(1)))
-    off = F.col("bits") - F.col("middle")
-    inside = (off >= -F.col("below") * room) & (off <= F.col("above") * room)
+    A text is rejected if it fails the base rules, or if its bits a character lie outside the band of its language
+    and length class; classes of fewer than CLASS_TEXTS texts take the band of the language, wider by the factor
+    1 + sqrt(2000 / n) for n characters, as short texts scatter more. A null or empty text has no words, so it
+    fails. Null languages, and those of few texts, share a model; null languages share a band. Rows without doc_id
+    and rows that repeat one are judged each for itself. Other columns of docs may be any, and are not returned."""
+    shares = docs.groupBy("lang").count().withColumn("all", F.expr("sum(count) over ()")).where(F.col("lang").isNotNull() & (F.col("count") * LANGUAGES >= F.col("all")))
+    docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text", _model_of(F.col("lang"), shares).alias("model"))
+    models = train(docs)
+    groups = _groups([(r["name"], r["size"]) for r in models.select("name", "size").collect()])
+    if not groups:  # no text has a character
+        groups = [[]]
+    parts = [scored(docs, models, names) for names in groups]
+    trained = [x for names in groups for x in names]
+    found = reduce(DataFrame.unionByName, parts)
+    bare = docs.where(~F.col("model").isin(trained)) if trained else docs
+    empty = bare.select("doc_id", "lang", *[F.lit(0).cast("long").alias(c) for c in [*COUNTS, "n_chars"]], F.lit(None).cast("double").alias("bits"))
+    found = found.unionByName(empty).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+    found = written(found.withColumn("length_class", length_class(F.col("n_chars"))), "quality-rules")
+    own = _bands(found, ["lang", "length_class"]).where(F.col("texts") >= CLASS_TEXTS)
+    whole = _bands(found, ["lang"]).select("_lang", *[F.col(c).alias(f"whole_{c}") for c in ("middle", "below", "above")])
+    of_lang = F.col("lang").eqNullSafe(F.col("_lang"))
+    judged = found.join(own, of_lang & (F.col("length_class") == F.col("_length_class")), "left").drop("_lang").join(whole, of_lang, "left")
+    spread = F.when(F.col("middle").isNull(), 1 + F.sqrt(2000 / F.greatest(F.col("n_chars"), F.lit(1)))).otherwise(2.0)
+    of = lambda c: F.coalesce(c, f"whole_{c}")
+    off = F.col("bits") - of("middle")
+    side = lambda c: F.greatest(F.lit(width) * of(c), F.lit(LEAST_BITS)) * spread / 2
+    inside = (off >= -side("below")) & (off <= side("above"))
     return judged.select("doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), "bits")

@@ -36,22 +36,94 @@ def test_quality_counts_equal_plain_python(spark):
         assert not (r["kept"] and r["base_failed"])
 
 
-def test_perplexity_rejects_what_is_unlike_the_language(spark):
+@pytest.mark.parametrize("letters", ["abdeghilnorstu", "абвгдежийклмнопрст", "αβγδεζηθικλμνξοπρσ", "ابتثجحخدذرزسشصضطع", "試験文字列日本語山川水火木金土"])
+def test_perplexity_rejects_what_is_unlike_the_language(spark, letters):
     rng = np.random.default_rng(0)
-    words = ["haus", "und", "der", "garten", "ist", "gut", "wir", "gehen", "nach", "oben"]
-    good = [" ".join(rng.choice(words, 200)) for _ in range(200)]
-    noise = "".join(rng.choice(list("qxzjkvw"), 5) for _ in range(1)) if False else " ".join("".join(rng.choice(list("qxzjk"), 5)) for _ in range(200))
-    docs = spark.createDataFrame([(i, t, "de") for i, t in enumerate([*good, noise])], "doc_id long, text string, lang string")
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
-    assert not kept[200] and sum(kept[i] for i in range(200)) >= 199
+    words = ["".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(60)]
+    good = [" ".join(rng.choice(words, int(rng.integers(40, 300)))) for _ in range(300)]
+    shuffled = ["".join(rng.permutation(list(good[0] * 3))) for _ in range(3)]  # the same letters, in no order
+    foreign = [" ".join("".join(rng.choice(list("qxzjk"), 5)) for _ in range(200))]
+    even = ["".join(rng.choice(list("!?%&=+"), 40)) + " " + " ".join(f"{rng.integers(1000, 9999)}" for _ in range(150))]
+    texts = [*good, *shuffled, *foreign, *even]
+    docs = spark.createDataFrame([(i, t, "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect() if not r["base_failed"]}
+    assert not any(kept[i] for i in range(300, len(texts)) if i in kept) and len(kept) >= 303
+    assert sum(kept[i] for i in range(300)) >= 294
+
+
+def test_bits_and_verdicts_equal_plain_python(spark):
+    """Modified Kneser-Ney over dictionaries, and the bands over sorted lists."""
+    rng = np.random.default_rng(4)
+    word = lambda lang: "".join(rng.choice(list("абвгд" if lang == "ru" else "abcdé"), rng.integers(1, 5)))
+    rows = [(i, lang, " ".join(word(lang) for _ in range(int(rng.integers(15, 120)))) + "\nA") for i, lang in enumerate(["ru", "en"] * 130)]
+    rows += [(900, "en", "zz " * 70), (901, None, " ".join(word("en") for _ in range(40))), (902, None, " ".join(word("en") for _ in range(50)))]
+    docs = spark.createDataFrame([(i, t, lang) for i, lang, t in rows], "doc_id long, text string, lang string")
+    grams = lambda t, n=4: [("^^^" + t.lower())[j : j + n] for j in range(len(t))]
+    bits, counts = {}, {i: _counts(t) for i, _, t in rows}
+    for lang in ("ru", "en", None):
+        levels, level = [], collections.Counter(g for _, x, t in rows if x == lang for g in set(grams(t)))
+        for _ in range(4):
+            n = [sum(c == k for c in level.values()) for k in range(5)]
+            drop = [0.0, 0.5, 1.0, 1.5]
+            if all(n[1:4]):
+                y = n[1] / (n[1] + 2 * n[2])
+                drop = [0.0, *(max(0.0, min(k, k - (k + 1) * y * n[k + 1] / n[k])) for k in (1, 2, 3))]
+            total, left = collections.Counter(), collections.Counter()
+            for g, c in level.items():
+                total[g[:-1]] += c
+                left[g[:-1]] += drop[min(c, 3)]
+            levels.append((level, drop, total, left))
+            level = collections.Counter(g[1:] for g in level)
+
+        def p(g):
+            if not g:
+                return 1 / 255
+            level, drop, total, left = levels[4 - len(g)]
+            if not total[g[:-1]]:
+                return p(g[1:])
+            return (level[g] - drop[min(level[g], 3)]) / total[g[:-1]] + left[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+        bits |= {i: -sum(np.log2(p(g)) for g in grams(t)) / len(t) for i, x, t in rows if x == lang}
+    passed = {i: not (counts[i][0] < 20 or 100 * counts[i][4] > 30 * counts[i][0]) for i in bits}
+    of_class = lambda t: min(max(int(np.ceil(np.log2(len(t)))), 7), 15)
+
+    def quartiles(group):
+        found = sorted(np.floor(bits[i] * 1000 + 0.5) / 1000 for i in group)
+        return len(found), *[found[int(np.ceil(q * len(found))) - 1] for q in (0.25, 0.5, 0.75)]
+
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    edge = 0
+    for i, lang, t in rows:
+        assert got[i]["bits"] == pytest.approx(bits[i], rel=1e-5)
+        group = [j for j, x, u in rows if x == lang and passed[j] and of_class(u) == of_class(t)]
+        spread = 2.0
+        if len(group) < quality_rules.CLASS_TEXTS:
+            group, spread = [j for j, x, _ in rows if x == lang and passed[j]], 1 + np.sqrt(2000 / len(t))
+        _, low, middle, high = quartiles(group)
+        off = bits[i] - middle
+        near = [max(quality_rules.WIDTH * d, quality_rules.LEAST_BITS) * spread / 2 for d in (middle - low, high - middle)]
+        if min(abs(off + near[0]), abs(off - near[1])) < 0.005:
+            edge += 1
+        else:
+            assert got[i]["kept"] == (passed[i] and -near[0] <= off <= near[1])
+    assert edge < 10 and not got[900]["kept"]
 
 
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(1)
-    grams, counts = np.unique(rng.integers(1, 6, (4, 3000)).T @ np.array([quality_rules.CLASSES**i for i in (3, 2, 1, 0)]), return_counts=True)
-    model = quality_rules.KneserNey(grams, counts)
-    for context in (grams[0] // quality_rules.CLASSES, 1, 0):
-        assert model.probability(context * quality_rules.CLASSES + np.arange(1, quality_rules.CLASSES)).sum() == pytest.approx(1)
+    n = quality_rules.SYMBOLS
+    grams, counts = np.unique(rng.integers(1, 6, (4, 3000)).T @ np.array([n**i for i in (3, 2, 1, 0)]), return_counts=True)
+    model = quality_rules.KneserNey.of(grams, counts)
+    for context in (grams[0] // n, 1, 0):
+        assert model.probability(context * n + np.arange(1, n)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_models_of_many_languages_take_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "MODEL_BYTES", 1)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    in_passes = {tuple(r) for r in quality_rules.judge(docs).collect()}
+    monkeypatch.undo()
+    assert in_passes == {tuple(r) for r in quality_rules.judge(docs).collect()} and len(in_passes) == docs.count()
 
 
 def test_quality_of_an_empty_table(spark):
