@@ -198,25 +198,33 @@ class _Shard:
         del hashes
         at = lambda s, number: place[np.where(number > len(common), number + s, number) - 1]
         n_words = len(self.words)
+        place = place.astype(np.int32)
         numbers = lambda name: column(name, lambda x: _numbers(x, np.int32))
-        b = np.concatenate([at(s, x) for s, x in zip(shift, column("first", lambda x: _unpack(x, np.int32)))])
-        c = np.concatenate([at(s, x) for s, x in zip(shift, numbers("second"))])
-        pairs, pair = np.unique(b * n_words + c, return_inverse=True)
-        self.b, self.c = pairs // n_words, pairs % n_words
-        del pairs, b, c
+        pair = np.concatenate([at(s, x).astype(np.int64) * n_words + at(s, y) for s, x, y in zip(shift, column("first", lambda x: _unpack(x, np.int32)), numbers("second"))])
+        pairs, pair = np.unique(pair, return_inverse=True)
+        self.b, self.c = (pairs // n_words).astype(np.int32), (pairs % n_words).astype(np.int32)
+        del pairs
+        pair = np.repeat(pair.astype(np.int32), np.concatenate(numbers("n_third")))
         third = numbers("third")
-        a = np.concatenate([np.where(x > 0, at(s, np.maximum(x, 1)) + 1, 0) for s, x in zip(shift, third)])
-        pair = np.repeat(pair, np.concatenate(numbers("n_third")))
-        trigrams, self.at = np.unique(pair * (n_words + 1) + a, return_inverse=True)
-        self.pair, self.a = trigrams // (n_words + 1), trigrams % (n_words + 1) - 1  # -1: none
-        del trigrams, pair, a
         self.edges = np.concatenate(([0], np.cumsum([len(x) for x in third])))
+        trigram = pair.astype(np.int64) * (n_words + 1)
+        del pair
+        for s, e, x, shifted in zip(self.edges, self.edges[1:], third, shift):
+            trigram[s:e] += np.where(x > 0, at(shifted, np.maximum(x, 1)) + 1, 0)
+        del third, place
+        trigrams, self.at = np.unique(trigram, return_inverse=True)
+        del trigram
+        self.at = self.at.astype(np.int32)
+        self.pair, self.a = (trigrams // (n_words + 1)).astype(np.int32), (trigrams % (n_words + 1)).astype(np.int32) - 1  # -1: none
+        del trigrams
         self.times = numbers("times")
-        self.learns = column("learns", lambda x: np.unpackbits(np.frombuffer(x, dtype=np.uint8)).astype(np.int32))
         self.document = numbers("document")
-        learned = [np.add.reduceat(flags[d], np.concatenate(([0], np.cumsum(t)[:-1]))) for flags, d, t in zip(self.learns, self.document, self.times)]
+        learned = np.empty(len(self.at), dtype=np.int32)
+        for s, e, flags, d, t in zip(self.edges, self.edges[1:], asked["learns"], self.document, self.times):
+            learns = np.unpackbits(np.frombuffer(flags.as_py(), dtype=np.uint8)).astype(np.int32)
+            learned[s:e] = np.add.reduceat(learns[d], np.concatenate(([0], np.cumsum(t)[:-1])))
         summed = lambda at, x, n: np.bincount(at, weights=x, minlength=n).astype(np.int64)
-        self.n3 = summed(self.at, np.concatenate(learned), len(self.pair))
+        self.n3 = summed(self.at, learned, len(self.pair))
         self.n2 = summed(self.pair, self.n3, len(self.b))
         self.n1 = summed(self.b, self.n2, n_words)  # as a history
 
@@ -338,22 +346,23 @@ def _evaluated(smooth: float, stored: bool, common: Broadcast):
 
         real = np.flatnonzero(own.a >= 0)
         pair = own.pair[real]
-        histories, history = np.unique(own.a[real] * len(own.words) + own.b[pair], return_inverse=True)
+        histories, history = np.unique(own.a[real].astype(np.int64) * len(own.words) + own.b[pair], return_inverse=True)
+        history = history.astype(np.int32)
         kept = _kept(own.n3[real], single.shares[3])
         total, factor, alpha2 = _backoff(history, len(histories), own.n3[real], kept, p2[pair])
         p = p2[own.pair]
         p[real] = np.where(own.n3[real] > 0, kept * factor[history] / total[history], alpha2[history] * p2[pair])
 
         # each asked trigram's own values, and their sums by document
-        score = np.log10(p)[own.at]
-        last = own.c[own.pair[own.at]]
-        base = np.log10((of_word + smooth) / (single.tokens + smooth * (single.types + 1)))[last]
-        known = (of_word > 0)[last].astype(np.float64)
+        p = np.log10(p)
+        of_base = np.log10((of_word + smooth) / (single.tokens + smooth * (single.types + 1)))
+        del kept, total, factor, pair, p1, p2
         rows = []
         for i, (slice_id, ids, sizes) in enumerate(zip(*[asked[c].to_pylist() for c in ("slice", "ids", "sizes")])):
-            part = slice(own.edges[i], own.edges[i + 1])
+            at = own.at[own.edges[i] : own.edges[i + 1]]
+            last = own.c[own.pair[at]]
             document, times = own.document[i], own.times[i]
-            sums = [np.bincount(document, weights=np.repeat(x[part], times)) for x in (known, base, score)]
+            sums = [np.bincount(document, weights=np.repeat(x, times)) for x in (of_word[last] > 0, of_base[last], p[at])]
             some = np.flatnonzero(np.bincount(document))
             blobs = [_pack(some.astype(np.int32)), _squeezed(sums[0][some].astype(np.int32)), _squeezed(sums[1][some]), _squeezed(sums[2][some])]
             rows.append(["answer", int(asked["shard"][0].as_py()), slice_id, ids, sizes, single.tokens, *blobs, *[None] * len(_MODEL)])

@@ -25,7 +25,11 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_libc = ctypes.CDLL(None)
+_trim = getattr(_libc, "malloc_trim", None)
+#: Arrays of a MB or more stand in memory of their own, which goes back to the system when they go.
+if hasattr(_libc, "mallopt"):
+    _libc.mallopt(-3, 1 << 20)
 
 
 def give_back() -> None:
