@@ -31,7 +31,7 @@ START, END = mix(np.array([0xA11CE, 0xB0B], dtype=U64))
 LARGEST_DISCOUNTED = 5
 #: Tokens of a slice, and bytes of text for each shard.
 SLICE_TOKENS = 1_500_000
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 12 << 20
 #: A word that is one of so many tokens, or more, is sent by its number in a list that all tasks have; there
 #: can be no more such words than this.
 COMMON_ONE_IN = 1 << 19
@@ -368,14 +368,14 @@ def _evaluated(smooth: float, stored: bool, common: Broadcast):
             rows.append(["answer", int(asked["shard"][0].as_py()), slice_id, ids, sizes, single.tokens, *blobs, *[None] * len(_MODEL)])
         if stored:
             held = [np.flatnonzero(x) for x in (own.n1 > 0, own.n2 > 0, (own.n3 > 0) & (own.a >= 0))]
-            seen = np.flatnonzero(np.bincount(history, weights=own.n3[real], minlength=len(histories)))
+            often = np.flatnonzero(np.bincount(history, weights=own.n3[real], minlength=len(histories)) > 1)
             small = lambda x: _squeezed(x.astype(np.int32))
             of_pair = np.cumsum(own.n2 > 0) - 1
             used = np.zeros(len(own.words), dtype=bool)
             used[own.b[held[1]]] = used[own.c[held[1]]] = used[own.a[held[2]]] = True
             place = np.cumsum(used) - 1
             model = [_pack(own.words[used]), small(own.n1[used]), _squeezed(alpha1[used]), small(place[own.b[held[1]]]), small(place[own.c[held[1]]]), small(own.n2[held[1]])]
-            model += [small(place[histories[seen] // len(own.words)]), small(place[histories[seen] % len(own.words)]), _squeezed(alpha2[seen])]
+            model += [small(place[histories[often] // len(own.words)]), small(place[histories[often] % len(own.words)]), _squeezed(alpha2[often])]
             model += [_pack(of_pair[own.pair[held[2]]].astype(np.int32)), small(place[own.a[held[2]]]), small(own.n3[held[2]])]
             rows.append(["model", int(asked["shard"][0].as_py()), None, None, None, single.tokens, *[None] * len(_ANSWER), *model])
         del own
@@ -404,7 +404,8 @@ def _summed(answers: pa.Table) -> pa.Table:
 class KatzScores:
     """scores: doc_id, n_tokens, n_known, train_tokens, base_score, score of every row. model: one row and one
     partition for each shard, with the hashes of its words, the counts of its n-grams by places among them, and
-    the backoff weights of histories of one token and of two."""
+    the backoff weights of histories of one token and of two; that of two tokens that occur once follows from the
+    one n-gram that they begin, and is left out."""
 
     scores: DataFrame
     model: DataFrame
