@@ -1,9 +1,12 @@
 """Text functions over columns: chunks, cleaning, descriptors, names."""
 
 import re
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 CHUNK_SIZE, CHUNK_OVERLAP = 3072, 1024
 #: Characters that mark no place of their own.
@@ -160,3 +163,51 @@ def rolling_hue(name: Column) -> Column:
 def string_list(value: Column) -> Column:
     """A list of strings of one string; nothing of null."""
     return F.when(value.isNull(), F.array().cast("array<string>")).otherwise(F.array(value))
+
+
+def flat_list(values: Column) -> Column:
+    """A list of lists as one list; nothing of null."""
+    return F.coalesce(F.flatten(values), F.array().cast("array<string>"))
+
+
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Letters and their marks as single characters (NFC), which Spark has no function for."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def is_number(word: Column) -> Column:
+    """Whether a word has digits alone, or the letters of Roman numerals alone; an empty one counts."""
+    bare = F.trim(word)
+    return (F.translate(bare, "0123456789", "") == "") | (F.translate(bare, "IVXLCDM", "") == "")
+
+
+#: A short title is cut between these lengths.
+TITLE_LEAST, TITLE_MOST = 30, 70
+TSHEG = "\u0f0b"
+
+
+def cut_title(title: Column) -> Column:
+    """A title of more than TITLE_MOST characters, cut: at the first of its signs , . - : ; from TITLE_LEAST on, if
+    none of those that it has stands before that only; else at a space, behind a tsheg, or at TITLE_MOST."""
+    after = lambda c: F.locate(c, title, TITLE_LEAST + 1) - 1  # noqa: E731  -1: not there
+    signs = F.array_min(F.filter(F.array(*[F.when(F.contains(title, F.lit(c)), after(c)) for c in ",.-:;"]), lambda p: p.isNotNull()))
+    between = lambda p, low: (p > low) & (p < TITLE_MOST)
+    space, tsheg = after(" "), after(TSHEG)
+    at = F.when(between(signs, TITLE_LEAST), signs).when(between(space, TITLE_LEAST - 1), space).when(between(tsheg, TITLE_LEAST - 1), tsheg + 1).otherwise(TITLE_MOST)
+    return F.when(F.length(title) > TITLE_MOST, F.substring(title, F.lit(1), at)).otherwise(title)
+
+
+def human_filename(title: Column, title_sort: Column, author: Column, series: Column | None = None) -> Column:
+    """Short title, the number that the title ends with, and author, in the folder of a series if one is given.
+
+    The number is the title's first word if that is one, else the last word of the sort title, else the first word
+    of the title that is one."""
+    words, last = F.split(title, " "), F.element_at(F.split(title_sort, " "), -1)
+    first = F.get(words, F.lit(0))
+    inner = F.get(F.filter(words, is_number), F.lit(0))
+    number = F.coalesce(F.when(is_number(first), first).when(is_number(last), last).otherwise(inner), F.lit(""))
+    short = F.trim(cut_title(clean_filename(title_sort)))
+    named = F.when((number != "") & ~F.contains(short, number), F.concat_ws(" ", short, number)).otherwise(short)
+    name = F.concat(F.trim(named), F.lit(" - "), clean_filename(author))
+    return name if series is None else F.concat_ws("/", series, name)

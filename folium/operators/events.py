@@ -5,6 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions import chronology
 from folium.functions import keys as key_language
 
 #: Buckets that one interval of an overlap join may cover; longer ones are joined apart.
@@ -93,6 +94,31 @@ def in_order(rows: DataFrame, table: str = "table_id", row: str = "row_id") -> D
     return marked.where(fits).drop("_start", "_end")
 
 
+def without_restarts(rows: DataFrame) -> DataFrame:
+    """Rows (cells) of tables, but for a header or a rule that stands again in the middle."""
+    first = F.get("cells", F.lit(0))
+    return rows.where(~((first == "Date") | (first.startswith("-") & first.endswith("-"))))
+
+
+def events_of_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (table_id, columns, rows, metadata) as events, and tables, added, skipped in all.
+
+    events: table_id, row_id, jd_start, jd_end, eventdata and metadata as arrays of (k, v). Of the rows of valid
+    tables those go whose date is none or ends before it starts, and those that step back in time; they are
+    skipped. eventdata holds the other cells by the names of their columns."""
+    good = valid_tables(tables.withColumn("domain", F.col("metadata")["domain"]))
+    pairs = lambda keys, values: F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    metadata = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.struct(k.alias("k"), F.col("metadata")[k].alias("v")))
+    rows = good.select("table_id", "columns", metadata.alias("metadata"), F.posexplode("rows").alias("row_id", "cells"))
+    dated = without_restarts(rows).withColumn("_jd", chronology.parse(F.get("cells", F.lit(0))))
+    data = pairs(F.slice("columns", 2, F.size("columns") - 1), F.slice("cells", 2, F.size("columns") - 1))
+    all_rows = dated.select("table_id", "row_id", F.col("_jd.jd_start").alias("jd_start"), F.col("_jd.jd_end").alias("jd_end"), data.alias("eventdata"), "metadata")
+    added = in_order(all_rows)
+    count = lambda rows, name: rows.agg(F.count("*").alias(name))
+    sums = count(good, "tables").crossJoin(count(added, "added")).crossJoin(count(all_rows, "rows"))  # one row each
+    return added, sums.select("tables", "added", (F.col("rows") - F.col("added")).alias("skipped"))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
     """Pairs of intervals (l_id, l_start, l_end) and (r_id, r_start, r_end) that share a point.
 

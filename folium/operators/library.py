@@ -45,8 +45,8 @@ def keyword_search(metadata: DataFrame, library: DataFrame, query: str, source:
 
 def with_metadata(items: DataFrame, metadata: DataFrame, *columns: str) -> DataFrame:
     """items with columns of the metadata of their descriptor, or else of its directory."""
-    own = metadata.select(F.col("descriptor"), F.struct(*columns).alias("_own"))
-    parent = metadata.select(F.col("descriptor").alias("_dir"), F.struct(*columns).alias("_parent"))
+    one = metadata.groupBy("descriptor").agg(F.min(F.struct(*columns)).alias("_own"))  # a descriptor may stand there twice
+    own, parent = one, one.withColumnsRenamed({"descriptor": "_dir", "_own": "_parent"})
     both = items.withColumn("_dir", text_functions.directory(F.col("descriptor"))).join(own, "descriptor", "left").join(parent, "_dir", "left")
     picked = F.coalesce("_own", "_parent")
     return both.select(*items.columns, *[picked[c].alias(c) for c in columns])
@@ -80,7 +80,10 @@ def synced(files: DataFrame, library: DataFrame) -> DataFrame:
     """The library after a sync: what it holds of the files, and the first file of each new content."""
     columns = ["hash", "source_name", "descriptor", "text"]
     kept = present(library, files, "hash").select(*columns)
-    new = first_claims(missing(files, library, "hash")).where("claim = 1").select(*columns)
+    # who is first is found out without texts, and the texts of those alone are fetched
+    order = F.min(F.struct("ord", "descriptor")).alias("_first")
+    firsts = missing(files.select("hash", "ord", "descriptor"), library, "hash").groupBy("hash").agg(order).select("hash", "_first.*")
+    new = files.join(firsts, ["hash", "ord", "descriptor"], "left_semi").dropDuplicates(["hash"]).select(*columns)
     return kept.unionByName(new)
 
 
@@ -108,6 +111,56 @@ def cache_report(cache: DataFrame, library: DataFrame) -> DataFrame:
     return marked.agg(F.count("*").alias("entries"), F.count_if("previous_failure").alias("failures"), F.count_if(F.col("_held").isNull()).alias("orphans"))
 
 
+def cache_statistics(cache: DataFrame, library: DataFrame, files: DataFrame) -> DataFrame:
+    """entries, failures, orphans (of no text in the library), missing (texts without an entry), deleted (entries
+    whose cached file is gone) of a cache (hash, previous_failure)."""
+    held, there = library.select("hash", F.lit(1).alias("_held")).distinct(), files.select("hash", F.lit(1).alias("_file")).distinct()
+    both = cache.withColumn("_entry", F.lit(1)).join(held, "hash", "full_outer").join(there, "hash", "left")
+    entry = F.col("_entry").isNotNull()
+    return both.agg(F.count("_entry").alias("entries"), F.count_if(entry & F.col("previous_failure")).alias("failures"), F.count_if(entry & F.col("_held").isNull()).alias("orphans"), F.count_if(~entry).alias("missing"), F.count_if(entry & F.col("_file").isNull()).alias("deleted"))
+
+
+def to_hash(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """files (path, length, modified) with the hash that the cache has for the same length and time, or null: those
+    are read and hashed anew."""
+    known = cache.select("path", "length", "modified", F.col("hash").alias("_hash"))
+    return files.join(known, ["path", "length", "modified"], "left").withColumnRenamed("_hash", "hash")
+
+
+def to_extract(files: DataFrame, cache: DataFrame, retry: bool = False) -> DataFrame:
+    """PDF files (path, length) whose text is not cached for that length; earlier failures of the same length
+    count as cached unless they are to be tried again."""
+    done = cache.where(~F.col("previous_failure")) if retry else cache
+    return files.join(done.select("path", "length").distinct(), ["path", "length"], "left_anti")
+
+
+def listing(entries: DataFrame, parts: list[str]) -> DataFrame:
+    """Entries whose descriptor has all parts in it."""
+    found = entries
+    for part in parts:
+        found = found.where(F.contains("descriptor", F.lit(part)))
+    return found
+
+
+def pruned(work: DataFrame, most: int, *order: str) -> DataFrame:
+    """The first rows of a worklist, as many as one run may import."""
+    return work.orderBy(*order).limit(most)
+
+
+def read_performance(shared: DataFrame, local: DataFrame) -> DataFrame:
+    """The shared records where there are any, else the local ones, by task and timing."""
+    some = shared.limit(1).agg((F.count("*") > 0).alias("_some"))
+    either = shared.withColumn("_shared", F.lit(True)).unionByName(local.withColumn("_shared", F.lit(False)))
+    return either.crossJoin(F.broadcast(some)).where(F.col("_shared") == F.col("_some")).drop("_shared", "_some").orderBy("task", "timing")
+
+
+def coerced(value: Column, kind: Column) -> Column:
+    """The canonical text of a variable of a kind (int, float, bool); null where it is none of the kind."""
+    low = F.lower(value)
+    whole = F.when(F.trim(value).rlike(r"^[+-]?\d+$"), F.trim(value).try_cast("long").cast("string"))
+    return F.when(kind == "int", whole).when(kind == "float", F.trim(value).try_cast("double").cast("string")).when((kind == "bool") & low.isin("true", "false"), low)
+
+
 def normalised_metadata(raw: DataFrame) -> DataFrame:
     """Metadata columns with aliases resolved and defaults filled in: nulls become empty, the context
     defaults to the folders of the descriptor, the uuid to one made of the hash."""

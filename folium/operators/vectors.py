@@ -3,12 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions.chronology import once
+from folium.operators.embedding import Embedder, windows_embedded
 from folium.operators.ordered import running
 
-#: Rows of a query table that one search may broadcast.
-MOST_QUERIES = 1000
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -67,11 +65,16 @@ def significance(cosines: Column, cutoff: float = 0.0) -> Column:
     exponential, and 0 below the cutoff; as they are where all are equal."""
     low, high = F.least(F.lit(1.0), F.array_min(cosines)), F.greatest(F.lit(0.0), F.array_max(cosines))
 
-    def bent(c: Column) -> Column:
-        value = (F.exp((c - low) / (high - low)) - 1) / (F.exp(F.lit(1.0)) - 1)
-        return F.when(value < cutoff, 0.0).otherwise(value)
+    def curve(bounds: Column) -> Column:
+        low, high = bounds["low"], bounds["high"]
+
+        def bent(c: Column) -> Column:
+            value = (F.exp((c - low) / (high - low)) - 1) / (F.exp(F.lit(1.0)) - 1)
+            return F.when(value < cutoff, 0.0).otherwise(value)
+
+        return F.when(high - low > 0, F.transform(cosines, bent)).otherwise(cosines)
 
-    return F.when(high - low > 0, F.transform(cosines, bent)).otherwise(cosines)
+    return once(F.struct(low.alias("low"), high.alias("high")), curve)
 
 
 def flat_significance(cosines: Column) -> Column:
@@ -83,8 +86,35 @@ def flat_significance(cosines: Column) -> Column:
 def spread_significance(steps_values: Column, n: Column, cosine: Column, steps: int = 16, dampening: float = 1.4) -> Column:
     """One value for each of n characters: that of its step, times the hit's cosine over the dampening."""
     damp = dampening or 1.0
-    at = lambda i: F.get(steps_values, F.floor(i / steps).cast("int")) * cosine / damp
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast("array<double>"))
+    at = lambda values: lambda i: F.get(values, F.floor(i / steps).cast("int")) * cosine / damp
+    spread = once(steps_values, lambda values: F.transform(F.sequence(F.lit(0), n - 1), at(values)))
+    return F.when(n > 0, spread).otherwise(F.array().cast("array<double>"))
+
+
+def highlighted(hits: DataFrame, query: list[float], embed: Embedder, length: int = 32, steps: int = 16, cutoff: float = 0.3, dampening: float = 1.4) -> DataFrame:
+    """hits (key, text, cosine) with steps (the significance of each window) and marks (that of each character).
+
+    The windows of a hit's text are embedded and compared with the query; the curve of their cosines is bent, cut
+    off and spread over the characters, weighted by the hit's own cosine."""
+    windows = hits.select("key", context_windows(F.col("text"), length, steps).alias("windows"))
+    vector = F.array(*[F.lit(float(x)) for x in query])
+    curves = windows_embedded(windows, embed).select("key", F.transform("vectors", lambda v: dot(v, vector)).alias("_cosines"))
+    both = hits.join(curves, "key").withColumn("steps", significance(F.col("_cosines"), cutoff)).drop("_cosines")
+    return both.withColumn("marks", spread_significance(F.col("steps"), F.length("text"), F.col("cosine"), steps, dampening))
+
+
+def first_points(points: DataFrame, n: int, *order: str) -> DataFrame:
+    return points.orderBy(*order).limit(n)
+
+
+def sampled_points(points: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
+    """n points without repetition, the same ones for a seed, in the order of their ids."""
+    return points.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n).orderBy(*ids)
+
+
+def with_points(hits: DataFrame, cloud: DataFrame) -> DataFrame:
+    """hits (doc, chunk_index, ...) with x, y, z of their chunk's point; nulls where the cloud has none."""
+    return hits.join(cloud.select("doc", "chunk_index", "x", "y", "z"), ["doc", "chunk_index"], "left")
 
 
 def normalised_cloud(points: DataFrame, side: float = 10.0) -> DataFrame:

@@ -21,6 +21,22 @@ def allowed(path: Column, extensions: list[str], hidden: bool = False) -> Column
     return fine if hidden else fine & ~F.element_at(parts, -1).startswith(".#")
 
 
+def directly_in(files: DataFrame, folder: str, extensions: list[str]) -> DataFrame:
+    """Files (path) of a folder with one of the extensions, without those of its subfolders."""
+    return files.where((text_functions.directory(F.col("path")) == folder.rstrip("/")) & F.lower(text_functions.extension(F.col("path"))).isin(extensions))
+
+
+def created(git: Column, modified: Column) -> Column:
+    """When a note was made: by its history, else by its file, else now."""
+    return F.coalesce(git, modified, F.current_timestamp())
+
+
+def source_type(source: Column, kinds: dict[str, str]) -> Column:
+    """The kind of a source by its name; null of an unknown one."""
+    pairs = [F.lit(x) for pair in kinds.items() for x in pair]
+    return F.create_map(*pairs)[source] if pairs else F.lit(None).cast("string")
+
+
 def scan(spark: SparkSession, root: str, source: str, extensions: list[str]) -> DataFrame:
     """descriptor, path, length, modified, content of a source's files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
@@ -40,6 +56,12 @@ def contents(files: DataFrame) -> DataFrame:
     return files.select(F.sha2("content", 256).alias("hash"), "descriptor", readable(F.col("content")).alias("text"))
 
 
+def utc(stamp: Column) -> Column:
+    """A time with or without a zone as one of UTC, to the second; what is none stays as it is."""
+    time = F.try_to_timestamp(F.when(stamp.rlike(r"(Z|[+-]\d\d:?\d\d)$"), stamp).otherwise(F.concat(stamp, F.lit("Z"))))
+    return F.when(stamp.contains("T") & time.isNotNull(), F.concat(F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))).otherwise(stamp)
+
+
 def read_opf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row for each book of a catalogue's OPF packages."""
     raw = spark.read.format("xml").option("rowTag", "metadata").option("ignoreNamespace", True).schema(OPF).load(paths)
@@ -53,8 +75,10 @@ def opf_books(raw: DataFrame) -> DataFrame:
     authors = F.transform(F.filter("creator", lambda c: c["_role"] == "aut"), lambda c: c["_VALUE"])
     own = lambda i: F.lower(i["_scheme"]).isin("calibre", "uuid")
     ids = F.transform(F.filter("identifier", lambda i: ~own(i)), lambda i: F.concat_ws("/", i["_scheme"], i["_VALUE"]))
+    of_catalogue = F.transform(F.filter("identifier", lambda i: F.lower(i["_scheme"]) == "calibre"), lambda i: F.concat(F.lit("calibre_id/"), i["_VALUE"]))
+    ids = F.concat(ids, of_catalogue)
     empty = F.array().cast("array<string>")
     return raw.select(
         "title", F.coalesce(authors, empty).alias("authors"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("subject", empty).alias("tags"), F.coalesce("language", empty).alias("languages"),
-        F.coalesce(ids, empty).alias("identifiers"), F.col("date").alias("publication_date"), F.coalesce("publisher", F.lit("")).alias("publisher"), meta("calibre:series").alias("series"), text_functions.without_article(meta("calibre:title_sort")).alias("title_sort"),
+        F.coalesce(ids, empty).alias("identifiers"), utc(F.col("date")).alias("publication_date"), F.coalesce("publisher", F.lit("")).alias("publisher"), meta("calibre:series").alias("series"), text_functions.without_article(meta("calibre:title_sort")).alias("title_sort"),
     )
