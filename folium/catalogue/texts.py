@@ -58,11 +58,6 @@ def _years(docs: DataFrame, rest: Column) -> DataFrame:
 
 
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _years(_docs(spark, sf_dir), F.substring("text", 81, 50))
-
-
-def whole_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over whole texts."""
     return _years(_docs(spark, sf_dir), F.expr("substring(text, 81)"))
 
 
@@ -81,11 +76,6 @@ def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def important_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.slice(F.split("text", " "), 1, 12)
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(keys.without_stop_words(words), " ").alias("words"))
-
-
-def whole_important_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over whole texts."""
     return _docs(spark, sf_dir).select("doc_id", F.array_join(keys.without_stop_words(F.split("text", " ")), " ").alias("words"))
 
@@ -110,6 +100,9 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KEYWORD_SQL = f"""WITH {LIBRARY_SQL}, m AS (SELECT descriptor, hash, ord, text AS body, lower(concat_ws(' ', text[1:60], lang, source_name, text[61:360], 'notes')) AS text FROM library WHERE lower(source_name) = 'src3')
 SELECT descriptor, hash, md5(body[61:260] || '...') AS summary_md5 FROM m WHERE ({_word("de")} OR {_word("en")}) AND NOT {_word("fr")} AND contains(text, 'a') AND hash IN (SELECT hash FROM library WHERE ord % 5 != 0)"""
 
+_YEARS_SQL = "WITH y AS (SELECT doc_id, 1790 + doc_id % 320 AS year, length(text[1:80]) + 1 AS place, text[1:80] || chr(10) || (1790 + doc_id % 320) || ' ' || substr(text, 81) AS t FROM documents) SELECT doc_id, place, year, md5(translate(substr(t, greatest(place - 50, 0) + 1, place + 20 - greatest(place - 50, 0)), chr(10) || chr(13) || chr(9), '   ')) AS snippet_md5 FROM y WHERE year BETWEEN 1800 AND 2099"
+_WORDS_SQL = "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' '), lambda w: lower(w)), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in keys.STOP_WORDS) + ")), ' ') AS words FROM documents"
+
 QUERIES = {
     "chunks": (chunks, f"SELECT doc_id, i AS chunk_index, md5(text[i * {STEP} + 1 : i * {STEP} + {SIZE}]) AS chunk_md5, length(text[i * {STEP} + 1 : i * {STEP} + {SIZE}]) AS n FROM documents, LATERAL (SELECT unnest(generate_series(0, {COUNT_SQL} - 1)) AS i)"),
     "chunk_counts": (_of_text(lambda t: dict(n=text.chunk_count(t).cast("long"), small=text.chunk_count(t, SIZE, OVERLAP).cast("long"))), f"SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 WHEN length(text) <= 3072 THEN 1 ELSE (length(text) - 3072 + 2047) // 2048 + 1 END AS n, {COUNT_SQL} AS small FROM documents"),
@@ -145,12 +138,12 @@ SELECT doc_id, md5(CASE WHEN s >= length(text) THEN '' ELSE regexp_replace(subst
         _of_text(lambda t: dict(hue=F.round(text.rolling_hue(F.substring(F.sha2(t, 256), 1, 12)), 6))),
         "SELECT doc_id, round(abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(text)[1:12], ''), lambda c: ascii(c)::BIGINT)), lambda h, c: c + (((h * 32 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) - h) % 360) / 360.0, 6) AS hue FROM documents",
     ),
-    "year_mentions": (years, "WITH y AS (SELECT doc_id, 1790 + doc_id % 320 AS year, length(text[1:80]) + 1 AS place, text[1:80] || chr(10) || (1790 + doc_id % 320) || ' ' || text[81:130] AS t FROM documents) SELECT doc_id, place, year, md5(translate(substr(t, greatest(place - 50, 0) + 1, place + 20 - greatest(place - 50, 0)), chr(10) || chr(13) || chr(9), '   ')) AS snippet_md5 FROM y WHERE year BETWEEN 1800 AND 2099"),
-    "year_mentions_whole": (whole_years, None),
+    "year_mentions": (years, _YEARS_SQL),
+    "year_mentions_whole": (years, _YEARS_SQL),
     "wiki_links": (wiki_links, "SELECT doc_id, unnest([lower(source), lang, doc_id::VARCHAR]) AS target FROM documents"),
     "highlight_terms": (highlight_terms, "SELECT doc_id, unnest(['the', 'of' || lang, 'tion', 'b' || lang, 'y' || lang]) AS term FROM documents"),
-    "important_words": (important_words, "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' ')[1:12], lambda w: lower(w)), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in keys.STOP_WORDS) + ")), ' ') AS words FROM documents"),
-    "important_words_whole": (whole_important_words, None),
+    "important_words": (important_words, _WORDS_SQL),
+    "important_words_whole": (important_words, _WORDS_SQL),
     "keyword_match_and": (_key_query(["the", "of"]), f"SELECT doc_id FROM documents WHERE {_word('the')} AND {_word('of')}"),
     "keyword_match_or": (_key_query(["und|les"]), f"SELECT doc_id FROM documents WHERE {_word('und')} OR {_word('les')}"),
     "keyword_match_not": (_key_query(["!the", "!de"]), f"SELECT doc_id FROM documents WHERE NOT {_word('the')} AND NOT {_word('de')}"),

@@ -75,15 +75,10 @@ def _windows(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _windows(table(spark, sf_dir, "documents"), F.substring("text", 1, 150))
-
-
-def whole_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over whole texts."""
     return _windows(table(spark, sf_dir, "documents"), F.col("text"))
 
 
-_WINDOW_SQL = """WITH t AS (SELECT doc_id, text[1:150] AS t FROM documents), w AS (SELECT doc_id, t, length(t) AS n, j AS k, j * 16 AS i FROM t, LATERAL (SELECT unnest(generate_series(0, (length(t) - 1) // 16)) AS j)),
+_WINDOW_SQL = """WITH t AS (SELECT doc_id, text AS t FROM documents), w AS (SELECT doc_id, t, length(t) AS n, j AS k, j * 16 AS i FROM t, LATERAL (SELECT unnest(generate_series(0, (length(t) - 1) // 16)) AS j)),
 a AS (SELECT *, greatest(i - 16, 0) AS s, least(i + 16, n) AS e FROM w), b AS (SELECT *, CASE WHEN e = n AND s > 0 THEN greatest(n - 32, 0) ELSE s END AS lo, CASE WHEN s = 0 AND e < n THEN least(32, n) ELSE e END AS hi FROM a)
 SELECT doc_id, k AS i, md5(t[lo + 1 : hi]) AS w_md5 FROM b"""
 
@@ -98,11 +93,6 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.shades(chunks(spark, sf_dir).where("chunk_index <= doc % 5")).select("doc", "chunk_index", F.round("lightness", 6).alias("lightness"))
-
-
-def whole_shades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all chunks."""
     return vectors.shades(chunks(spark, sf_dir)).select("doc", "chunk_index", F.round("lightness", 6).alias("lightness"))
 
 
@@ -124,6 +114,8 @@ def gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.range_faults(d.select(F.col("doc_id").alias("id"), (F.col("doc_id") * 10 + F.col("doc_id") % 3).alias("start"), (8 + F.col("doc_id") % 5).alias("len")))
 
 
+_SHADE_SQL = f"WITH {CHUNKS_SQL}, c AS (SELECT doc, chunk_index, max(chunk_index) OVER (PARTITION BY doc) AS most FROM chunks) SELECT doc, chunk_index, round(CASE WHEN most > 0 THEN 0.6::DOUBLE - chunk_index::DOUBLE / most * 0.3::DOUBLE ELSE 0.5 END, 6) AS lightness FROM c"
+
 QUERIES = {
     "semantic_topk": (topk, f"WITH {_BEST_SQL} SELECT row_number() OVER (ORDER BY cosine DESC, doc) AS rank, doc, chunk_index, round(cosine, 6) AS cosine FROM best QUALIFY rank <= {K}"),
     "semantic_topk_gated": (gated, f"WITH {_BEST_SQL} SELECT row_number() OVER (ORDER BY cosine DESC, doc) AS rank, doc, chunk_index, round(cosine, 6) AS cosine FROM best WHERE doc = 0 OR cosine > (SELECT cosine FROM best WHERE doc = 0) QUALIFY rank <= {K}"),
@@ -133,10 +125,10 @@ QUERIES = {
     "significance_flat": (flat, f"WITH {SCORES_SQL}, r AS (SELECT doc, chunk_index AS i, cosine, min(cosine) OVER (PARTITION BY doc) AS lo, max(cosine) OVER (PARTITION BY doc) AS hi FROM scores) SELECT doc, i, round(CASE WHEN hi > lo THEN (cosine - lo) / (hi - lo) WHEN cosine > 0 THEN 1.0 ELSE 0.0 END, 6) AS v FROM r"),
     "significance_spread": (spread, f"WITH {SCORES_SQL}, m AS (SELECT doc, max(chunk_index) AS last FROM scores GROUP BY doc), v AS (SELECT doc, cosine * 0.7::DOUBLE / 1.4::DOUBLE AS v, CASE WHEN chunk_index = last THEN 13 ELSE 16 END AS times FROM scores JOIN m USING (doc)) SELECT doc, sum(times)::BIGINT AS n, round(sum(v * times), 6) AS total FROM v GROUP BY doc"),
     "context_windows": (windows, _WINDOW_SQL),
-    "context_windows_whole": (whole_windows, None),
+    "context_windows_whole": (windows, _WINDOW_SQL),
     "cloud_normalise": (cloud, f"WITH {CHUNKS_SQL}, p AS (SELECT doc, chunk_index, embedding[1] AS x, embedding[2] * 2 AS y, embedding[3] AS z FROM chunks), b AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS b_y, min(z) AS az, max(z) AS bz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS reach FROM p) SELECT doc, chunk_index, round((x - (ax + bx) / 2) / reach * 10, 6) AS x, round((y - (ay + b_y) / 2) / reach * 10, 6) AS y, round((z - (az + bz) / 2) / reach * 10, 6) AS z FROM p, b"),
-    "doc_shade": (shades, f"WITH {CHUNKS_SQL}, c AS (SELECT doc, chunk_index, max(chunk_index) OVER (PARTITION BY doc) AS most FROM chunks WHERE chunk_index <= doc % 5) SELECT doc, chunk_index, round(CASE WHEN most > 0 THEN 0.6::DOUBLE - chunk_index::DOUBLE / most * 0.3::DOUBLE ELSE 0.5 END, 6) AS lightness FROM c"),
-    "doc_shade_whole": (whole_shades, None),
+    "doc_shade": (shades, _SHADE_SQL),
+    "doc_shade_whole": (shades, _SHADE_SQL),
     "doc_hue": (hues, f"WITH {CHUNKS_SQL}, d AS (SELECT DISTINCT doc FROM chunks) SELECT doc, round((row_number() OVER (ORDER BY doc) - 1)::DOUBLE / count(*) OVER (), 6) AS hue FROM d"),
     "pca_cloud": (pca, None),
     "pointer_compaction": (compaction, "WITH r AS (SELECT doc_id AS id, doc_id * 10 AS start, doc_id % 10 AS len, doc_id % 3 = 0 AS deleted FROM documents), c AS (SELECT *, coalesce(sum(CASE WHEN deleted THEN len ELSE 0 END) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM r) SELECT id, (start - gone)::BIGINT AS new_start, len FROM c WHERE NOT deleted"),
