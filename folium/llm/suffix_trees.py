@@ -19,7 +19,7 @@ from folium.llm.repeats import SLICE, merged, range_arrays, with_removed_ranges
 from folium.llm.words import flat, sliced, word_hashes, words
 
 #: Suffixes whose subtrees are built at once.
-GROUP_SUFFIXES = 1 << 19
+GROUP_SUFFIXES = 1 << 16
 ADDED = ["kept_text", "n_words", "n_removed", "kept_sha256"]
 
 
@@ -57,9 +57,9 @@ def prefix_groups(symbols: np.ndarray, suffixes: np.ndarray, depth: int, limit:
                 begin = i
 
 
-def deep_nodes(symbols: np.ndarray, suffixes: np.ndarray, depth: int, limit: int = GROUP_SUFFIXES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def deep_nodes(symbols: np.ndarray, suffixes: np.ndarray, depth: int, limit: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(node, suffix) pairs: the leaves below internal nodes at depth words or deeper."""
-    for length, node, held in prefix_groups(symbols, suffixes, depth, limit):
+    for length, node, held in prefix_groups(symbols, suffixes, depth, limit or GROUP_SUFFIXES):
         while length < depth and len(held):
             order, child = _branch(node, symbols[held + length])
             held, node = held[order][child >= 0], child[child >= 0]

@@ -2,7 +2,9 @@ import hashlib
 import random
 import re
 
-from folium.llm import suffix_arrays, suffix_trees
+import numpy as np
+
+from folium.llm import repeats, suffix_arrays, suffix_trees
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -73,3 +75,13 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_trees.remove_repeats(docs, 5).count() == 0
     assert suffix_arrays.remove_repeats(docs, 5).count() == 0
+
+
+def test_a_shard_of_the_usual_size_is_split_by_prefixes():
+    """With the constants as they are: prefixes of one word and more, none of them with too many suffixes."""
+    rng = np.random.default_rng(0)
+    n = repeats.SHARD_UNITS["words"]
+    names = np.where(rng.random(n) < 0.3, 0, rng.zipf(1.3, n) % 20_000)
+    groups = list(suffix_trees.prefix_groups(names, np.arange(n - 20), 20, suffix_trees.GROUP_SUFFIXES))
+    assert len(groups) > 4 and max(length for length, _, _ in groups) > 1
+    assert all(len(held) <= suffix_trees.GROUP_SUFFIXES for _, _, held in groups)

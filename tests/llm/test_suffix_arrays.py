@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from folium.llm import suffix_arrays
+from folium.llm import repeats, suffix_arrays
 
 
 def _shared(a, b, cap):
@@ -45,3 +45,18 @@ def test_arrays_and_queues_beyond_memory_stand_in_files(monkeypatch):
     rows = [(np.array([1, 2]), np.array([0, 5]), [b"abcdefgh", b"xxbcdefgh"])]
     document, start, end = find(iter(rows))
     assert list(zip(document.tolist(), start.tolist(), end.tolist())) == [(2, 7, 14)]
+
+
+def test_a_shard_of_the_usual_size_is_sorted_through_files(monkeypatch):
+    """With the constants as they are: the queues write to files and the arrays stand in files."""
+    spilled, filed = [], []
+    file_, room = suffix_arrays.BucketQueue._file, suffix_arrays.room
+    monkeypatch.setattr(suffix_arrays.BucketQueue, "_file", lambda self: spilled.append(self.count) or file_(self))
+    monkeypatch.setattr(suffix_arrays, "room", lambda n, kind: filed.append(n * np.dtype(kind).itemsize > suffix_arrays.FILE_FROM) or room(n, kind))
+    rng = np.random.default_rng(0)
+    words = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(3000)]
+    body = " ".join(rng.choice(words, 400_000)).encode()[: repeats.SHARD_UNITS["bytes"] - 1000]
+    bodies = [body, b"x" + body[5000:6000]]
+    document, start, end = suffix_arrays.repeated_windows(100)(iter([(np.array([1, 2]), np.array([0, 0]), bodies)]))
+    assert list(zip(document.tolist(), start.tolist(), end.tolist())) == [(2, 1, 1001)]
+    assert spilled and any(filed)
