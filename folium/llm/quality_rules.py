@@ -64,11 +64,13 @@ def alphabets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in sliced(batch, limit=SLICE):
                 for name, _, points, _ in _by_model(part):
-                    found, n = np.unique(points, return_counts=True)
-                    held = total.setdefault(name, np.zeros((2, 0), dtype=np.int64))
-                    keys, at = np.unique(np.concatenate((held[0], found)), return_inverse=True)
-                    total[name] = np.stack((keys, np.bincount(at, weights=np.concatenate((held[1], n))).astype(np.int64)))
-        for name, (keys, n) in total.items():
+                    n = np.bincount(points)  # as long as the largest code point
+                    held = total.setdefault(name, np.zeros(0x10000, dtype=np.int64))
+                    if len(n) > len(held):
+                        held = total[name] = np.append(held, np.zeros(0x110000 - len(held), dtype=np.int64))
+                    held[: len(n)] += n
+        for name, counts in total.items():
+            keys, n = np.flatnonzero(counts), counts[counts > 0]
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys, pa.int32()), pa.array(n)], names=["model", "point", "n"])
 
     counts = docs.select("model", "text").mapInArrow(run, "model string, point int, n long").groupBy("model", "point").agg(F.sum("n").alias("n"))
