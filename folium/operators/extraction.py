@@ -27,7 +27,7 @@ def year_clauses(texts: list[str]) -> list[str]:
 
 def pieces(texts: DataFrame, size: int = 4000, most: int = 12000) -> DataFrame:
     """doc_id, piece, text: the first most characters in pieces of size that do not overlap."""
-    n = F.least(F.length("text"), F.lit(most))
+    n = F.when(F.length("text") > most, most).otherwise(F.length("text"))
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
     cut = texts.select("doc_id", "text", F.posexplode(starts).alias("piece", "start"))
     return cut.select("doc_id", "piece", F.substring(F.col("text"), F.col("start") + 1, F.least(F.lit(size), F.lit(most) - F.col("start"))).alias("text"))

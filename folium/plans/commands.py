@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions import chronology, keys, text
-from folium.operators import events, integrity, library, vectors
+from folium.operators import events, extraction, integrity, library, vectors
+from folium.sources import assembly, snapshots
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,8 @@ class Desk:
 
     texts (hash, source_name, descriptor, text), metadata (descriptor, title, authors, ...), chunks (model,
     doc, chunk_index, embedding; doc is a hash), timeline (jd_start, jd_end, context, eventdata, metadata).
-    embed gives the vector of a query."""
+    embed gives the vector of a query, extract the events of a text. files (hash, source_name, descriptor, text,
+    ord) are what a sync takes in; root is the folder of the stored library, shared that of the published one."""
 
     texts: DataFrame
     metadata: DataFrame
@@ -44,6 +46,11 @@ class Desk:
     embed: Callable[[str], list[float]]
     model: str
     settings: Settings = field(default_factory=Settings)
+    files: DataFrame | None = None
+    root: str = ""
+    shared: str = ""
+    extract: extraction.Extractor = extraction.year_clauses
+    disabled: set[str] = field(default_factory=set)
 
     def run(self, line: str) -> DataFrame:
         """The command's result; ValueError for a line that is none."""
@@ -53,6 +60,29 @@ class Desk:
             raise ValueError(f"no such command: {name}")
         return command(*keys.arguments(rest))
 
+    def answer(self, request: str, given: dict[str, str] | None = None) -> DataFrame:
+        """What a client asks for by the name of a request, with named values; ValueError for an unknown one."""
+        given = given or {}
+        at = lambda: self.texts.where(F.col("descriptor") == given["descriptor"])
+        index = F.lit(int(given.get("chunk_index", 0)))
+        requests: dict[str, Callable[[], DataFrame]] = {
+            "test": lambda: self._done(True),
+            "list_models": lambda: self.do_list(["models"], {}),
+            "search": lambda: self.do_search(given["text"].split(), given),
+            "select": lambda: self.do_select([given["model"]], {}),
+            "get_3d_viz_data": lambda: self.do_index3d([], {}),
+            "get_metadata": lambda: self.do_show([given["descriptor"]], {}),
+            "get_vars": lambda: self.do_list(["vars"], {}),
+            "set_var": lambda: self.do_set([], {given["name"]: given["value"]}),
+            "get_text": lambda: self.do_open([given["descriptor"]], {}),
+            "get_text_chunk": lambda: at().select(text.sentence_chunk(F.col("text"), index).alias("chunk")),
+            "get_chunk_details": lambda: at().select(text.chunk_start(index).alias("start"), text.chunk_at(F.col("text"), index).alias("chunk"), text.chunk_count(F.col("text")).alias("chunks")),
+            "timeline": lambda: self.do_timeline([], given),
+        }
+        if request not in requests:
+            raise ValueError(f"no such request: {request}")
+        return requests[request]()
+
     def do_list(self, plain: list[str], named: dict[str, str]) -> DataFrame:
         """list sources | models | vars | timeline"""
         what = plain[0] if plain else "sources"
@@ -82,7 +112,7 @@ class Desk:
         scores = vectors.scored(self.chunks.where(F.col("model") == self.model), self.embed(" ".join(plain)))
         hits = vectors.ranked(vectors.best_chunks(scores), settings.search_results)
         chunk = text.clean_text(text.sentence_chunk(F.col("text"), F.col("chunk_index")))
-        found = self.texts.withColumnRenamed("hash", "doc").join(F.broadcast(hits), "doc")
+        found = self.texts.withColumnRenamed("hash", "doc").join(hits, "doc")
         return found.select("rank", "descriptor", "cosine", chunk.alias("chunk")).orderBy("rank")
 
     def do_ksearch(self, plain: list[str], named: dict[str, str]) -> DataFrame:
@@ -118,6 +148,64 @@ class Desk:
         own = self.chunks.where(F.col("model") == self.model).withColumnRenamed("doc", "hash")
         return library.missing(self.texts, own, "hash").select("hash", "descriptor", text.chunk_count(F.col("text")).alias("chunks"))
 
+    def do_timeline_extract(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """timeline_extract descriptor: the dated events that the extractor finds in its text"""
+        text_of = self.texts.where(F.col("descriptor") == plain[0]).select(F.col("descriptor").alias("doc_id"), "text")
+        return extraction.extracted(text_of, self.extract).select("date_text", "event_description")
+
+    def do_index3d(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """index3d [folder=path]: the chunks of the model as points; written as JSON if a folder is given"""
+        points = vectors.normalised_cloud(vectors.projected(self.chunks.where(F.col("model") == self.model)))
+        if "folder" in named:
+            points.write.mode("overwrite").json(f"{named['folder']}/{self.model}")
+        return points
+
+    def do_sync(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """sync: takes the sources' files into the library and stores it; what became of each file"""
+        actions = library.sync_actions(self.files, self.texts)
+        if self.root:
+            # both are stored before the library changes under them
+            snapshots.write(self.root, {"texts": library.synced(self.files, self.texts), "actions": actions})
+            actions, self.texts = (snapshots.read(self.texts.sparkSession, self.root, name) for name in ("actions", "texts"))
+        return actions
+
+    def do_enable(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """enable model: its vectors are made and searched"""
+        self.disabled = self.disabled - set(plain)
+        return self._enabled()
+
+    def do_disable(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """disable model"""
+        self.disabled = self.disabled | set(plain)
+        return self._enabled()
+
+    def _enabled(self) -> DataFrame:
+        return self.do_list(["models"], {}).withColumn("enabled", ~F.col("model").isin(sorted(self.disabled)))
+
+    def do_publish(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """publish: the stored library to the shared folder, if that is older"""
+        return self._done(snapshots.publish(self.texts.sparkSession, self.root, self.shared))
+
+    def do_import(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """import: the shared library, if it is newer than the stored one"""
+        spark = self.texts.sparkSession
+        done = snapshots.fetch(spark, self.shared, self.root)
+        if done:
+            self.texts = snapshots.read(spark, self.root, "texts")
+        return self._done(done)
+
+    def _done(self, done: bool) -> DataFrame:
+        return self.texts.sparkSession.createDataFrame([(done,)], "done boolean")
+
+    def do_export(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """export part: how many Markdown notes with it in their path a way to Org and back would change"""
+        return assembly.export_check(self.texts.select(F.col("descriptor").alias("path"), "text"), plain[0] if plain else "")
+
+    def do_clean(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """clean: drops the vectors of texts that are gone; how many are left for each model"""
+        self.chunks = library.present(self.chunks.withColumnRenamed("doc", "hash"), self.texts, "hash").withColumnRenamed("hash", "doc")
+        return self.do_list(["models"], {})
+
     def do_help(self, plain: list[str], named: dict[str, str]) -> DataFrame:
         rows = [(n.removeprefix("do_"), (getattr(type(self), n).__doc__ or "").split("\n")[0]) for n in sorted(dir(self)) if n.startswith("do_")]
         return self.texts.sparkSession.createDataFrame(rows, "command string, help string")

@@ -1,5 +1,6 @@
 import pytest
 
+from folium.functions import keys
 from folium.operators import library
 from folium.plans import commands, samples
 from tests.conftest import SF
@@ -28,3 +29,38 @@ def test_commands(desk):
         assert desk.run(line).count() > 0
     with pytest.raises(ValueError):
         desk.run("fly away")
+
+
+def test_requests_of_a_client(desk):
+    first = desk.texts.orderBy("ord").first()
+    at = {"descriptor": first["descriptor"]}
+    assert desk.answer("get_text", at).first()["text"] == first["text"]
+    assert desk.answer("get_chunk_details", at | {"chunk_index": "0"}).first()["chunk"] == first["text"][:3072]
+    assert first["text"].strip().startswith(desk.answer("get_text_chunk", at).first()["chunk"][:20])
+    assert desk.answer("set_var", {"name": "search_results", "value": "3"}).count() > 0
+    assert desk.answer("search", {"text": "any words"}).count() == 3
+    for request in ("test", "list_models", "get_vars", "get_3d_viz_data"):
+        assert desk.answer(request).count() > 0
+    assert desk.answer("timeline", keys.named_arguments('now time="2024-01-10 - 2024-01-12" keywords=view')).count() > 0
+    assert desk.answer("get_metadata", at).count() == 1 and desk.answer("select", {"model": "m"}).count() == 1
+    with pytest.raises(ValueError):
+        desk.answer("fly")
+
+
+def test_commands_that_change_the_library(desk, tmp_path):
+    desk.root, desk.shared = f"file://{tmp_path}/own", f"file://{tmp_path}/shared"
+    whole = desk.texts
+    desk.files = whole.where("ord % 2 = 0")
+    actions = {r["action"]: r["count"] for r in desk.run("sync").groupBy("action").count().collect()}
+    assert actions == {"unchanged": desk.files.count(), "debris": whole.count() - desk.files.count()}
+    assert desk.texts.count() == desk.files.count()
+    assert [desk.run(c).first()["done"] for c in ("publish", "publish", "import")] == [True, False, False]
+    desk.root = f"file://{tmp_path}/other"
+    assert desk.run("import").first()["done"] and desk.texts.count() == desk.files.count()
+    before = desk.chunks.count()
+    assert desk.run("clean").first()["chunks"] < before
+    assert [desk.run(c).first()["enabled"] for c in ("disable m", "enable m")] == [False, True]
+    assert desk.run("export /fr/").first()["tested"] == desk.texts.where("lang = 'fr'" if "lang" in desk.texts.columns else "descriptor like '%/fr/%'").count()
+    name = desk.texts.first()["descriptor"]
+    assert desk.run(f'timeline_extract "{name}"').columns == ["date_text", "event_description"]
+    assert desk.run(f"index3d folder=file://{tmp_path}/cloud").count() == desk.chunks.count()
