@@ -7,37 +7,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset on one machine (tests), a temporary one is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="folium-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def written_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def append(df: DataFrame, path: str, partition_by: tuple[str, ...]) -> None:
-    """Adds the rows of df to the table of a path."""
-    df.write.mode("append").partitionBy(*partition_by).parquet(path)
-
-
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = written_folder(spark, name)
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.folder = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing will read again."""
-    for table in tables:
-        spark = table.sparkSession
-        folder = spark._jvm.org.apache.hadoop.fs.Path(table.folder)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return spark.read.schema(df.schema).parquet(path)
