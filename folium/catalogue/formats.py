@@ -67,6 +67,5 @@ QUERIES = {
     "note_tables": (tables, _TABLES_SQL),
     "org_properties": (properties, "SELECT doc_id AS note_id, 'before' || chr(10) AS prefix, 'A \"b\" ' || lang AS title, '[\"one\",\"two\"]' AS tags, '2020-01-01 Wed' AS \"when\", 'body ' || source AS body FROM documents"),
     "md_org_roundtrip": (round_trip, "SELECT doc_id AS note_id, doc_id % 5 != 0 AS same FROM documents"),
-    "md_org_roundtrip_whole": (round_trip, "SELECT doc_id AS note_id, doc_id % 5 != 0 AS same FROM documents"),
     "opf_metadata": (opf, "SELECT 'T ' || doc_id AS title, 'A ' || lang AS authors, 's1,' || source AS tags, lang AS languages, 'ISBN/978,calibre_id/7' AS identifiers, 'T' AS title_sort FROM documents"),
 }

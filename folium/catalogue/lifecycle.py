@@ -94,7 +94,7 @@ def extract_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EXTRACT_SQL = r"""WITH t AS (SELECT doc_id, 'In ' || (doc_id % 900 + 1100) || ' it rose. By ' || (doc_id % 500 + 1500) || ' "it" fell. ' || text || ' At last 1999 came.' AS text FROM documents),
-p AS (SELECT doc_id, k AS piece, substring(text, k * 4000 + 1, least(4000, 12000 - k * 4000)) AS x FROM (SELECT *, unnest(range(0, (least(length(text), 12000) - 1) // 4000 + 1)) AS k FROM t)),
+p AS (SELECT doc_id, k AS piece, substring(text, k * 4000 + 1, 4000) AS x FROM (SELECT *, unnest(range(0, (length(text) - 1) // 4000 + 1)) AS k FROM t)),
 m AS (SELECT doc_id, piece, unnest(range(0, len(f))) AS n, f FROM (SELECT *, regexp_extract_all(x, '\b[0-9]{4}\b[^.]+\.') AS f FROM p))
 SELECT doc_id, piece::BIGINT AS piece, n::BIGINT AS n, substring(f[n + 1], 1, 4) AS date_text, regexp_replace(substring(f[n + 1], 5, length(f[n + 1]) - 5), '^\s+|\s+$', '', 'g') AS event_description FROM m"""
 

@@ -139,11 +139,9 @@ SELECT doc_id, md5(CASE WHEN s >= length(text) THEN '' ELSE regexp_replace(subst
         "SELECT doc_id, round(abs(list_reduce(list_prepend(0::BIGINT, list_transform(string_split(sha256(text)[1:12], ''), lambda c: ascii(c)::BIGINT)), lambda h, c: c + (((h * 32 + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) - h) % 360) / 360.0, 6) AS hue FROM documents",
     ),
     "year_mentions": (years, _YEARS_SQL),
-    "year_mentions_whole": (years, _YEARS_SQL),
     "wiki_links": (wiki_links, "SELECT doc_id, unnest([lower(source), lang, doc_id::VARCHAR]) AS target FROM documents"),
     "highlight_terms": (highlight_terms, "SELECT doc_id, unnest(['the', 'of' || lang, 'tion', 'b' || lang, 'y' || lang]) AS term FROM documents"),
     "important_words": (important_words, _WORDS_SQL),
-    "important_words_whole": (important_words, _WORDS_SQL),
     "keyword_match_and": (_key_query(["the", "of"]), f"SELECT doc_id FROM documents WHERE {_word('the')} AND {_word('of')}"),
     "keyword_match_or": (_key_query(["und|les"]), f"SELECT doc_id FROM documents WHERE {_word('und')} OR {_word('les')}"),
     "keyword_match_not": (_key_query(["!the", "!de"]), f"SELECT doc_id FROM documents WHERE NOT {_word('the')} AND NOT {_word('de')}"),

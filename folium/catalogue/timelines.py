@@ -1,5 +1,6 @@
 """Queries over the timeline."""
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,38 +57,60 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-def _first_day(year: int) -> float:
-    """Of an astronomical year before 1582, by counting days from year 0."""
-    return 1721057.5 + 365 * year - (-year // 4)
+def _order_text(*kinds: str) -> Column:
+    """A text for each order by its key: kind number key % len(kinds). {n} stands for key // len(kinds), {d}, {b}, {m} and
+    {y} for its date in ISO form and as words."""
+    key, date, n = F.col("o_orderkey"), F.col("o_orderdate"), F.floor(F.col("o_orderkey") / len(kinds)).cast("long")
+    named = {"d": F.date_format(date, "yyyy-MM-dd"), "b": F.date_format(date, "MMM d, yyyy"), "m": F.date_format(date, "MMMM yyyy"), "y": F.date_format(date, "MMMM d, yyyy"), "e": F.date_format(F.date_add(date, n.cast("int") % 400), "yyyy-MM-dd")}
+    named |= {"bc": n % 4000 + 2, "less": n % 4000 + 1, "bp": n % 40000 + 2000, "k": n % 300 + 14, "ga": n % 8 + 3, "ad": n % 1500 + 50, "cent": n % 9 + 1, "th": F.element_at(F.array(*[F.lit(x) for x in ("st", "nd", "rd", "th", "th", "th", "th", "th", "th")]), (n % 9 + 1).cast("int"))}
 
+    def text(kind: str) -> Column:
+        pieces = [named[x].cast("string") if x in named else F.lit(x) for x in re.split(r"[{}]", kind) if x]
+        return F.concat(*pieces)
 
-#: text, start and end of points in time; days by the calendar in force.
-TIMES = [
-    ("2020-01-01", 2458849.5, None), ("2000", 2451544.5, None), ("1582-10-15", 2299160.5, None), ("1582-10-04", 2299159.5, None), ("1 AD", 1721423.5, None), ("1 BC", 1721057.5, None),
-    ("2 BC", 1720692.5, None), ("44-03-15 BC", 1705425.5, None), ("950", _first_day(950), None), ("1000 BP", _first_day(950), None), ("10 kya", _first_day(-8050), None), ("10 ka BP", _first_day(-8050), None),
-    ("65 Ma", _first_day(1950 - 65_000_000), None), ("4.5 Ga BP", _first_day(1950 - 4_500_000_000), None), ("100 BC - 50 BC", _first_day(-99), _first_day(-49)), ("2020-01-01 - 2021-01-01", 2458849.5, 2459215.5), ("no time", None, None), ("2020 - never", None, None),
-]
+    found = F.lit(None).cast("string")
+    for at, kind in enumerate(kinds):
+        found = F.when(key % len(kinds) == at, text(kind)).otherwise(found)
+    return found
 
 
-def _values(rows: list[tuple], kinds: tuple[str, ...]) -> str:
-    lit = lambda x, kind: f"NULL::{kind}" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x!r}::{kind}"
-    return ", ".join("(" + ", ".join(lit(x, k) for x, k in zip(row, kinds)) + ")" for row in rows)
+def _order_sql(kinds: int) -> str:
+    """A table t of orders: what _order_text names, and kind."""
+    return f"""n AS (SELECT *, o_orderkey % {kinds} AS kind, o_orderkey // {kinds} AS n, o_orderdate::DATE AS day FROM orders),
+t AS (SELECT *, n % 4000 + 2 AS bc, n % 4000 + 1 AS less, n % 40000 + 2000 AS bp, n % 300 + 14 AS k, n % 8 + 3 AS ga, n % 1500 + 50 AS ad, n % 9 + 1 AS cent, day + (n % 400)::INTEGER AS later FROM n)"""
 
 
-def jd_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t, _, _ in TIMES], "text string")
-    return rows.select("text", chronology.parse(F.col("text")).alias("p")).select("text", "p.jd_start", "p.jd_end")
+#: Times of every form that the parser reads, and two that are none.
+TIMES = ("{d}", "{bc} BC", "{bp} BP", "{k} kya", "{k}.5 Ma", "{ga} Ga BP", "{ad} AD", "{bc} BC - {less} BC", "{d} - {e}", "no time {bc}", "{k} ka BP", "{d} - never")
+_BACK_SQL = "(1721057.5 - 365 * ({0})::BIGINT - ({0})::BIGINT // 4)::DOUBLE"  # the first day of so many years before year 0
+_DAY_SQL = "date_diff('day', DATE '1970-01-01', {0}) + 2440587.5::DOUBLE"
+
+
+def _times_sql() -> str:
+    """t(o_orderkey, o_custkey, text, s, e) by counting days from year 0 or from 1970."""
+    back, day = _BACK_SQL.format, _DAY_SQL.format
+    iso = "strftime(day, '%Y-%m-%d')"
+    texts = [iso, "bc || ' BC'", "bp || ' BP'", "k || ' kya'", "k || '.5 Ma'", "ga || ' Ga BP'", "ad || ' AD'", "bc || ' BC - ' || less || ' BC'", f"{iso} || ' - ' || strftime(later, '%Y-%m-%d')", "'no time ' || bc", "k || ' ka BP'", f"{iso} || ' - never'"]
+    starts = [day("day"), back("bc - 1"), back("bp - 1950"), back("k * 1000 - 1950"), back("k * 1000000 + 500000 - 1950"), back("ga * 1000000000 - 1950"), "(1721057.5 + 365 * ad + (ad + 3) // 4)::DOUBLE", back("bc - 1"), day("day"), "NULL", back("k * 1000 - 1950"), "NULL"]
+    case = lambda xs: "CASE kind " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    return f"WITH {_order_sql(len(TIMES))}, p AS (SELECT o_orderkey, o_custkey, {case(texts)} AS text, {case(starts)} AS s, CASE kind WHEN 7 THEN {back('less - 1')} WHEN 8 THEN {day('later')} END AS e FROM t)"
 
 
-#: day number and canonical text.
-LABELS = [
-    (2458849.5, "2020-01-01"), (2415020.5, "1900-01-01"), (2414655.5, "1899"), (2414686.5, "1899-02"), (2299160.5, "1582-10-15"), (2299159.5, "1582-10-04"), (1721423.5, "1"),
-    (1721057.5, "1 BC"), (1705425.5, "44 BC"), (_first_day(1950 - 16_000), "16000 BP"), (_first_day(1950 - 122_740), "122.74 kya BP"), (_first_day(1950 - 65_000_000), "65000 kya BP"), (_first_day(1950 - 650_000_000), "650 Ma BP"), (_first_day(1950 - 12_320_000_000), "12.32 Ga BP"),
-]
+def jd_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of every form, one for each order."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", _order_text(*TIMES).alias("text"))
+    return rows.select("o_orderkey", "text", chronology.parse(F.col("text")).alias("p")).select("o_orderkey", "text", "p.jd_start", "p.jd_end")
 
 
 def jd_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(jd,) for jd, _ in LABELS], "jd double").select("jd", chronology.label(F.col("jd")).alias("label"))
+    """Canonical texts of the starts of the same times."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", chronology.parse(_order_text(*TIMES))["jd_start"].alias("jd"))
+    return rows.select("o_orderkey", chronology.label(F.col("jd")).alias("label"))
+
+
+_LABELS_SQL = f"""WITH {_order_sql(len(TIMES))} SELECT o_orderkey, CASE WHEN kind IN (0, 8) THEN strftime(day, '%Y-%m-%d') WHEN kind IN (1, 7) THEN bc || ' BC' WHEN kind = 2 AND bp >= 15000 THEN bp || ' BP' WHEN kind = 2 THEN (bp - 1949) || ' BC'
+WHEN kind IN (3, 10) AND k < 15 THEN (k * 1000 - 1949) || ' BC' WHEN kind IN (3, 10) AND k * 1000 < 101950 THEN (k * 1000) || ' BP' WHEN kind IN (3, 10) THEN k || ' kya BP' WHEN kind = 4 AND k < 100 THEN (k * 1000 + 500) || ' kya BP' WHEN kind = 4 THEN k || '.5 Ma BP'
+WHEN kind = 5 AND ga <= 10 THEN (ga * 1000) || ' Ma BP' WHEN kind = 5 THEN ga || ' Ga BP' WHEN kind = 6 THEN ad::VARCHAR END AS label FROM t"""
 
 
 def jd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,14 +120,17 @@ def jd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.select(F.col("d").cast("string").alias("date"), jd.alias("jd"), chronology.label(jd).alias("label"))
 
 
-NORMAL = [
-    ("41 thousand years ago", "41 ka BP"), ("40 ka", "40 ka BP"), ("40 ka BP", "40 ka BP"), ("in January 1962", "1962-01"), ("on the 4 July", "4 July"), ("58 BC to 50 BC", "58 BC - 50 BC"),
-    ("in the 1st century BC", "100 BC - 1 BC"), ("3rd century BC", "300 BC - 201 BC"), ("October 6, 1962", "1962-10-06"), ("Sep 12, 2001", "2001-09-12"), ("Foo 1962", "Foo 1962"), ("1914-1918", "1914 - 1918"), ("1914 1918", "1914 - 1918"), (" as it is ", "as it is"),
-]
+#: Dates in words.
+NORMAL = ("{k} thousand years ago", "{k}.5 ka", "{k} ka BP", "in {m}", "{y}", "{b}", "on the {b}", "{bc} BC to {less} BC", "in the {cent}{th} century BC", "{ad} BC", "1914-1918", " as it is {ad} ", "Foo {ad}", "from 1{cent}99 1999")
+_NORMAL_SQL = f"""WITH {_order_sql(len(NORMAL))}, w AS (SELECT *, strftime(day, '%B %Y') AS m, strftime(day, '%B %-d, %Y') AS y, strftime(day, '%b %-d, %Y') AS b, strftime(day, '%Y-%m-%d') AS iso, CASE cent WHEN 1 THEN 'st' WHEN 2 THEN 'nd' WHEN 3 THEN 'rd' ELSE 'th' END AS th FROM t)
+SELECT o_orderkey, CASE kind WHEN 0 THEN k || ' thousand years ago' WHEN 1 THEN k || '.5 ka' WHEN 2 THEN k || ' ka BP' WHEN 3 THEN 'in ' || m WHEN 4 THEN y WHEN 5 THEN b WHEN 6 THEN 'on the ' || b WHEN 7 THEN bc || ' BC to ' || less || ' BC' WHEN 8 THEN 'in the ' || cent || th || ' century BC' WHEN 9 THEN ad || ' BC' WHEN 10 THEN '1914-1918' WHEN 11 THEN ' as it is ' || ad || ' ' WHEN 12 THEN 'Foo ' || ad ELSE 'from 1' || cent || '99 1999' END AS text,
+CASE kind WHEN 0 THEN k || ' ka BP' WHEN 1 THEN k || '.5 ka BP' WHEN 2 THEN k || ' ka BP' WHEN 3 THEN strftime(day, '%Y-%m') WHEN 7 THEN bc || ' BC - ' || less || ' BC' WHEN 8 THEN (cent * 100) || ' BC - ' || (cent * 100 - 99) || ' BC' WHEN 9 THEN ad || ' BC' WHEN 10 THEN '1914 - 1918' WHEN 11 THEN 'as it is ' || ad WHEN 12 THEN 'Foo ' || ad WHEN 13 THEN '1' || cent || '99 - 1999' ELSE iso END AS date FROM w"""
 
 
 def date_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(t,) for t, _ in NORMAL], "text string").select("text", chronology.normalised(F.col("text")).alias("date"))
+    """Dates in words, one for each order."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", _order_text(*NORMAL).alias("text"))
+    return rows.select("o_orderkey", "text", chronology.normalised(F.col("text")).alias("date"))
 
 
 def order_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +172,10 @@ SELECT r_id, count(*) AS n, sum(id)::BIGINT AS ids FROM o JOIN m ON s <= b AND a
 
 
 def extracted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    times = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(TIMES)], "id long, text string")
-    start = F.coalesce(chronology.parse(F.col("text"))["jd_start"], F.lit(-999999999.0))
-    return times.select("id", "text", F.row_number().over(Window.orderBy(start, "id")).cast("long").alias("place"))
+    """The place of each time among those of its customer; what is no time comes first."""
+    times = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", chronology.parse(_order_text(*TIMES))["jd_start"].alias("jd"))
+    start = F.coalesce("jd", F.lit(-999999999.0))
+    return times.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(start, "o_orderkey")).cast("long").alias("place"))
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +190,7 @@ def in_time_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    reply = F.concat(F.lit("Here: [{“date_text”: “"), (1000 + F.col("doc_id")).cast("string"), F.lit('", "event_description": "a '), "lang", F.lit(' b"}, {"date_text": "x"}, { "event_description" : "c", "date_text":"'), "source", F.lit('" } ...'))
+    reply = F.concat(F.lit("Here: [{“date_text”: “"), (1000 + F.col("doc_id")).cast("string"), F.lit('", "event_description": "a '), "lang", F.lit(' b"}, {"date_text": "x"}, { "event_description" : "c", "date_text":"'), "source", F.lit('" }, {"date_text": "7", "event_description": "the “great” fire of '), "lang", F.lit('" } ...'))
     return events.salvaged_events(d.select(F.col("doc_id").alias("reply_id"), reply.alias("reply"))).select("reply_id", F.col("n").cast("long").alias("n"), "date_text", "event_description")
 
 
@@ -177,15 +204,15 @@ QUERIES = {
     "timeline_domains": (domains, f"WITH {EVENTS_SQL} SELECT event_id FROM tl WHERE (regexp_matches(context, '^view/[^/]*$') OR contains(context, 'purch') OR contains(context, 'view/+')) AND NOT contains(context, '*x') AND NOT contains(context, 'click/1')"),
     "timeline_keywords": (keywords, f"WITH {EVENTS_SQL} SELECT event_id FROM tl WHERE event_type != 'view' AND regexp_matches(user_id::VARCHAR, '^[12]')"),
     "timeline_labels": (labels, f"WITH {EVENTS_SQL}, d AS (SELECT *, strftime(DATE '1970-01-01' + (floor(jd_start) + 0.5 - 2440587.5)::INT, '%Y-%m-%d') AS a, strftime(DATE '1970-01-01' + (floor(jd_end) + 1.5 - 2440587.5)::INT, '%Y-%m-%d') AS b FROM tl) SELECT event_id, CASE WHEN b IS NULL THEN a ELSE a || ' - ' || b END AS date, 'kind: ' || event_type || ', user: ' || user_id AS event FROM d"),
-    "jd_parse": (jd_parse, f"SELECT * FROM (VALUES {_values(TIMES, ('VARCHAR', 'DOUBLE', 'DOUBLE'))}) t(text, jd_start, jd_end)"),
-    "jd_label": (jd_label, f"SELECT * FROM (VALUES {_values(LABELS, ('DOUBLE', 'VARCHAR'))}) t(jd, label)"),
+    "jd_parse": (jd_parse, f"{_times_sql()} SELECT o_orderkey, text, s AS jd_start, e AS jd_end FROM p"),
+    "jd_label": (jd_label, _LABELS_SQL),
     "jd_roundtrip": (jd_roundtrip, "SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS date, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 2440587.5::DOUBLE AS jd, strftime(o_orderdate, '%Y-%m-%d') AS label FROM orders"),
-    "date_normalise": (date_normalise, f"SELECT * FROM (VALUES {_values(NORMAL, ('VARCHAR', 'VARCHAR'))}) t(text, date)"),
+    "date_normalise": (date_normalise, _NORMAL_SQL),
     "event_order_filter": (order_filter, _ORDER_SQL),
     "unique_domain": (unique_domain, "SELECT doc_id AS table_id, lang || '/' || source AS domain FROM documents WHERE doc_id % 7 != 0 AND doc_id % 11 != 0 AND doc_id % 13 != 0 AND doc_id % 5 != 0 QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) = 1"),
     "interval_overlap_join": (overlap_join, _JOIN_SQL),
-    "extracted_order": (extracted_order, f"WITH t AS (SELECT row_number() OVER () - 1 AS id, text, coalesce(jd_start, -999999999.0) AS s FROM (VALUES {_values(TIMES, ('VARCHAR', 'DOUBLE', 'DOUBLE'))}) t(text, jd_start, jd_end)) SELECT id, text, row_number() OVER (ORDER BY s, id) AS place FROM t"),
+    "extracted_order": (extracted_order, f"{_times_sql()} SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY coalesce(s, -999999999.0), o_orderkey) AS place FROM p"),
     "timeline_inventory": (inventory, "SELECT count(DISTINCT event_type || '/' || user_id) AS tables, count(*) AS events FROM events"),
     "timeline_order": (in_time_order, f"WITH {EVENTS_SQL} SELECT event_id, row_number() OVER (PARTITION BY context ORDER BY jd_start, coalesce(jd_end, jd_start), event_id) AS place FROM tl"),
-    "json_salvage": (json_salvage, "SELECT doc_id AS reply_id, unnest([0, 2])::BIGINT AS n, unnest([(1000 + doc_id)::VARCHAR, source]) AS date_text, unnest(['a ' || lang || ' b', 'c']) AS event_description FROM documents"),
+    "json_salvage": (json_salvage, "SELECT doc_id AS reply_id, unnest([0, 2, 3])::BIGINT AS n, unnest([(1000 + doc_id)::VARCHAR, source, '7']) AS date_text, unnest(['a ' || lang || ' b', 'c', 'the \"great\" fire of ' || lang]) AS event_description FROM documents"),
 }

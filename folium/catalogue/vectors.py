@@ -125,10 +125,8 @@ QUERIES = {
     "significance_flat": (flat, f"WITH {SCORES_SQL}, r AS (SELECT doc, chunk_index AS i, cosine, min(cosine) OVER (PARTITION BY doc) AS lo, max(cosine) OVER (PARTITION BY doc) AS hi FROM scores) SELECT doc, i, round(CASE WHEN hi > lo THEN (cosine - lo) / (hi - lo) WHEN cosine > 0 THEN 1.0 ELSE 0.0 END, 6) AS v FROM r"),
     "significance_spread": (spread, f"WITH {SCORES_SQL}, m AS (SELECT doc, max(chunk_index) AS last FROM scores GROUP BY doc), v AS (SELECT doc, cosine * 0.7::DOUBLE / 1.4::DOUBLE AS v, CASE WHEN chunk_index = last THEN 13 ELSE 16 END AS times FROM scores JOIN m USING (doc)) SELECT doc, sum(times)::BIGINT AS n, round(sum(v * times), 6) AS total FROM v GROUP BY doc"),
     "context_windows": (windows, _WINDOW_SQL),
-    "context_windows_whole": (windows, _WINDOW_SQL),
     "cloud_normalise": (cloud, f"WITH {CHUNKS_SQL}, p AS (SELECT doc, chunk_index, embedding[1] AS x, embedding[2] * 2 AS y, embedding[3] AS z FROM chunks), b AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS b_y, min(z) AS az, max(z) AS bz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS reach FROM p) SELECT doc, chunk_index, round((x - (ax + bx) / 2) / reach * 10, 6) AS x, round((y - (ay + b_y) / 2) / reach * 10, 6) AS y, round((z - (az + bz) / 2) / reach * 10, 6) AS z FROM p, b"),
     "doc_shade": (shades, _SHADE_SQL),
-    "doc_shade_whole": (shades, _SHADE_SQL),
     "doc_hue": (hues, f"WITH {CHUNKS_SQL}, d AS (SELECT DISTINCT doc FROM chunks) SELECT doc, round((row_number() OVER (ORDER BY doc) - 1)::DOUBLE / count(*) OVER (), 6) AS hue FROM d"),
     "pca_cloud": (pca, None),
     "pointer_compaction": (compaction, "WITH r AS (SELECT doc_id AS id, doc_id * 10 AS start, doc_id % 10 AS len, doc_id % 3 = 0 AS deleted FROM documents), c AS (SELECT *, coalesce(sum(CASE WHEN deleted THEN len ELSE 0 END) OVER (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM r) SELECT id, (start - gone)::BIGINT AS new_start, len FROM c WHERE NOT deleted"),

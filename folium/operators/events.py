@@ -11,6 +11,9 @@ from folium.functions import keys as key_language
 #: Buckets that one interval of an overlap join may cover; longer ones are joined apart.
 MOST_BUCKETS = 64
 
+#: Characters of a text that are searched for years at once.
+YEAR_BLOCK = 16_384
+
 
 def overlap_class(start: Column, end: Column, from_: Column, to: Column | None = None) -> Column:
     """inside, covers or partial: how an event lies to a query; null if it does not touch it.
@@ -144,21 +147,33 @@ def overlap_join(left: DataFrame, right: DataFrame, width: float) -> DataFrame:
 
 
 def years_in_text(texts: DataFrame, before: int = 50, after: int = 20) -> DataFrame:
-    """doc_id, at, year, snippet of every number from 1800 to 2099 that stands alone; at counts from 0."""
-    parts = F.split("text", r"(?<![\p{L}\p{N}_])(?=(?:18|19|20)\d\d(?![\p{L}\p{N}_]))")
-    cut = texts.select("doc_id", "text", F.posexplode(parts).alias("n", "part"))
-    upto = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    placed = cut.withColumn("at", F.coalesce(F.sum(F.length("part")).over(upto), F.lit(0)))
-    found = placed.where(F.col("part").rlike(r"^(?:18|19|20)\d\d(?![\p{L}\p{N}_])"))
-    start = F.greatest(F.col("at") - before, F.lit(0)).cast("int")
-    snippet = F.translate(F.substring(F.col("text"), start + 1, (F.col("at") + after - start).cast("int")), "\n\r\t", "   ")
-    return found.select("doc_id", "at", F.substring("part", 1, 4).cast("int").alias("year"), snippet.alias("snippet"))
+    """doc_id, at, year, snippet of every number from 1800 to 2099 that stands alone; at counts from 0.
+
+    A text is read in blocks, each with what a snippet or a neighbour needs on either side, so nothing is shuffled."""
+    length, low = F.length("text"), F.greatest(F.col("start") - max(before, 1), F.lit(0))
+    starts = F.when(length > 0, F.sequence(F.lit(0), length - 1, F.lit(YEAR_BLOCK))).otherwise(F.array().cast("array<int>"))
+    blocks = texts.select("doc_id", "text", F.explode(starts).alias("start")).select("doc_id", "start", low.alias("low"), F.substring(F.col("text"), low + 1, F.col("start") - low + YEAR_BLOCK + max(after, 5)).alias("block"))
+    parts = F.split("block", r"(?<![\p{L}\p{N}_])(?=(?:18|19|20)\d\d(?![\p{L}\p{N}_]))")
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,year:int>>").alias("found"))
+    hit = lambda s, p: F.array(F.struct(s["at"].alias("at"), F.substring(p, 1, 4).cast("int").alias("year")))
+    is_year = lambda p: p.rlike(r"^(?:18|19|20)\d\d(?![\p{L}\p{N}_])")
+    step = lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(is_year(p), F.concat(s["found"], hit(s, p))).otherwise(s["found"]).alias("found"))
+    found = blocks.select("doc_id", "start", "low", "block", F.explode(F.aggregate(parts, none, step)["found"]).alias("hit"))
+    at, first = F.col("low") + F.col("hit.at"), F.greatest(F.col("hit.at") - before, F.lit(0))
+    snippet = F.translate(F.substring(F.col("block"), first + 1, F.col("hit.at") + after - first), "\n\r\t", "   ")
+    own = (at >= F.col("start")) & (at < F.col("start") + YEAR_BLOCK)
+    return found.where(own).select("doc_id", at.cast("long").alias("at"), F.col("hit.year").alias("year"), snippet.alias("snippet"))
 
 
 def salvaged_events(replies: DataFrame) -> DataFrame:
-    """reply_id, n, date_text, event_description out of flat {...} blocks of text that is not quite JSON."""
-    plain = F.translate("reply", "“”„‘’", "\"\"\"''")
-    blocks = replies.select("reply_id", F.posexplode(F.regexp_extract_all(plain, F.lit(r"\{[^{}]*\}"), F.lit(0))).alias("n", "block"))
-    field = lambda name: F.regexp_extract("block", rf'"{name}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1)
-    both = blocks.select("reply_id", "n", field("date_text").alias("date_text"), field("event_description").alias("event_description"))
+    """reply_id, n, date_text, event_description out of flat {...} blocks of text that is not quite JSON.
+
+    A date ends at its next quote. A description may hold quotes that nobody escaped: it ends at the last quote
+    before the closing brace, else at the last before a comma, and in any case before the key of the date."""
+    plain = F.translate("reply", "“”‘’", "\"\"''")
+    blocks = replies.select("reply_id", F.posexplode(F.regexp_extract_all(plain, F.lit(r"\{[^}]*\}"), F.lit(0))).alias("n", "block"))
+    upto = lambda end: F.nullif(F.regexp_extract("block", rf'(?s)"event_description"\s*:\s*"(.*)"\s*{end}', 1), F.lit(""))
+    description = F.regexp_replace(F.coalesce(upto(r"\}"), upto(","), F.lit("")), r'(?s)"\s*,\s*"date_text"\s*:.*$', "")
+    date = F.regexp_extract("block", r'"date_text"\s*:\s*"([^"\n]*)"', 1)
+    both = blocks.select("reply_id", "n", F.trim(date).alias("date_text"), F.regexp_replace(description, r"^\s+|\s+$", "").alias("event_description"))
     return both.where("date_text != '' and event_description != ''")

@@ -25,15 +25,15 @@ def year_clauses(texts: list[str]) -> list[str]:
     return replies
 
 
-def pieces(texts: DataFrame, size: int = 4000, most: int = 12000) -> DataFrame:
-    """doc_id, piece, text: the first most characters in pieces of size that do not overlap."""
-    n = F.when(F.length("text") > most, most).otherwise(F.length("text"))
+def pieces(texts: DataFrame, size: int = 4000, most: int | None = None) -> DataFrame:
+    """doc_id, piece, text: the text, or its first most characters, in pieces of size that do not overlap."""
+    n = F.length("text") if most is None else F.least(F.length("text"), F.lit(most))
     starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
     cut = texts.select("doc_id", "text", F.posexplode(starts).alias("piece", "start"))
-    return cut.select("doc_id", "piece", F.substring(F.col("text"), F.col("start") + 1, F.least(F.lit(size), F.lit(most) - F.col("start"))).alias("text"))
+    return cut.select("doc_id", "piece", F.substring(F.col("text"), F.col("start") + 1, F.least(F.lit(size), n - F.col("start"))).alias("text"))
 
 
-def extracted(texts: DataFrame, extract: Extractor, size: int = 4000, most: int = 12000) -> DataFrame:
+def extracted(texts: DataFrame, extract: Extractor, size: int = 4000, most: int | None = None) -> DataFrame:
     """doc_id, piece, n, date_text, event_description: what stands between the first [ and the last ] of each reply
     as JSON, or else what salvage finds in the reply."""
 

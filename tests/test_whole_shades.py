@@ -13,5 +13,5 @@ def test_shades_of_all_chunks_of_documents_of_different_length(spark, tmp_path):
     held = [(r["doc"], r["chunk_index"]) for r in chunks(spark, str(tmp_path)).collect()]
     most = {doc: max(i for d, i in held if d == doc) for doc, _ in held}
     assert len(held) == len(ids) and len(set(Counter(d for d, _ in held).values())) > 1
-    got = {(r["doc"], r["chunk_index"]): r["lightness"] for r in catalogue.queries()["doc_shade_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["doc"], r["chunk_index"]): r["lightness"] for r in catalogue.queries()["doc_shade"](spark, str(tmp_path)).collect()}
     assert got == {(d, i): pytest.approx(0.6 - i / most[d] * 0.3 if most[d] else 0.5, abs=1e-6) for d, i in held}

@@ -30,7 +30,7 @@ def test_years_anywhere_in_a_text(rows):
             snippet = marked[max(0, m.start() - 50) : m.start() + 20].translate(str.maketrans("\n\r\t", "   "))
             want.add((i + 20, m.start(), int(m.group()), _md5(snippet)))
     assert len(want) == 8
-    assert {tuple(r) for r in rows("year_mentions_whole")} == want
+    assert {tuple(r) for r in rows("year_mentions")} == want
 
 
 def test_windows_of_a_whole_text(rows):
@@ -42,12 +42,12 @@ def test_windows_of_a_whole_text(rows):
             low = max(n - 32, 0) if end == n and start > 0 else start
             high = min(32, n) if start == 0 and end < n else end
             want.add((i + 20, k, _md5(text[low:high])))
-    assert {tuple(r) for r in rows("context_windows_whole")} == want
+    assert {tuple(r) for r in rows("context_windows")} == want
 
 
 def test_important_words_of_a_whole_text(rows):
     want = {(i + 20, " ".join(w for w in text.lower().split(" ") if w not in keys.STOP_WORDS)) for i, text in enumerate(TEXTS)}
-    assert {tuple(r) for r in rows("important_words_whole")} == want
+    assert {tuple(r) for r in rows("important_words")} == want
 
 
 def test_round_trip_of_a_whole_text(spark, tmp_path, monkeypatch):
@@ -59,7 +59,7 @@ def test_round_trip_of_a_whole_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(notes, "round_trips", lambda frame: seen.append(frame) or plain(frame))
     docs = spark.createDataFrame([(i + 21, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    same = {r["note_id"]: r["same"] for r in catalogue.queries()["md_org_roundtrip_whole"](spark, str(tmp_path)).collect()}
+    same = {r["note_id"]: r["same"] for r in catalogue.queries()["md_org_roundtrip"](spark, str(tmp_path)).collect()}
     given = {r["note_id"]: r["text"] for r in seen[0].collect()}
     for i, text in enumerate(TEXTS):
         assert re.sub(r"[^A-Za-z\n .]", "", text) in given[i + 21]
