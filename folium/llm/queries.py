@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, language_model, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, suffix_arrays, suffix_trees, topk_search, whitening
+from folium.llm import bpe, hard_negatives, language_model, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, suffix_arrays, suffix_trees, topk_search, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -85,8 +85,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.sums.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(whitening.identity_error(white, model)).alias("identity_error"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(topk_search.usable(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", label.alias("label"), topk_search.grid(F.col("embedding")).alias("v")), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_katz_backoff, op2_suffix_arrays, op3_suffix_trees, op4_quality_rules, op5_mixing, op6_near_dedup, op7_bpe, op8_sharding, op9_topk_search, op10_quality_classifier, op12_whitening]
+    found = [op1_katz_backoff, op2_suffix_arrays, op3_suffix_trees, op4_quality_rules, op5_mixing, op6_near_dedup, op7_bpe, op8_sharding, op9_topk_search, op10_quality_classifier, op12_whitening, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
