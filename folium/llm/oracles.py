@@ -1,4 +1,5 @@
-"""SQL for the operators that SQL can express: exact repeats, near duplicates, exact search and hard negatives."""
+"""SQL for the operators that SQL can express: exact repeats, near duplicates, exact search and hard
+negatives, and main texts of pages that stand in one article element."""
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -45,10 +46,16 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
+OP11 = r"""WITH mains AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS inner_html FROM pages),
+plain AS (SELECT page_id, url, regexp_replace(regexp_replace(inner_html, '</?(h1|p|br)>', ' ', 'g'), '</?b>', '', 'g') AS t FROM mains),
+decoded AS (SELECT page_id, url, regexp_replace(regexp_replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM plain),
+texts AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM decoded)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM texts"""
+
 OP13 = """WITH usable AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score FROM usable a JOIN usable c ON a.vec_id % 100 = 0 AND a.vec_id != c.vec_id),
 positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
 pairs AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
 SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM pairs WHERE rank <= 10"""
 
-SQL = {"op2_suffix_arrays": OP2, "op3_suffix_trees": OP3, "op6_near_dedup": OP6, "op9_topk_search": OP9, "op13_hard_negatives": OP13}
+SQL = {"op2_suffix_arrays": OP2, "op3_suffix_trees": OP3, "op6_near_dedup": OP6, "op9_topk_search": OP9, "op11_html_extraction": OP11, "op13_hard_negatives": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import bpe, hard_negatives, language_model, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, suffix_arrays, suffix_trees, topk_search, whitening
+from folium.llm import bpe, hard_negatives, html_extraction, language_model, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, suffix_arrays, suffix_trees, topk_search, whitening
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -75,6 +75,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    texts = html_extraction.main_texts(pages, html_extraction.learn(pages))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(topk_search.usable(F.col("embedding")))
     rows = rows.select("vec_id", whitening.grid(F.col("embedding")).alias("x"))
@@ -92,7 +98,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_katz_backoff, op2_suffix_arrays, op3_suffix_trees, op4_quality_rules, op5_mixing, op6_near_dedup, op7_bpe, op8_sharding, op9_topk_search, op10_quality_classifier, op12_whitening, op13_hard_negatives]
+    found = [op1_katz_backoff, op2_suffix_arrays, op3_suffix_trees, op4_quality_rules, op5_mixing, op6_near_dedup, op7_bpe, op8_sharding, op9_topk_search, op10_quality_classifier, op11_html_extraction, op12_whitening, op13_hard_negatives]
     return {f.__name__: f for f in found}
 
 
