@@ -32,6 +32,8 @@ from folium.llm import layouts
 #: Labelled pages that are learnt from at most, and copies of each in other layouts.
 FIT_PAGES = 600
 COPIES = 3
+#: Copies of an empty page.
+PLAIN_COPIES = 300
 #: Fixed values of the language: elements that never hold text of a page, that stand within a line, that are
 #: never closed, and what the start of an element closes.
 SKIPPED = set("script style noscript template head title iframe object svg canvas select textarea button datalist audio video map".split())
@@ -283,18 +285,16 @@ def counts(pages: DataFrame, html: Column, key: Column, copies: int = COPIES) ->
 
 def learn(pages: DataFrame, html: str = "html", key: str = "page_id", most: int = FIT_PAGES) -> Model:
     """The model of the labelled pages among pages, of at most most of them, picked by a hash of their key; null
-    keys and repeated ones are as good as others. Without labelled pages the model knows the copies of an empty
-    page alone."""
+    keys and repeated ones are as good as others. Copies of an empty page come first, so that there is a model
+    where few pages are labelled or none."""
+    found = Counter()
+    for seed in range(PLAIN_COPIES):
+        found.update(_counted(read(layouts.dressed(layouts.Parts([], []), seed))))
     marked = F.col(html).rlike(r"(?i)<(article|main)\b|\bdata-main=")
     picked = pages.where(marked).select(key).distinct().orderBy(F.xxhash64(key), key).limit(most)
     some = pages.where(marked).select(html, key).join(F.broadcast(picked.withColumnRenamed(key, "_picked")), F.col(key).eqNullSafe(F.col("_picked")), "left_semi")
-    found = Counter()
     for r in counts(some, F.col(html), F.col(key)).collect():  # names of a bounded number of pages
-        found[r["name"], r["up"], r["y"]] = r["n"]
-    if not found:
-        empty = Page(["html"], [set()], [-1], [0], [])
-        for seed in range(64):
-            found.update(_counted(read(layouts.dressed(layouts.parts(empty), seed))))
+        found[r["name"], r["up"], r["y"]] += r["n"]
     return model(found)
 
 

@@ -50,7 +50,7 @@ class _Copy:
     def __init__(self, of: Parts, seed: int):
         self.pick, self.of = random.Random(seed), of
         words = [w for _, t in of.main for w in t.split()[:4000]] + [w for t in of.other for w in t.split()]
-        self.words = words or "some words that stand for a text".split()
+        self.words = words or [chr(97 + i % 26) * (1 + i * 7919 % 9) + "." * (i % 11 == 0) for i in range(500)]
 
     def chance(self, p: float) -> bool:
         return self.pick.random() < p
@@ -157,7 +157,7 @@ class _Copy:
         return f"<p>{text}</p>"
 
     def whole(self) -> str:
-        blocks = self.of.main or [("p", self.sentence(5, 60)) for _ in range(3)]
+        blocks = self.of.main or [("p", self.sentence(5, 80)) for _ in range(self.pick.randint(1, 12))]
         if self.chance(0.3):  # a short one
             blocks = blocks[: self.pick.randint(1, 3)]
         head = [b for b in blocks[:1] if b[0].startswith("h")]
