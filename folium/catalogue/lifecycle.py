@@ -99,6 +99,50 @@ m AS (SELECT doc_id, piece, unnest(range(0, len(f))) AS n, f FROM (SELECT *, reg
 SELECT doc_id, piece::BIGINT AS piece, n::BIGINT AS n, substring(f[n + 1], 1, 4) AS date_text, regexp_replace(substring(f[n + 1], 5, length(f[n + 1]) - 5), '^\s+|\s+$', '', 'g') AS event_description FROM m"""
 
 
+def _versioned_notes(spark: SparkSession, sf_dir: str, second: bool) -> DataFrame:
+    """Notes with front matter and a table of three dates. The second time some are gone, some new, and every fifth
+    has changed: it claims another domain, so domains change hands."""
+    i = F.col("doc_id")
+    changed = (i % 5 == 0) if second else F.lit(False)
+    claim = F.when(changed, (i + 7) % 300).otherwise(i % 300)
+    text = F.concat(F.lit("---\ntitle: T"), i, F.when(changed, "b").otherwise("a"), F.lit("\n---\n# Note\n<!-- domain: d/"), claim, F.lit(" -->\n| Date | Event |\n|---|---|\n| "), i % 50 + 1900, F.lit(" | a "), "source", F.when(changed, " moved").otherwise(""), F.lit(" |\n| 1920 | b |\n| 1970 - 1980 | "), "lang", F.lit(" |\n\n"), "text", F.lit("\n"))
+    path = F.concat(F.lit("{"), "source", F.lit("}/"), F.lpad(i.cast("string"), 12, "0"), F.lit(".md"))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 4 != 1" if second else "doc_id % 6 != 0")
+    return docs.select(path.alias("descriptor"), text.alias("text")).withColumn("hash", F.sha2("text", 256))
+
+
+def _synced_twice(spark: SparkSession, sf_dir: str) -> str:
+    root = snapshots.work_folder(spark)
+    for second in (False, True):
+        snapshots.sync_notes(spark, root, _versioned_notes(spark, sf_dir, second), actions=True)
+    return root
+
+
+def metadata_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the notes after a second sync, in which only what changed is parsed."""
+    found = snapshots.read(spark, _synced_twice(spark, sf_dir), "events")
+    data = F.concat_ws(";", F.transform("eventdata", lambda x: F.concat_ws("=", x["k"], x["v"])))
+    return found.select("descriptor", F.col("row_id").cast("long").alias("row_id"), "domain", "jd_start", "jd_end", data.alias("eventdata"))
+
+
+def metadata_sync_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the notes after a second sync, and what became of each; null of those that were as before."""
+    root = _synced_twice(spark, sf_dir)
+    notes_, actions = (snapshots.read(spark, root, name) for name in ("notes", "actions"))
+    title = F.get_json_object("header", "$.title")
+    return notes_.join(actions, "descriptor", "full_outer").select("descriptor", title.alias("title"), "action")
+
+
+_SECOND_SQL = """WITH d AS (SELECT doc_id, lang, source, '{' || source || '}/' || lpad(doc_id::VARCHAR, 12, '0') || '.md' AS descriptor, doc_id % 5 = 0 AS changed, 1900 + doc_id % 50 AS y FROM documents),
+n AS (SELECT *, 'd/' || CASE WHEN changed THEN (doc_id + 7) % 300 ELSE doc_id % 300 END AS domain FROM d WHERE doc_id % 4 != 1)"""
+_SYNC_EVENTS_SQL = _SECOND_SQL + """, g AS (SELECT *, (floor((y + 4715) * 365.25) + floor(14 * 30.6001) + 1 + 2 - (y - 1) // 100 + (y - 1) // 400 - 1524.5)::DOUBLE AS jd FROM n QUALIFY row_number() OVER (PARTITION BY domain ORDER BY descriptor) = 1)
+SELECT descriptor, 0::BIGINT AS row_id, domain, jd AS jd_start, NULL::DOUBLE AS jd_end, 'Event=a ' || source || CASE WHEN changed THEN ' moved' ELSE '' END AS eventdata FROM g
+UNION ALL SELECT descriptor, 1, domain, 2422324.5::DOUBLE, NULL, 'Event=b' FROM g WHERE y <= 1920
+UNION ALL SELECT descriptor, 2, domain, 2440587.5::DOUBLE, 2444239.5::DOUBLE, 'Event=' || lang FROM g"""
+_SYNC_NOTES_SQL = _SECOND_SQL + """ SELECT d.descriptor, CASE WHEN n.doc_id IS NOT NULL THEN 'T' || d.doc_id || CASE WHEN d.changed THEN 'b' ELSE 'a' END END AS title, CASE WHEN n.doc_id IS NULL THEN 'orphan' WHEN d.doc_id % 6 = 0 THEN 'new' WHEN d.changed THEN 'changed' END AS action
+FROM d LEFT JOIN n USING (doc_id) WHERE n.doc_id IS NOT NULL OR d.doc_id % 6 != 0"""
+
+
 def _note_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes with a table of five dates, of which some are none, go back or end too early; domains repeat."""
     i = F.col("doc_id")
@@ -286,6 +330,8 @@ QUERIES = {
     "index_documents": (index_documents, _INDEX_SQL),
     "index_totals": (index_totals, f"WITH {_UNINDEXED_SQL} SELECT model, count(*) AS docs, sum(n)::BIGINT AS chunks FROM counted GROUP BY model"),
     "search_highlight": (search_highlight, _HIGHLIGHT_SQL),
+    "metadata_sync": (metadata_sync, _SYNC_EVENTS_SQL),
+    "metadata_sync_notes": (metadata_sync_notes, _SYNC_NOTES_SQL),
     "extract_events": (extract_events, _EXTRACT_SQL),
     "notes_to_events": (notes_to_events, f"{_TABLE_ROWS_SQL} SELECT doc_id AS note_id, row_id::BIGINT AS row_id, jd_start, jd_end, eventdata FROM r"),
     "notes_to_events_sums": (notes_to_events_sums, f"{_TABLE_ROWS_SQL} SELECT count(DISTINCT doc_id) AS tables, count(*) AS added, count(DISTINCT doc_id) * 5 - count(*) AS skipped FROM r"),

@@ -110,8 +110,8 @@ def events_of_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables those go whose date is none or ends before it starts, and those that step back in time; they are
     skipped. eventdata holds the other cells by the names of their columns."""
     good = valid_tables(tables.withColumn("domain", F.col("metadata")["domain"]))
-    pairs = lambda keys, values: F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
-    metadata = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.struct(k.alias("k"), F.col("metadata")[k].alias("v")))
+    pairs = lambda keys, values: F.zip_with(keys, values, lambda k, v: F.named_struct(F.lit("k"), k, F.lit("v"), v))
+    metadata = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.named_struct(F.lit("k"), k, F.lit("v"), F.col("metadata")[k]))
     rows = good.select("table_id", "columns", metadata.alias("metadata"), F.posexplode("rows").alias("row_id", "cells"))
     dated = without_restarts(rows).withColumn("_jd", chronology.parse(F.get("cells", F.lit(0))))
     data = pairs(F.slice("columns", 2, F.size("columns") - 1), F.slice("cells", 2, F.size("columns") - 1))

@@ -1,18 +1,28 @@
 """Snapshots of a library's tables: written whole, then pointed to; published to a shared folder and fetched from it.
 
-A table's snapshot is a folder of its own, and a row of the table of versions points to it once it is whole, so a
-reader sees the last whole snapshot whatever a writer does. All reads and writes are Spark's, on any store."""
+A table's snapshot is a folder of its own. A version is one file, root/versions/<number>.json, that points to the
+folders of its tables; it is created exclusively once they are whole, so of two writers one gets the number and the
+other sees it. A reader sees the last whole version whatever a writer does. A file that a writer left empty is none."""
 
+import json
+import os
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
+from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.operators import notes_sync
 from folium.operators.library import present, synced, update_required
 
-VERSIONS = "version long, name string, path string"
+VERSION = "version long, tables array<struct<name string, path string>>"
+#: How long a writer that lost a number waits for the other's file to be whole, and how often it starts anew.
+WAIT_SECONDS, MOST_TRIES = 5.0, 20
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -25,41 +35,112 @@ def work_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/folium-{uuid.uuid4().hex}"
 
 
-def _versions(spark: SparkSession, root: str) -> DataFrame:
+def created(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file that is not there yet; False where another writer was first. On a local or mounted folder the
+    system's exclusive creation decides, on other stores theirs."""
+    url = urlparse(path)
+    if url.scheme in ("", "file"):
+        os.makedirs(os.path.dirname(unquote(url.path)), exist_ok=True)
+        try:
+            with open(unquote(url.path), "x") as f:
+                f.write(text)
+        except FileExistsError:
+            return False
+        return True
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     try:
-        return spark.read.schema(VERSIONS).parquet(f"{root}/versions")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def versions(spark: SparkSession, root: str) -> dict[int, dict[str, str]]:
+    """The folders of the tables of each whole version, by number: a line for each version."""
+    try:
+        found = spark.read.schema(VERSION).json(f"{root}/versions").where("version is not null and tables is not null").collect()
     except AnalysisException:  # nothing is written there yet
-        return spark.createDataFrame([], VERSIONS)
+        return {}
+    return {r["version"]: {t["name"]: t["path"] for t in r["tables"]} for r in sorted(found)}
 
 
 def version(spark: SparkSession, root: str) -> int:
     """The number of the last snapshot; 0 without one."""
-    return _versions(spark, root).agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]
+    return max(versions(spark, root), default=0)
+
+
+def written(root: str, tables: dict[str, DataFrame]) -> list[dict[str, str]]:
+    """Writes tables to folders of their own; where they are."""
+    places = []
+    for name, table in tables.items():
+        places.append({"name": name, "path": f"{root}/{name}-{uuid.uuid4().hex}"})
+        table.write.parquet(places[-1]["path"])
+    return places
+
+
+def committed(spark: SparkSession, root: str, places: list[dict[str, str]], number: int) -> bool:
+    """Makes tables that are whole the version of a number; False if the number is taken."""
+    return created(spark, f"{root}/versions/{number:012}.json", json.dumps({"version": number, "tables": places}) + "\n")
 
 
 def write(root: str, tables: dict[str, DataFrame], number: int | None = None) -> int:
-    """Writes tables as the next snapshot (or that of a number); the rows that point to them come last, in one job."""
+    """Writes tables as the next snapshot (or that of a number, which must be free); its number. Other writers'
+    versions stay as they are and count as earlier or later ones."""
     spark = next(iter(tables.values())).sparkSession
-    number = number or version(spark, root) + 1
-    rows = []
-    for name, table in tables.items():
-        path = f"{root}/{name}-{number}-{uuid.uuid4().hex}"
-        table.write.parquet(path)
-        rows.append((number, name, path))
-    spark.createDataFrame(rows, VERSIONS).coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    places = written(root, tables)
+    if number is not None:
+        if not committed(spark, root, places, number):
+            raise ValueError(f"version {number} of {root} is there already")
+        return number
+    number = version(spark, root) + 1
+    while not committed(spark, root, places, number):
+        number += 1
     return number
 
 
-def read(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table of a name in the last snapshot that has it."""
-    found = _versions(spark, root).where(F.col("name") == name).orderBy(F.desc("version")).first()
-    if not found:
-        raise ValueError(f"no snapshot of {name} in {root}")
-    return spark.read.parquet(found["path"])
+def updated(spark: SparkSession, root: str, change: Callable[[int], dict[str, DataFrame]]) -> int:
+    """Writes what change makes of the last version, given its number, as the next one; its number.
+
+    Where another writer takes that number meanwhile, its version is waited for and change starts anew from it,
+    so neither writer's work is lost."""
+    for _ in range(MOST_TRIES):
+        last = version(spark, root)
+        places, number = written(root, change(last)), last + 1
+        while not committed(spark, root, places, number):
+            until = time.monotonic() + WAIT_SECONDS
+            while version(spark, root) < number and time.monotonic() < until:
+                time.sleep(0.05)
+            if version(spark, root) > last:
+                break
+            number += 1  # a writer that died had taken it
+        else:
+            return number
+    raise RuntimeError(f"{root} kept changing: {MOST_TRIES} tries")
+
+
+def read_all(spark: SparkSession, root: str, wanted: list[str] | None = None, number: int | None = None) -> dict[str, DataFrame]:
+    """The tables of some names, or all there are, each in the last snapshot that has it, or the last up to a number."""
+    places: dict[str, str] = {}
+    for n, tables in versions(spark, root).items():
+        if number is None or n <= number:
+            places |= tables
+    for name in wanted or []:
+        if name not in places:
+            raise ValueError(f"no snapshot of {name} in {root}")
+    return {name: spark.read.parquet(places[name]) for name in (sorted(places) if wanted is None else wanted)}
+
+
+def read(spark: SparkSession, root: str, name: str, number: int | None = None) -> DataFrame:
+    """The table of a name in the last snapshot that has it, or the last up to a number."""
+    return read_all(spark, root, [name], number)[name]
 
 
 def names(spark: SparkSession, root: str) -> list[str]:
-    return sorted(r["name"] for r in _versions(spark, root).select("name").distinct().collect())
+    return sorted({name for tables in versions(spark, root).values() for name in tables})
 
 
 def publish(spark: SparkSession, local: str, shared: str) -> bool:
@@ -67,23 +148,26 @@ def publish(spark: SparkSession, local: str, shared: str) -> bool:
     number = version(spark, local)
     if not number or version(spark, shared) >= number:
         return False
-    write(shared, {name: read(spark, local, name) for name in names(spark, local)}, number)
-    return True
+    return committed(spark, shared, written(shared, read_all(spark, local, number=number)), number)
 
 
 def fetch(spark: SparkSession, shared: str, local: str) -> bool:
     """Copies the shared snapshot to the local folder if the gate of versions asks for it; whether it did."""
-    gate = spark.range(1).select(update_required(F.lit(version(spark, local)), F.lit(version(spark, shared)))).first()[0]
-    if not gate or not names(spark, shared):
+    number = version(spark, shared)
+    gate = spark.range(1).select(update_required(F.lit(version(spark, local)), F.lit(number))).first()[0]
+    if not gate or not number:
         return False
-    write(local, {name: read(spark, shared, name) for name in names(spark, shared)}, version(spark, shared))
-    return True
+    return committed(spark, local, written(local, read_all(spark, shared, number=number)), number)
 
 
 def sync(spark: SparkSession, root: str, files: DataFrame) -> int:
     """The snapshot of a library after its files are synced with it."""
-    held = read(spark, root, "texts") if "texts" in names(spark, root) else files.limit(0)
-    return write(root, {"texts": synced(files, held)})
+
+    def change(last: int) -> dict[str, DataFrame]:
+        held = read_all(spark, root, number=last).get("texts", files.limit(0))
+        return {"texts": synced(files, held)}
+
+    return updated(spark, root, change)
 
 
 def load_json(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -98,3 +182,25 @@ def load_json(spark: SparkSession, path: str, schema: str, key: str) -> tuple[Da
 def only_in(entries: DataFrame, library: DataFrame, on: str = "hash") -> DataFrame:
     """Entries of a cache or an index whose text is in the library: what a clean keeps."""
     return present(entries, library, on)
+
+
+def held_notes(spark: SparkSession, root: str, number: int | None = None) -> notes_sync.Notes:
+    """The notes of the last snapshot that has them, or the last up to a number."""
+    return notes_sync.Notes(**read_all(spark, root, list(notes_sync.Notes._fields), number))
+
+
+def sync_notes(spark: SparkSession, root: str, files: DataFrame, actions: bool = False) -> int:
+    """The snapshot of the notes of files (descriptor, hash, text) after a sync; notes that are as they were are not
+    parsed again. With actions, what became of each note that was not is a table of the snapshot, too."""
+
+    def keep(table: DataFrame) -> DataFrame:
+        path = f"{root}/delta-{uuid.uuid4().hex}"
+        table.write.parquet(path)
+        return spark.read.schema(table.schema).parquet(path)
+
+    def change(last: int) -> dict[str, DataFrame]:
+        held = held_notes(spark, root, last) if "notes" in read_all(spark, root, number=last) else notes_sync.nothing(files)
+        made = notes_sync.synced(files, held, keep)._asdict()
+        return made | ({"actions": notes_sync.touched(files, held)} if actions else {})
+
+    return updated(spark, root, change)
