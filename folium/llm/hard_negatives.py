@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from folium.llm.storage import written
 from folium.llm.topk_search import _matrix, _products
 
-#: Rows of a chunk and of a lowest node, more or less; of a leaf of the tree within a task.
-NODE_ROWS = 2048
-LEAF_ROWS = 32
+#: Rows of a chunk and of a lowest node, more or less, and of a leaf of the tree within a task; of anchors fewer,
+#: as a node is pruned for all of its anchors or for none.
+NODE_ROWS, ANCHOR_ROWS = 2048, 512
+LEAF_ROWS, ANCHOR_LEAF = 32, 8
 #: Rows that the k-d tree of the order is fitted on, and its levels.
 SAMPLE_ROWS = 4096
 CELL_LEVELS = 8
@@ -105,10 +106,10 @@ class Side(NamedTuple):
         return F.shiftright("seq", self.bits)
 
 
-def _packed(rows: DataFrame, width: int, name: str) -> Side:
+def _packed(rows: DataFrame, width: int, name: str, node_rows: int = NODE_ROWS) -> Side:
     """rows in order of label and cell as chunks, written."""
     n = rows.count()
-    parts = max(1, min(MOST_PARTITIONS, -(-n // NODE_ROWS)))
+    parts = max(1, min(MOST_PARTITIONS, -(-n // node_rows)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, held, size = TaskContext.get().partitionId() << CHUNK_BITS, [], 0
@@ -116,15 +117,15 @@ def _packed(rows: DataFrame, width: int, name: str) -> Side:
         def chunk(rows: pa.Table) -> pa.RecordBatch:
             v, labels = _matrix(rows["v"], width), rows["label"].to_numpy()
             centre, radius = _ball(v)
-            one = {"seq": [seq], "n": pa.array([len(v)], pa.int32()), "low_label": [int(labels.min())], "high_label": [int(labels.max())], "centre": [centre.tolist()], "radius": [radius]}
+            one = {"seq": [seq], "n": pa.array([len(v)], pa.int32()), "low_label": [int(labels.min())], "high_label": [int(labels.max())], "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius]}
             return pa.RecordBatch.from_pydict(one | {"ids": [rows["vec_id"].to_numpy().tobytes()], "labels": [labels.tobytes()], "vectors": [v.tobytes()], "width": pa.array([width], pa.int32())})
 
         for batch in batches:
             held, size = [*held, batch], size + len(batch)
-            while size >= NODE_ROWS:
+            while size >= node_rows:
                 table = pa.Table.from_batches(held)
-                yield chunk(table.slice(0, NODE_ROWS))
-                seq, held, size = seq + 1, table.slice(NODE_ROWS).to_batches(), size - NODE_ROWS
+                yield chunk(table.slice(0, node_rows))
+                seq, held, size = seq + 1, table.slice(node_rows).to_batches(), size - node_rows
         if size:
             yield chunk(pa.Table.from_batches(held))
 
@@ -135,7 +136,7 @@ def _packed(rows: DataFrame, width: int, name: str) -> Side:
     if most is None:
         return Side(chunks, 0, [])
     # many small partitions make one lowest node, a large one several
-    bits = 0 if most else CHUNK_BITS + max(0, int(np.log2(max(1.0, NODE_ROWS * full / n))))
+    bits = 0 if most else CHUNK_BITS + max(0, int(np.log2(max(1.0, node_rows * full / n))))
     at, shifts = bits, []
     while last >> at:
         up = NODE_BITS if at >= CHUNK_BITS or most >> at else CHUNK_BITS - at
@@ -153,7 +154,7 @@ def _merged(nodes: pa.Table) -> pa.Table:
     of = lambda c, f: f(nodes[c].to_numpy()).item()
     return pa.table({
         "node": [nodes["parent"][0].as_py()], "parent": [0], "n": [int(n.sum())], "low_label": [of("low_label", np.min)], "high_label": [of("high_label", np.max)],
-        "centre": [centre.tolist()], "radius": [radius], "low": [of("low", np.min)], "high": [of("high", np.max)],
+        "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [radius], "low": [of("low", np.min)], "high": [of("high", np.max)],
     })
 
 
@@ -210,12 +211,12 @@ def _opened(anchors: list[DataFrame], candidates: list[DataFrame], same: bool, n
 class _Tree:
     """A balanced k-d tree over rows: rows in the order of its leaves, and the balls of each level's nodes."""
 
-    def __init__(self, v: np.ndarray):
+    def __init__(self, v: np.ndarray, leaf_rows: int = LEAF_ROWS):
         self.order, edges = np.arange(len(v)), np.array([0, len(v)])
         self.levels = []
         while True:
             self.levels.append(edges)
-            if np.diff(edges).max() <= LEAF_ROWS:
+            if np.diff(edges).max() <= leaf_rows:
                 break
             middle = (edges[:-1] + edges[1:]) // 2
             for s, m, e in zip(edges[:-1], middle, edges[1:]):
@@ -271,7 +272,7 @@ def searched(anchors: Block, windows: dict[int, list[tuple[int, int, int]]], can
     anchors = Block(*[x[asks] for x in anchors])
     if not len(anchors.ids) or not len(candidates.ids):
         return []
-    left, right = _Tree(anchors.v), _Tree(candidates.v)
+    left, right = _Tree(anchors.v, ANCHOR_LEAF), _Tree(candidates.v)
     anchors, candidates = Block(*[x[left.order] for x in anchors]), Block(*[x[right.order] for x in candidates])
     asked = [windows[i] for i in anchors.ids.tolist()]
     low, high = np.array([min(w[1] for w in a) for a in asked], dtype=np.float64), np.array([max(w[2] for w in a) for a in asked], dtype=np.float64)
@@ -302,7 +303,8 @@ def searched(anchors: Block, windows: dict[int, list[tuple[int, int, int]]], can
 def _search(anchors: Side, candidates: Side, below: list[DataFrame], windows: DataFrame, k: int, same: bool, nearest: int | None) -> DataFrame:
     """FOUND rows: for windows (anchor, anchor_id, tag, low, high; anchor is the lowest node) the k best of each."""
     wanted = windows.groupBy(F.col("anchor").alias("node")).agg(F.min("low").cast("double").alias("low"), F.max("high").cast("double").alias("high"))
-    pairs = _opened(_levels(anchors, wanted), below, same, nearest)
+    # the pairs are read for either side, so the way to them is gone once
+    pairs = written(_opened(_levels(anchors, wanted), below, same, nearest), "negatives-pairs")
     packs = ["ids", "labels", "vectors", "width"]
     asked = windows.groupBy("anchor").agg(F.collect_list(F.struct("anchor_id", "tag", "low", "high")).alias("windows"))  # of the anchors of one node
     left = pairs.join(anchors.chunks.select(anchors.node().alias("a_node"), *packs), "a_node").join(asked.withColumnRenamed("anchor", "a_node"), "a_node")
@@ -346,8 +348,8 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     one = one.select("vec_id", "_row.label", "_row.v")
     width, cells = _fitted(one)
     candidates = _packed(_with_cells(one, width, cells), width, "negatives-candidates")
-    anchors = _packed(_with_cells(one.where(is_anchor), width, cells), width, "negatives-anchors")
-    below = _levels(candidates)
+    anchors = _packed(_with_cells(one.where(is_anchor), width, cells), width, "negatives-anchors", ANCHOR_ROWS)
+    below = [written(level, "negatives-nodes") for level in _levels(candidates)]
 
     ids = anchors.chunks.select(anchors.node().alias("anchor"), "ids").mapInArrow(_unpacked_ids, "anchor long, anchor_id long")
     any_score = ids.select("anchor", "anchor_id", F.lit(0).cast("long").alias("tag"), F.lit(NONE).alias("low"), F.lit(ALL).alias("high"))

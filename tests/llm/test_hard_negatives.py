@@ -48,7 +48,7 @@ def test_pairs_of_nodes_are_pruned(spark):
     rows = vectors(20_000, 6, 12, 3)
     df = spark.createDataFrame([(i, label, v.tolist()) for i, (label, v) in rows.items()], "vec_id long, label long, v array<double>")
     width, cells = hard_negatives._fitted(df)
-    sides = [hard_negatives._packed(hard_negatives._with_cells(d, width, cells), width, "t") for d in (df.where("vec_id % 10 = 0"), df)]
+    sides = [hard_negatives._packed(hard_negatives._with_cells(d, width, cells), width, "t", n) for d, n in ((df.where("vec_id % 10 = 0"), hard_negatives.ANCHOR_ROWS), (df, hard_negatives.NODE_ROWS))]
     nodes = [side.chunks.select(side.node()).distinct().count() for side in sides]
     low = sides[0].chunks.select(sides[0].node().alias("node"), F.lit(60_000.0).alias("low"), F.lit(1e18).alias("high")).distinct()
     levels = hard_negatives._levels(sides[0], low), hard_negatives._levels(sides[1])
@@ -73,14 +73,14 @@ def test_a_block_against_brute_force_and_its_pruned_leaves(same):
             fits = [(-scores[i, j], j) for j in range(1600) if low <= scores[i, j] <= high and (labels[j] == some.labels[i]) == same and not (same and j == at)]
             want += [(at, tag, j, -s) for s, j in sorted(fits)[:4]]
     assert sorted(hard_negatives.searched(some, windows, block, 4, same)) == sorted(want)
-    left, right = hard_negatives._Tree(some.v), hard_negatives._Tree(rows)
-    alive = hard_negatives._alive(left, right, np.full(80, 50_000.0), np.full(80, 1e18))
-    assert alive.mean() < 0.3
+    left, right = hard_negatives._Tree(some.v, hard_negatives.ANCHOR_LEAF), hard_negatives._Tree(rows)
+    alive = hard_negatives._alive(left, right, np.full(80, 60_000.0), np.full(80, 1e18))
+    assert alive.shape == (len(left.levels[-1]) - 1, len(right.levels[-1]) - 1) and alive.mean() < 0.5
 
 
 def test_odd_rows(spark, tmp_path):
     """Nulls, repeated rows, ids that repeat, ties, shorter vectors, columns of the operator's names."""
-    rows = [(0, [1.0, 0.0], 1), (100, [1.0, 0.0], 2), (1, [0.5, 0.0], 1), (1, [0.5, 0.0], 1), (2, [0.5, 0.0], 1), (3, [0.25, 0.5], 3), (4, [0.25, -0.5], 4), (5, [0.25], 5), (8, [0.9, 0.1], None), (9, None, 3), (10, [NAN, 0.0], 3), (11, [None, 0.0], 3), (None, [0.3, 0.0], 3), (200, [0.0, -1.0], 9)]
+    rows = [(0, [1.0, 0.0], 0), (100, [1.0, 0.0], 2), (1, [0.5, 0.0], 1), (1, [0.5, 0.0], 1), (2, [0.5, 0.0], 1), (3, [0.25, 0.5], 3), (4, [0.25, -0.5], 4), (5, [0.25], 5), (8, [0.9, 0.1], None), (9, None, 3), (10, [NAN, 0.0], 3), (11, [None, 0.0], 3), (None, [0.3, 0.0], 3), (200, [0.0, -1.0], 9)]
     spark.createDataFrame([(*r, 5, 5, 5) for r in rows], "vec_id long, embedding array<float>, label int, rank int, score int, anchor int").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = sorted(tuple(r) for r in queries.op13_hard_negatives(spark, str(tmp_path)).collect())
     assert got == [(0, i, r + 1, j, 32768, 16384) for i in (1, 2) for r, j in enumerate((3, 4, 5))]
