@@ -53,6 +53,23 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_trips(_docs(spark, sf_dir), F.length("text"))
 
 
+#: Lines of Markdown and what they are in Org; {} stands for letters of a document.
+_TO_ORG = [("# Head {}", "* Head {}"), ("- **{}** and *a* _it_ `co_de`", "- *{}* and /a/ /it/ ~co_de~"), ("* star $x+1$ and $$y$$ for {}", "- star \\(x+1\\) and \\[y\\] for {}"), ("see [{}](http://x.y) and [[note|{}]] [[plain]] <http://a.b>", "see [[http://x.y][{}]] and [[note][{}]] [[plain]] [[http://a.b]]"), ("![pic](p.png) a_b_c {}", "[[p.png]] a_b_c {}"), ("__{}__", "*{}*"), ("| a | b |", "| a | b |"), ("|---|---|", "|---+---|")]
+#: And of Org in Markdown.
+_TO_MARKDOWN = [("** Head {}", "## Head {}"), ("- *{}* and (/it/) ~code~ =verb=", "- **{}** and (_it_) `code` `verb`"), ("-*a*- '*b*' *c*, {}", "-*a*- '*b*' **c**, {}"), ("\\(x+1\\) [[http://x.y][{}]] [[p.png]] [[http://a.b]] [[note]]", "$x+1$ [{}](http://x.y) ![](p.png) <http://a.b> [[note]]"), ("http://a.b/c/d/e {}", "http://a.b/c/d/e {}"), ("|---+---|", "|---|---|")]
+
+
+def _converted(to: str, lines: list[tuple[str, str]]):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        letters = F.regexp_replace("text", r"[^\p{L}]", "")
+        text = F.replace(F.lit("\n".join(a for a, _ in lines)), F.lit("{}"), letters)
+        found = notes.converted(_docs(spark, sf_dir).select(F.col("doc_id").alias("note_id"), text.alias("text")), to)
+        return found.select("note_id", F.md5("text").alias("text_md5"))
+
+    text = "\n".join(b for _, b in lines).replace("'", "''").replace("\n", "' || chr(10) || '")
+    return query, f"SELECT doc_id AS note_id, md5(replace('{text}', '{{}}', regexp_replace(text, '[^\\p{{L}}]', '', 'g'))) AS text_md5 FROM documents"
+
+
 def opf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages made of the documents, through the XML functions."""
     x = F.concat(F.lit("<metadata><title>T "), "doc_id", F.lit('</title><creator role="aut">A '), "lang", F.lit('</creator><creator role="ill">B</creator><subject>s1</subject><subject>'), "source", F.lit('</subject><language>'), "lang", F.lit('</language><identifier scheme="ISBN">978</identifier><identifier scheme="calibre">7</identifier><meta name="calibre:title_sort" content="T, The"/></metadata>'))
@@ -67,5 +84,7 @@ QUERIES = {
     "note_tables": (tables, _TABLES_SQL),
     "org_properties": (properties, "SELECT doc_id AS note_id, 'before' || chr(10) AS prefix, 'A \"b\" ' || lang AS title, '[\"one\",\"two\"]' AS tags, '2020-01-01 Wed' AS \"when\", 'body ' || source AS body FROM documents"),
     "md_org_roundtrip": (round_trip, "SELECT doc_id AS note_id, doc_id % 5 != 0 AS same FROM documents"),
+    "markdown_to_org": _converted("org", _TO_ORG),
+    "org_to_markdown": _converted("markdown", _TO_MARKDOWN),
     "opf_metadata": (opf, "SELECT 'T ' || doc_id AS title, 'A ' || lang AS authors, 's1,' || source AS tags, lang AS languages, 'ISBN/978,calibre_id/7' AS identifiers, 'T' AS title_sort FROM documents"),
 }
