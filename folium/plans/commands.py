@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions import chronology, keys, text
-from folium.operators import events, extraction, integrity, library, vectors
+from folium.operators import embedding, events, extraction, integrity, library, metadata, vectors
 from folium.sources import assembly, snapshots
 
 
@@ -36,8 +36,9 @@ class Desk:
 
     texts (hash, source_name, descriptor, text), metadata (descriptor, title, authors, ...), chunks (model,
     doc, chunk_index, embedding; doc is a hash), timeline (jd_start, jd_end, context, eventdata, metadata).
-    embed gives the vector of a query, extract the events of a text. files (hash, source_name, descriptor, text,
-    ord) are what a sync takes in; root is the folder of the stored library, shared that of the published one."""
+    embed gives the vector of a query, extract the events of a text, embedders the vectors of chunks by model. files
+    (hash, source_name, descriptor, text, ord) are what a sync takes in; root is the folder of the stored library,
+    shared that of the published one."""
 
     texts: DataFrame
     metadata: DataFrame
@@ -51,6 +52,7 @@ class Desk:
     shared: str = ""
     extract: extraction.Extractor = extraction.year_clauses
     disabled: set[str] = field(default_factory=set)
+    embedders: dict[str, embedding.Embedder] = field(default_factory=dict)
 
     def run(self, line: str) -> DataFrame:
         """The command's result; ValueError for a line that is none."""
@@ -107,13 +109,22 @@ class Desk:
         return self.do_list(["models"], {}).where(F.col("model") == self.model)
 
     def do_search(self, plain: list[str], named: dict[str, str]) -> DataFrame:
-        """search words: rank, descriptor, cosine, chunk; the texts of the hits alone are read."""
-        settings = self.settings.with_(named)
-        scores = vectors.scored(self.chunks.where(F.col("model") == self.model), self.embed(" ".join(plain)))
+        """search words: rank, descriptor, cosine, chunk, marks; a disabled model finds nothing.
+
+        The texts of the hits alone are read. marks: how far each character of the chunk answers the words, where
+        highlight is set and the model can embed; else null."""
+        settings, query = self.settings.with_(named), self.embed(" ".join(plain))
+        chunks = self.chunks.where(F.col("model") == self.model)
+        scores = vectors.scored(chunks.limit(0) if self.model in self.disabled else chunks, query)
         hits = vectors.ranked(vectors.best_chunks(scores), settings.search_results)
         chunk = text.clean_text(text.sentence_chunk(F.col("text"), F.col("chunk_index")))
-        found = self.texts.withColumnRenamed("hash", "doc").join(hits, "doc")
-        return found.select("rank", "descriptor", "cosine", chunk.alias("chunk")).orderBy("rank")
+        found = self.texts.withColumnRenamed("hash", "doc").join(hits, "doc").select("rank", "descriptor", "cosine", chunk.alias("chunk"))
+        if settings.highlight and self.model in self.embedders:
+            marked = vectors.highlighted(found.select(F.col("rank").alias("key"), F.col("chunk").alias("text"), "cosine"), query, self.embedders[self.model], settings.context_length, settings.context_steps, settings.highlight_cutoff, settings.highlight_dampening)
+            found = found.join(marked.select(F.col("key").alias("rank"), "marks"), "rank")
+        else:
+            found = found.withColumn("marks", F.lit(None).cast("array<double>"))
+        return found.select("rank", "descriptor", "cosine", "chunk", "marks").orderBy("rank")
 
     def do_ksearch(self, plain: list[str], named: dict[str, str]) -> DataFrame:
         """ksearch keys [source=name]"""
@@ -144,9 +155,42 @@ class Desk:
         return integrity.model_check(self.texts, self.chunks.withColumnRenamed("doc", "hash"))
 
     def do_index(self, plain: list[str], named: dict[str, str]) -> DataFrame:
-        """index: the documents that the model lacks, with their number of chunks"""
-        own = self.chunks.where(F.col("model") == self.model).withColumnRenamed("doc", "hash")
-        return library.missing(self.texts, own, "hash").select("hash", "descriptor", text.chunk_count(F.col("text")).alias("chunks"))
+        """index: makes and stores the vectors that enabled models lack; model, hash, descriptor, chunks of what it was.
+
+        Without embedders it says what the model in use lacks."""
+        held = self.chunks.withColumnRenamed("doc", "hash")
+        enabled = {m: e for m, e in self.embedders.items() if m not in self.disabled}
+        models = sorted(enabled) or [m for m in [self.model] if m not in self.disabled and not self.embedders]
+        if not models:
+            return self.texts.limit(0).select(F.lit("").alias("model"), "hash", "descriptor", F.lit(0).alias("chunks"))
+        lacking = embedding.worklist(self.texts, held, models).select("model", "hash", "chunks")
+        todo = lacking.join(self.texts.select("hash", "descriptor"), "hash").select("model", "hash", "descriptor", "chunks")
+        if enabled:
+            made = embedding.embedded(self.texts, held, enabled).withColumnRenamed("hash", "doc")
+            done = self._stored({"indexed": todo, "chunks": self.chunks.unionByName(made)})
+            todo, self.chunks = done["indexed"], done["chunks"]
+        return todo
+
+    def _stored(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Tables as a version of the stored library, or of a folder of this desk's own where it has none, read back."""
+        spark = self.texts.sparkSession
+        root = self.root or snapshots.work_folder(spark)
+        number = snapshots.write(root, tables)
+        return snapshots.read_all(spark, root, list(tables), number)
+
+    def do_load(self, plain: list[str], named: dict[str, str]) -> DataFrame:
+        """load [force=true]: the tables of the stored library, unless the shared one is newer"""
+        spark = self.texts.sparkSession
+        newer = bool(self.shared) and snapshots.version(spark, self.shared) > snapshots.version(spark, self.root)
+        if newer and named.get("force", "false").lower() != "true":
+            return self._done(False)
+        held = snapshots.read_all(spark, self.root)
+        self.texts, self.chunks = held.get("texts", self.texts), held.get("chunks", self.chunks)
+        if "notes" in held:
+            self.metadata = metadata.entries(held["notes"].withColumn("created", F.lit("")))
+            context = F.get(F.filter("metadata", lambda m: m["k"] == "context"), F.lit(0))["v"]
+            self.timeline = held["events"].withColumn("context", F.coalesce(context, "domain"))
+        return self._done(bool(held))
 
     def do_timeline_extract(self, plain: list[str], named: dict[str, str]) -> DataFrame:
         """timeline_extract descriptor: the dated events that the extractor finds in its text"""
@@ -161,12 +205,16 @@ class Desk:
         return points
 
     def do_sync(self, plain: list[str], named: dict[str, str]) -> DataFrame:
-        """sync: takes the sources' files into the library and stores it; what became of each file"""
+        """sync: takes the sources' files into the library and stores it; what became of each file
+
+        The metadata and the timeline follow from the notes among the files, of which changed ones alone are parsed."""
         actions = library.sync_actions(self.files, self.texts)
         if self.root:
             # both are stored before the library changes under them
-            snapshots.write(self.root, {"texts": library.synced(self.files, self.texts), "actions": actions})
-            actions, self.texts = (snapshots.read(self.texts.sparkSession, self.root, name) for name in ("actions", "texts"))
+            snapshots.write(self.root, {"texts": library.synced(self.files, self.texts), "sync_actions": actions})
+            snapshots.sync_notes(self.texts.sparkSession, self.root, self.files.where(F.lower(text.extension(F.col("descriptor"))) == "md").select("descriptor", "hash", "text"))
+            self.do_load([], {"force": "true"})
+            actions = snapshots.read(self.texts.sparkSession, self.root, "sync_actions")
         return actions
 
     def do_enable(self, plain: list[str], named: dict[str, str]) -> DataFrame:
@@ -191,7 +239,7 @@ class Desk:
         spark = self.texts.sparkSession
         done = snapshots.fetch(spark, self.shared, self.root)
         if done:
-            self.texts = snapshots.read(spark, self.root, "texts")
+            self.do_load([], {"force": "true"})
         return self._done(done)
 
     def _done(self, done: bool) -> DataFrame:
@@ -202,8 +250,9 @@ class Desk:
         return assembly.export_check(self.texts.select(F.col("descriptor").alias("path"), "text"), plain[0] if plain else "")
 
     def do_clean(self, plain: list[str], named: dict[str, str]) -> DataFrame:
-        """clean: drops the vectors of texts that are gone; how many are left for each model"""
-        self.chunks = library.present(self.chunks.withColumnRenamed("doc", "hash"), self.texts, "hash").withColumnRenamed("hash", "doc")
+        """clean: drops the vectors of texts that are gone, and stores what is left; how many for each model"""
+        kept = library.present(self.chunks.withColumnRenamed("doc", "hash"), self.texts, "hash").withColumnRenamed("hash", "doc")
+        self.chunks = self._stored({"chunks": kept})["chunks"]
         return self.do_list(["models"], {})
 
     def do_help(self, plain: list[str], named: dict[str, str]) -> DataFrame:

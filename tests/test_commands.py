@@ -1,8 +1,9 @@
 import pytest
 
 from folium.functions import keys
-from folium.operators import library
+from folium.operators import embedding, library
 from folium.plans import commands, samples
+from folium.sources import snapshots
 from tests.conftest import SF
 from pyspark.sql import functions as F
 
@@ -64,3 +65,36 @@ def test_commands_that_change_the_library(desk, tmp_path):
     name = desk.texts.first()["descriptor"]
     assert desk.run(f'timeline_extract "{name}"').columns == ["date_text", "event_description"]
     assert desk.run(f"index3d folder=file://{tmp_path}/cloud").count() == desk.chunks.count()
+
+
+def test_commands_that_index_search_and_store(spark, tmp_path):
+    """A library of notes from nothing: sync, index, search with marks, timeline, and all of it read by another desk."""
+    note = lambda title, domain, year: f"---\ntitle: {title}\nuuid: u\n---\n<!-- domain: {domain} -->\n| Date | Event |\n|---|---|\n| {year} | {title} rose |\n\nThe {title} runs on.\n"
+    files = [(f"h{i}", "s", f"{{s}}/n/{t}.md", note(t, f"d/{t}", 1900 + i), i) for i, t in enumerate(("river", "bridge"))] + [("h9", "s", "{s}/a.txt", "a plain text", 9)]
+    none = spark.createDataFrame([], "hash string, source_name string, descriptor string, text string")
+    chunks = spark.createDataFrame([], "model string, doc string, chunk_index int, embedding array<float>")
+    embed = embedding.letter_counts(8)
+    new = lambda root: commands.Desk(none, none, chunks, none, lambda words: embedding.unit(embed([words]))[0].tolist(), "m", root=f"file://{root}", embedders={"m": embed, "other": embed})
+    desk = new(tmp_path / "own")
+    desk.files = spark.createDataFrame(files, "hash string, source_name string, descriptor string, text string, ord int")
+    assert {r["action"] for r in desk.run("sync").collect()} == {"insert"}
+    assert {r["title"] for r in desk.metadata.collect()} == {"river", "bridge"} and desk.run("ksearch river").first()["hash"] == "h0"
+    assert [r["event"] for r in desk.run('timeline time="1900 - 1902"').collect()] == ["Event: river rose", "Event: bridge rose"]
+    desk.run("disable other")
+    assert {(r["model"], r["hash"]) for r in desk.run("index").collect()} == {("m", h) for h in ("h0", "h1", "h9")}
+    assert desk.run("index").count() == 0 and desk.chunks.where("model = 'other'").count() == 0
+    hit = desk.run("search The river runs on.").first()
+    assert hit["descriptor"].endswith("river.md") and len(hit["marks"]) == len(hit["chunk"]) and max(hit["marks"]) > 0
+    assert desk.run("search river highlight=false").first()["marks"] is None
+    desk.run("disable m")
+    assert desk.run("search river").count() == 0
+    # a file goes; its vectors are cleaned, and another desk finds all of it
+    desk.files = desk.files.where("hash != 'h1'")
+    desk.run("sync")
+    assert desk.run("clean").first()["docs"] == 2
+    other = new(tmp_path / "own")
+    assert other.run("load").first()["done"] and {r["title"] for r in other.metadata.collect()} == {"river"}
+    assert other.chunks.select("doc").distinct().count() == 2 and other.timeline.count() == 1
+    other.shared = f"file://{tmp_path}/shared"
+    snapshots.write(other.shared, {"texts": none}, 99)
+    assert [other.run(c).first()["done"] for c in ("load", "load force=true")] == [False, True]
