@@ -103,19 +103,33 @@ def without_restarts(rows: DataFrame) -> DataFrame:
     return rows.where(~((first == "Date") | (first.startswith("-") & first.endswith("-"))))
 
 
+def _dated_rows(good: DataFrame) -> DataFrame:
+    """The rows of valid tables with the days of their first cells, the other cells by the names of their columns."""
+    pairs = lambda keys, values: F.zip_with(keys, values, lambda k, v: F.named_struct(F.lit("k"), k, F.lit("v"), v))
+    metadata = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.named_struct(F.lit("k"), k, F.lit("v"), F.col("metadata")[k]))
+    rows = good.select("table_id", "columns", metadata.alias("metadata"), F.posexplode("rows").alias("row_id", "cells"))
+    data = pairs(F.slice("columns", 2, F.size("columns") - 1), F.slice("cells", 2, F.size("columns") - 1))
+    dated = without_restarts(rows).select("table_id", "row_id", chronology.parse(F.get("cells", F.lit(0))).alias("_jd"), data.alias("eventdata"), "metadata")
+    return dated.select("table_id", "row_id", F.col("_jd.jd_start").alias("jd_start"), F.col("_jd.jd_end").alias("jd_end"), "eventdata", "metadata")
+
+
+def _valid(tables: DataFrame) -> DataFrame:
+    return valid_tables(tables.withColumn("domain", F.col("metadata")["domain"]))
+
+
+def table_events(tables: DataFrame) -> DataFrame:
+    """The events of events_of_tables alone."""
+    return in_order(_dated_rows(_valid(tables)))
+
+
 def events_of_tables(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables (table_id, columns, rows, metadata) as events, and tables, added, skipped in all.
 
     events: table_id, row_id, jd_start, jd_end, eventdata and metadata as arrays of (k, v). Of the rows of valid
     tables those go whose date is none or ends before it starts, and those that step back in time; they are
     skipped. eventdata holds the other cells by the names of their columns."""
-    good = valid_tables(tables.withColumn("domain", F.col("metadata")["domain"]))
-    pairs = lambda keys, values: F.zip_with(keys, values, lambda k, v: F.named_struct(F.lit("k"), k, F.lit("v"), v))
-    metadata = F.transform(F.array_sort(F.map_keys("metadata")), lambda k: F.named_struct(F.lit("k"), k, F.lit("v"), F.col("metadata")[k]))
-    rows = good.select("table_id", "columns", metadata.alias("metadata"), F.posexplode("rows").alias("row_id", "cells"))
-    dated = without_restarts(rows).withColumn("_jd", chronology.parse(F.get("cells", F.lit(0))))
-    data = pairs(F.slice("columns", 2, F.size("columns") - 1), F.slice("cells", 2, F.size("columns") - 1))
-    all_rows = dated.select("table_id", "row_id", F.col("_jd.jd_start").alias("jd_start"), F.col("_jd.jd_end").alias("jd_end"), data.alias("eventdata"), "metadata")
+    good = _valid(tables)
+    all_rows = _dated_rows(good)
     added = in_order(all_rows)
     count = lambda rows, name: rows.agg(F.count("*").alias(name))
     sums = count(good, "tables").crossJoin(count(added, "added")).crossJoin(count(all_rows, "rows"))  # one row each

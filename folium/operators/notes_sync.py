@@ -45,7 +45,7 @@ def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 def events_of(tables: DataFrame) -> DataFrame:
     """Events of tables whose domains are all theirs: with every table of a domain, its first valid one counts."""
     keyed = tables.withColumn("table_id", F.struct("descriptor", "table_id")).drop("descriptor")
-    found, _ = events.events_of_tables(keyed)
+    found = events.table_events(keyed)
     domain = F.get(F.filter("metadata", lambda m: m["k"] == "domain"), F.lit(0))["v"]
     return found.select("table_id.descriptor", "table_id.table_id", "row_id", domain.alias("domain"), "jd_start", "jd_end", "eventdata", "metadata")
 
