@@ -1,25 +1,36 @@
 """Exact top-k search by inner product over buckets of vectors of like length.
 
-Vectors are dealt into buckets by falling length. A first pass over the bucket of the longest vectors
-gives every query a score that its k-th result cannot be below. For each other bucket that score,
-divided by the lengths of the query and of the bucket's longest vector, is a local cosine threshold:
-above 1 the bucket is passed over; if high, candidates must lie within a range in the query's largest
-coordinate; otherwise only those long enough remain. Products of the candidates are then verified.
+Vectors are dealt by falling length and packed into buckets, neighbours of which share a shelf. A first pass over
+the shelf of the longest vectors gives every query a score that its k-th result cannot be below. Chunks of
+queries and shelves are paired by a table of lengths alone: only where a query of the chunk can reach its floor
+with the shelf's longest vector do their rows meet. There, bucket by bucket, the floor over the lengths of the
+query and of the bucket's longest vector is a local cosine threshold: above 1 the bucket is passed over; if
+high, candidates must lie within a range in the query's largest coordinate; otherwise only those long enough
+remain. Products of the candidates are then verified, and the floors rise with what is found.
 """
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm.storage import written
 
-#: Vectors in a bucket, and queries that meet a bucket at once.
-BUCKET_ROWS = 4096
-QUERY_ROWS = 8192
+#: Vectors in a bucket, about so many on a shelf, and queries in a chunk.
+BUCKET_ROWS = 256
+SHELF_ROWS = 4096
+QUERY_ROWS = 2048
+#: Partitions that vectors are dealt to at most; longer ones hold more buckets.
+MOST_PARTITIONS = 4096
+#: Bits of a bucket's number within its partition.
+BUCKET_BITS = 20
 #: From this local cosine on, one coordinate prunes better than the length.
 COORDINATE_FROM = 0.75
+BUCKET = "seq long, n int, longest double, ids binary, vectors binary, width int"
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -34,14 +45,6 @@ def usable(embedding: Column) -> Column:
     return embedding.isNotNull() & ~F.exists(embedding, bad)
 
 
-def length_buckets(vectors: DataFrame, rows: int) -> DataFrame:
-    """vectors (vec_id, v) with length and bucket, numbered from the longest; equal lengths are split by id."""
-    measured = vectors.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
-    n = max(1, -(-vectors.count() // rows))
-    dealt = measured.repartitionByRange(n, F.desc("length"), F.xxhash64("vec_id"))
-    return dealt.withColumn("bucket", F.spark_partition_id())
-
-
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows padded with zeros to width."""
     lists = column.combine_chunks()
@@ -61,89 +64,158 @@ def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip(whole, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def best(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
-    """The k best of one bucket for each query, but for those that cannot reach the query's floor."""
-    none = pa.table({c: pa.array([], pa.int64()) for c in ("query_id", "vec_id", "score")})
-    if not queries.num_rows or not vectors.num_rows:
-        return none
-    width = max(pc.max(pc.list_value_length(x)).as_py() for x in (queries["q"], vectors["v"]))
-    q, v = _matrix(queries["q"], width), _matrix(vectors["v"], width)
-    q_id, v_id = queries["query_id"].to_numpy(), vectors["vec_id"].to_numpy()
-    q_len, v_len = queries["q_length"].to_numpy(), vectors["length"].to_numpy()
-    floor = queries["floor"].to_numpy(zero_copy_only=False)
-    order = np.lexsort((v_id, -v_len))
-    v, v_id, v_len = v[order], v_id[order], v_len[order]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cosine = np.where(q_len * v_len[0] > 0, floor / (q_len * v_len[0]), np.where(floor > 0, 2.0, -2.0)) - 1e-9
-    unit = v / np.maximum(v_len, 1e-300)[:, None]
-    sorted_by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def keep(one: int, at: np.ndarray, score: np.ndarray) -> None:
-        good = (score >= floor[one]) & (v_id[at] != q_id[one])
-        at, score = at[good], score[good]
-        if len(at) > k:
-            top = score >= np.partition(score, len(score) - k)[len(score) - k]  # with all ties
-            at, score = at[top], score[top]
-        best = np.lexsort((v_id[at], -score))[:k]
-        out.append((np.full(len(best), q_id[one]), v_id[at[best]], score[best]))
-
-    by_coordinate = (cosine >= COORDINATE_FROM) & (cosine <= 1)
-    for one in np.flatnonzero(by_coordinate):
-        axis = int(np.abs(q[one]).argmax())
-        if axis not in sorted_by:
-            rank = np.argsort(unit[:, axis])
-            sorted_by[axis] = rank, unit[rank, axis]
-        rank, values = sorted_by[axis]
-        x, c = q[one, axis] / q_len[one], cosine[one]
-        room = np.sqrt(max(0.0, (1 - c * c) * (1 - x * x))) + 1e-9
-        # a vector of this cosine or more with the query lies this near to it in the coordinate
-        low, high = x * c - room if -c < x else -1.0, x * c + room if x < c else 1.0
-        at = rank[np.searchsorted(values, low) : np.searchsorted(values, high, side="right")]
-        at = at[v_len[at] * q_len[one] >= floor[one] - 1e-6 * abs(floor[one])]
-        if len(at):
-            keep(one, at, _products(q[one : one + 1], v[at])[0])
-    rest = np.flatnonzero(cosine < COORDINATE_FROM)
-    for block in range(0, len(rest), 256):
-        ones = rest[block : block + 256]
+class Rows(NamedTuple):
+    """Ids, vectors and lengths."""
+
+    ids: np.ndarray
+    v: np.ndarray
+    length: np.ndarray
+
+    @staticmethod
+    def of(ids: np.ndarray, v: np.ndarray) -> "Rows":
+        return Rows(ids, v, np.sqrt((v * v).sum(1)))
+
+
+class Best:
+    """The k best so far of each query, and its floor: what a result cannot be below. Counts what was multiplied."""
+
+    def __init__(self, queries: Rows, floor: np.ndarray, k: int):
+        self.queries, self.floor, self.k, self.multiplied = queries, floor.copy(), k, 0
+        self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries.ids)
+
+    def keep(self, one: int, ids: np.ndarray, score: np.ndarray) -> None:
+        good = (score >= self.floor[one]) & (ids != self.queries.ids[one])
+        if not good.any():
+            return
+        ids, score = np.append(self.found[one][0], ids[good]), np.append(self.found[one][1], score[good])
+        if len(ids) > self.k:
+            top = score >= np.partition(score, len(score) - self.k)[len(score) - self.k]  # with all ties
+            ids, score = ids[top], score[top]
+        best = np.lexsort((ids, -score))[: self.k]
+        self.found[one] = ids[best], score[best]
+        if len(best) == self.k:
+            self.floor[one] = max(self.floor[one], float(score[best[-1]]))
+
+    def meet(self, bucket: Rows) -> None:
+        """What a bucket has for each query, pruned by its local threshold."""
+        if not len(bucket.ids) or not len(self.queries.ids):
+            return
+        q, v, longest = self.queries.v, bucket.v, bucket.length.max()
         with np.errstate(divide="ignore", invalid="ignore"):
-            shortest = np.where((floor[ones] > 0) & (q_len[ones] > 0), floor[ones] / q_len[ones] * (1 - 1e-9), 0.0).min()
-        long_enough = np.searchsorted(-v_len, -shortest, side="right")
-        scores = _products(q[ones], v[:long_enough])
-        for one, score in zip(ones, scores):
-            keep(one, np.arange(long_enough), score)
-    if not out:
-        return none
-    return pa.table({c: np.concatenate(x).astype(np.int64) for c, x in zip(("query_id", "vec_id", "score"), zip(*out))})
+            cosine = np.where(self.queries.length * longest > 0, self.floor / (self.queries.length * longest), np.where(self.floor > 0, 2.0, -2.0)) - 1e-9
+        unit = v / np.maximum(bucket.length, 1e-300)[:, None]
+        sorted_by: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for one in np.flatnonzero((cosine >= COORDINATE_FROM) & (cosine <= 1)):
+            axis = int(np.abs(q[one]).argmax())
+            if axis not in sorted_by:
+                rank = np.argsort(unit[:, axis])
+                sorted_by[axis] = rank, unit[rank, axis]
+            rank, values = sorted_by[axis]
+            x, c = q[one, axis] / self.queries.length[one], cosine[one]
+            room = np.sqrt(max(0.0, (1 - c * c) * (1 - x * x))) + 1e-9
+            # a vector of this cosine or more with the query lies this near to it in the coordinate
+            low, high = x * c - room if -c < x else -1.0, x * c + room if x < c else 1.0
+            at = rank[np.searchsorted(values, low) : np.searchsorted(values, high, side="right")]
+            at = at[bucket.length[at] * self.queries.length[one] >= self.floor[one] - 1e-6 * abs(self.floor[one])]
+            if len(at):
+                self.multiplied += len(at)
+                self.keep(one, bucket.ids[at], _products(q[one : one + 1], v[at])[0])
+        rest = np.flatnonzero(cosine < COORDINATE_FROM)
+        if len(rest):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shortest = np.where((self.floor[rest] > 0) & (self.queries.length[rest] > 0), self.floor[rest] / self.queries.length[rest] * (1 - 1e-9), 0.0).min()
+            at = np.flatnonzero(bucket.length >= shortest)
+            self.multiplied += len(rest) * len(at)
+            for one, score in zip(rest, _products(q[rest], v[at])):
+                self.keep(one, bucket.ids[at], score)
+
+    def table(self) -> pa.Table:
+        n = [len(ids) for ids, _ in self.found]
+        whole = lambda i: np.concatenate([f[i] for f in self.found]) if self.found else np.zeros(0, np.int64)
+        return pa.table({"query_id": pa.array(np.repeat(self.queries.ids, n), pa.int64()), "vec_id": pa.array(whole(0), pa.int64()), "score": pa.array(whole(1), pa.int64())})
+
+
+class Shelves(NamedTuple):
+    """Buckets, and the bits of their numbers that a shelf shares."""
+
+    buckets: DataFrame
+    bits: int
+
+    def shelf(self) -> Column:
+        return F.shiftright("seq", self.bits)
+
+
+def _shelved(vectors: DataFrame, width: int) -> Shelves:
+    """vectors (vec_id, v) by falling length as buckets, written; equal lengths are split by id."""
+    n = vectors.count()
+    parts = max(1, min(MOST_PARTITIONS, -(-n // SHELF_ROWS)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, held, size = TaskContext.get().partitionId() << BUCKET_BITS, [], 0
+
+        def bucket(rows: pa.Table) -> pa.RecordBatch:
+            v = _matrix(rows["v"], width)
+            longest = float(np.sqrt((v * v).sum(1)).max())
+            return pa.RecordBatch.from_pydict({"seq": [seq], "n": pa.array([len(v)], pa.int32()), "longest": [longest], "ids": [rows["vec_id"].to_numpy().tobytes()], "vectors": [v.tobytes()], "width": pa.array([width], pa.int32())})
+
+        for batch in batches:
+            held, size = [*held, batch], size + len(batch)
+            while size >= BUCKET_ROWS:
+                table = pa.Table.from_batches(held)
+                yield bucket(table.slice(0, BUCKET_ROWS))
+                seq, held, size = seq + 1, table.slice(BUCKET_ROWS).to_batches(), size - BUCKET_ROWS
+        if size:
+            yield bucket(pa.Table.from_batches(held))
+
+    order = [F.desc("length"), F.xxhash64("vec_id"), F.col("vec_id")]
+    measured = vectors.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))
+    dealt = measured.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("vec_id", "v")
+    buckets = written(dealt.mapInArrow(pack, BUCKET), "topk-buckets")
+    full = buckets.agg(F.countDistinct(F.shiftright("seq", BUCKET_BITS))).first()[0]
+    per_part = n / max(1, full)
+    # some buckets of a long partition, or some short partitions, make a shelf
+    bits = int(np.log2(SHELF_ROWS / BUCKET_ROWS)) if per_part > SHELF_ROWS else BUCKET_BITS + int(np.log2(max(1.0, SHELF_ROWS / max(1.0, per_part))))
+    return Shelves(buckets, bits)
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products, ties to the smaller vec_id.
 
-    vectors: vec_id, v (array of whole doubles). Rows without vec_id take no part, nor does a row with
-    the query's own id; of rows that repeat an id and vector one counts. Shorter vectors count as padded
-    with zeros. An empty table, or one without queries, gives no rows."""
-    vectors = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "v").dropDuplicates()
-    bucketed = written(length_buckets(vectors, BUCKET_ROWS), "topk-buckets")
-    # new names, as the queries meet the table that they come from
-    queries = bucketed.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("length").alias("q_length"))
-    n_buckets = bucketed.agg(F.max("bucket")).first()[0]
-    n_buckets = 1 if n_buckets is None else n_buckets + 1
-    n_chunks = max(1, -(-queries.count() // QUERY_ROWS))
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int"))
-
-    def meet(asked: DataFrame, against: DataFrame, first: int, last: int) -> DataFrame:
-        left = asked.withColumn("bucket", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        right = against.select("vec_id", "v", "length", F.col("bucket").alias("of_bucket")).withColumn("of_chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-        run = lambda key, a, b: best(a, b, k)
-        return left.groupBy("bucket", "chunk").cogroup(right.groupBy("of_bucket", "of_chunk")).applyInArrow(run, RESULT)
-
-    none = queries.withColumn("floor", F.lit(float("-inf")))
-    seeds = meet(none, bucketed.where("bucket = 0"), 0, 0)
+    vectors: vec_id, v (array of whole doubles); other columns are dropped. Rows without vec_id take no part, nor
+    does a row with the query's own id; of rows that repeat an id and vector one counts. Shorter vectors count as
+    padded with zeros. An empty table, or one without queries, gives no rows."""
+    vectors = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "v").dropDuplicates()
+    width = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    shelves = _shelved(vectors, width)
+    asked = vectors.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    n_chunks = max(1, -(-asked.count() // QUERY_ROWS))
+    queries = written(asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)).cast("int")), "topk-queries")
+    length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
+    longest = shelves.buckets.groupBy(shelves.shelf().alias("shelf")).agg(F.max("longest").alias("longest"))
+    first = longest.agg(F.min("shelf").alias("shelf"))  # of the longest vectors
+
+    def run(key: tuple, q: pa.Table, buckets: pa.Table) -> pa.Table:
+        rows = Rows.of(q["query_id"].to_numpy(), _matrix(q["q"], width))
+        best = Best(rows, q["floor"].to_numpy(zero_copy_only=False) if len(q) else np.zeros(0), k)
+        if len(q):
+            for at in np.argsort(-buckets["longest"].to_numpy(), kind="stable"):
+                ids, packed = (np.frombuffer(buckets[c][at].as_buffer(), dtype=t) for c, t in (("ids", np.int64), ("vectors", np.float64)))
+                best.meet(Rows.of(ids, packed.reshape(len(ids), width)))
+        return best.table()
+
+    def meet(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        left = asked.join(pairs, "chunk").select("chunk", "shelf", "query_id", "q", "floor")
+        right = pairs.join(shelves.buckets.withColumn("shelf", shelves.shelf()), "shelf").select(F.col("chunk").alias("of_chunk"), F.col("shelf").alias("of_shelf"), "longest", "ids", "vectors")
+        return left.groupBy("chunk", "shelf").cogroup(right.groupBy("of_chunk", "of_shelf")).applyInArrow(run, RESULT)
+
+    chunks = queries.groupBy("chunk").agg(F.max(length).alias("reach"))
+    seeds = written(meet(queries.withColumn("floor", F.lit(float("-inf"))), chunks.select("chunk").crossJoin(F.broadcast(first))), "topk-seeds")  # one shelf
     floors = seeds.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("_floor"))
-    asked = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("_floor", F.lit(float("-inf")))).drop("_floor")
-    found = seeds
-    if n_buckets > 1:
-        found = seeds.unionByName(meet(asked, bucketed.where("bucket > 0"), 1, n_buckets - 1))
+    raised = written(queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("_floor", F.lit(float("-inf")))).drop("_floor"), "topk-floors")
+    # what a query's floor asks of a shelf, at least over its chunk, against the shelf's longest vector
+    asks = raised.groupBy("chunk").agg(F.min(F.when((length > 0) & (F.col("floor") > 0), F.col("floor") / length * (1 - 1e-9)).when(F.col("floor") > 0, float("inf")).otherwise(0.0)).alias("least"))
+    others = longest.join(F.broadcast(first.withColumnRenamed("shelf", "_first")), F.col("shelf") != F.col("_first")).select("shelf", F.col("longest").alias("_longest"))
+    pairs = written(asks.join(others, F.col("_longest") >= F.col("least")).select("chunk", "shelf"), "topk-pairs")
+    found = seeds.unionByName(meet(raised, pairs))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

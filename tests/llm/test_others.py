@@ -187,9 +187,34 @@ def test_rendezvous_moves_records_only_to_the_new_shard(spark):
     assert sharding.assign(docs.limit(0), [1.0]).count() == 0
 
 
-def test_search_equals_all_products(spark, monkeypatch):
-    monkeypatch.setattr(topk_search, "BUCKET_ROWS", 60)
-    monkeypatch.setattr(topk_search, "QUERY_ROWS", 4)
+def in_buckets(rows, queries, k=5):
+    """Results by buckets from the longest vectors on, what was multiplied, and the results by all products."""
+    order = np.argsort(-np.sqrt((rows * rows).sum(1)), kind="stable")
+    best = topk_search.Best(topk_search.Rows.of(queries, rows[queries]), np.full(len(queries), -np.inf), k)
+    for s in range(0, len(rows), topk_search.BUCKET_ROWS):
+        at = order[s : s + topk_search.BUCKET_ROWS]
+        best.meet(topk_search.Rows.of(at, rows[at]))
+    scores = (rows[queries] @ rows.T).astype(np.int64)
+    want = [(q, j, int(scores[i, j])) for i, q in enumerate(queries) for j in sorted((j for j in range(len(rows)) if j != q), key=lambda j: (-scores[i, j], j))[:k]]
+    return sorted(zip(*[best.table()[c].to_pylist() for c in ("query_id", "vec_id", "score")])), best.multiplied, sorted(want)
+
+
+def test_buckets_are_pruned_by_length_and_by_coordinate(spark):
+    rng = np.random.default_rng(8)
+    lengths = 10 ** rng.uniform(0, 2, size=(4000, 1))
+    found, multiplied, want = in_buckets(np.floor(rng.normal(size=(4000, 6)) * lengths * 100), np.arange(0, 4000, 200))
+    assert found == want and multiplied < 0.5 * 20 * 4000
+    near = np.repeat(rng.normal(size=(400, 6)), 10, axis=0)
+    near = np.floor(1000 * (near + rng.normal(size=near.shape) * 0.01) / np.sqrt((near * near).sum(1, keepdims=True)))
+    found, multiplied, want = in_buckets(near, np.arange(0, 4000, 200))
+    assert found == want and multiplied < 0.3 * 20 * 4000
+    # of the given vectors, of one length and far from each other, the method can leave none out
+    given = spark.read.parquet(f"{SF}/../sf0.1/embeddings.parquet").select("vec_id", topk_search.grid(F.col("embedding")).alias("v")).orderBy("vec_id").collect()
+    found, multiplied, want = in_buckets(np.array([r["v"] for r in given]), np.arange(0, 2000, 50))
+    assert found == want and multiplied <= 40 * 2000
+
+
+def test_search_equals_all_products(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.floor(rng.normal(size=8) * 256 * 10 ** rng.uniform(-2, 2))]) for i in range(600)]
     rows += [(1000 + i, rows[7][1]) for i in range(40)] + [(None, [1.0] * 8), (2000, [0.0] * 8), (2050, [0.0] * 8), (2100, [5.0, 3.0]), (2150, [2.0**40] * 8), (2200, [-(2.0**40)] * 8)]
