@@ -55,9 +55,11 @@ def mix(docs: DataFrame, size: Column, quality: Column, weights: tuple[float, ..
     A source takes all its documents floor(target / source_size) times and, for the rest, the leading
     documents in key order; the document that crosses the rest is taken if that comes nearer to it.
     Documents without words are taken once for each complete epoch and add nothing. The result depends
-    on the rows alone: the same rows give the same mix. A null source is a source of its own."""
+    on the rows alone: the same rows give the same mix. A null source is a source of its own; null ids are one id
+    like any other, and rows that repeat stand side by side. Columns of docs that are named as those given here are
+    replaced. An empty table gives an empty mix."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = docs.withColumns({"size": size, "_w": quality})
+    keyed = docs.withColumns({"_size": size, "_w": quality}).drop("size", "source_size", "target", "copies", "taken").withColumnRenamed("_size", "size")
     keyed = keyed.withColumn("_key", -F.log(u) / F.greatest(F.col("_w"), F.lit(1e-6))).drop("_w")
     keyed = keyed.withColumn("_part", F.floor((1 - F.exp(-F.col("_key") * 0.8)) * STRETCHES).cast("int"))
     small = keyed.groupBy("source", "_part").agg(F.sum("size").alias("_sum"))

@@ -29,7 +29,9 @@ def assign(records: DataFrame, weights: list[float], key: str = "doc_id", order:
     """records with shard and slot, a gapless number from 0 within the shard.
 
     Slots follow hashed parts of the shard, then key, then the columns in order; equal rows share
-    their slots out in any way. An empty table gives an empty result."""
+    their slots out in any way. Columns of records named shard or slot are replaced. An empty table gives an
+    empty result."""
+    records = records.drop("shard", "slot")
     spread = F.pmod(F.xxhash64(F.lit(0x0DD), F.col(key), *[F.col(c) for c in order]), F.lit(PARTS)).cast("int")
     placed = records.withColumn("shard", shard_of(F.col(key), weights).cast("int")).withColumn("_part", spread)
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
