@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, folder of the tables) and gives a DataFrame, the columns of documents but
 for the last; further columns are dropped, so their names cannot clash. Rows without doc_id and rows that
-repeat one are told apart by a number of their own. Null and empty texts go in the first stage; given to
+repeat one are told apart by a number of their own; for passages alone, rows of one doc_id and text count
+as one document, and rows without doc_id come last. Null and empty texts go in the first stage; given to
 a later one they are linked with nothing, have no passages, size 0 and no ids. Of an empty table every
 stage makes an empty one.
 """
@@ -74,7 +75,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("substring dedup", passages), ("mixing", mix), ("encoding", encode)]
 
-#: Perplexity bands, MinHash and BPE are beyond SQL; the tests hold the stages against plain Python.
+#: Perplexity bands, MinHash and BPE are beyond SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 
