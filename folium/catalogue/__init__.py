@@ -4,9 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.catalogue import formats, libraries, lifecycle, stores, texts, timelines, vectors
+from folium.catalogue import formats, libraries, lifecycle, models, stores, texts, timelines, vectors
 
-_ALL = texts.QUERIES | timelines.QUERIES | libraries.QUERIES | vectors.QUERIES | formats.QUERIES | lifecycle.QUERIES | stores.QUERIES
+_ALL = texts.QUERIES | timelines.QUERIES | libraries.QUERIES | vectors.QUERIES | formats.QUERIES | lifecycle.QUERIES | models.QUERIES | stores.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,6 @@
 """Queries over what a library goes through: snapshots, embedding, extraction, events of notes, exports, caches."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.catalogue import libraries
@@ -232,11 +232,14 @@ SELECT doc_id, source || '/' || trim(CASE WHEN num != '' AND NOT contains(short,
 
 
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shared records win over the local ones; in the order of task and timing."""
-    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), F.col("value").alias("timing"), "event_id")
-    shared, local = rows.where("event_id % 10 = 0"), rows.where("event_id % 10 = 1")
-    read = library.read_performance(shared, local).unionByName(library.read_performance(shared.limit(0), local))
-    return read.groupBy("task").agg(F.count("*").alias("n"), F.min("timing").alias("low"), F.max("event_id").alias("last"))
+    """Records of two desks, averages of all events: the shared ones win over the local ones, which stand in where there
+    are none; each with its place by task and timing."""
+    rows = table(spark, sf_dir, "events")
+    record = lambda part: library.moving_average(rows.where(part), ["event_type", "user_id"], "event_id", "value").select(F.col("event_type").alias("task"), "user_id", "timing")
+    shared, local = record("event_id % 3 != 0"), record("event_id % 3 = 0")
+    both = library.read_performance(shared, local).withColumn("side", F.lit("shared")).unionByName(library.read_performance(shared.where("timing is null and timing is not null"), local).withColumn("side", F.lit("local")))
+    place = F.row_number().over(Window.partitionBy("side", "task").orderBy("timing", "user_id"))
+    return both.select("side", "task", "user_id", F.round("timing", 6).alias("timing"), place.cast("long").alias("place"))
 
 
 def caches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,10 +277,8 @@ def cloud_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many points as asked for, none twice, all of them chunks."""
-    all_ = chunks(spark, sf_dir).select("doc", "chunk_index")
-    taken = vectors.sampled_points(all_, 50, 7, "doc", "chunk_index")
-    return taken.join(all_, ["doc", "chunk_index"], "left_semi").agg(F.count("*").alias("n"), F.countDistinct("doc", "chunk_index").alias("different"))
+    """The points that a seed picks."""
+    return vectors.sampled_points(chunks(spark, sf_dir).select("doc", F.col("chunk_index").cast("long").alias("chunk_index")), 50, 7, "doc", "chunk_index")
 
 
 def import_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,13 +342,13 @@ QUERIES = {
     "export_plan": (export_plan, "WITH p AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'incomplete' WHEN doc_id % 5 = 0 THEN 'ending' WHEN doc_id % 7 = 0 THEN 'outside' WHEN doc_id % 11 = 0 THEN 'exists' END AS refusal FROM documents) SELECT CASE WHEN doc_id % 7 = 0 THEN '/else/' ELSE '/notes/' END || lang || '/' || doc_id || CASE WHEN doc_id % 5 = 0 THEN '.txt' ELSE '.md' END AS path, CASE WHEN refusal IS NULL THEN '/org/' || lang || '/' || doc_id || '.org' END AS target_path, refusal FROM p"),
     "export_check": (export_check, "SELECT count(*) AS tested, count(*) FILTER (doc_id % 5 = 0) AS failures FROM documents WHERE lang = 'de' AND doc_id % 2 = 0"),
     "human_filenames": (human_filenames, _FILENAME_SQL),
-    "perf_read": (performance, "WITH e AS (SELECT event_type AS task, value AS timing, event_id FROM events WHERE event_id % 10 IN (0, 1)) SELECT task, count(*) AS n, min(timing) AS low, max(event_id) AS last FROM e GROUP BY task"),
+    "perf_read": (performance, "WITH r AS (SELECT CASE WHEN event_id % 3 != 0 THEN 'shared' ELSE 'local' END AS side, event_type AS task, user_id, list_reduce(list(value ORDER BY event_id), lambda a, v: (a * 4 + v) / 5) AS timing FROM events GROUP BY ALL) SELECT side, task, user_id, round(timing, 6) AS timing, row_number() OVER (PARTITION BY side, task ORDER BY timing, user_id) AS place FROM r"),
     "cache_statistics": (caches, f"WITH {LIBRARY_SQL}, h AS (SELECT hash, min(ord) AS ord FROM library GROUP BY hash) SELECT (count(*) FILTER (ord % 4 != 0) + count(*) FILTER (ord % 9 = 0))::BIGINT AS entries, (count(*) FILTER (ord % 4 != 0 AND ord % 7 = 0) + count(*) FILTER (ord % 9 = 0))::BIGINT AS failures, count(*) FILTER (ord % 9 = 0) AS orphans, count(*) FILTER (ord % 4 = 0) AS missing, (count(*) FILTER (ord % 4 != 0 AND ord % 5 = 0) + count(*) FILTER (ord % 9 = 0))::BIGINT AS deleted FROM h"),
     "hash_cache": (to_hash, "SELECT '/p/' || doc_id AS path, CASE WHEN doc_id % 6 != 0 AND doc_id % 5 != 0 AND doc_id % 4 = 2 THEN md5(text) END AS hash FROM documents"),
     "extract_worklist": (to_extract, "SELECT '/p/' || doc_id AS path, false AS retry FROM documents WHERE doc_id % 6 = 0 OR doc_id % 5 = 0 UNION ALL SELECT '/p/' || doc_id, true FROM documents WHERE doc_id % 6 = 0 OR doc_id % 5 = 0 OR doc_id % 3 = 0"),
     "descriptor_listing": (listing, f"WITH {LIBRARY_SQL} SELECT descriptor FROM library WHERE descriptor LIKE '%/en/%' AND descriptor LIKE '%7%'"),
     "cloud_points": (cloud_points, f"WITH {CHUNKS_SQL}, c AS (SELECT * FROM chunks WHERE doc % 3 != 0 ORDER BY doc, chunk_index LIMIT 100) SELECT k.doc, k.chunk_index, c.embedding[1] AS x, c.embedding[2] AS y, c.embedding[3] AS z FROM chunks k LEFT JOIN c USING (doc, chunk_index)"),
-    "cloud_sample": (sampled_points, "SELECT least(count(*), 50) AS n, least(count(*), 50) AS different FROM embeddings"),
+    "cloud_sample": (sampled_points, "SELECT vec_id // 5 AS doc, vec_id % 5 AS chunk_index FROM embeddings ORDER BY md5('7-' || vec_id // 5 || '-' || vec_id % 5) LIMIT 50"),
     "import_limit": (import_limit, f"WITH {LIBRARY_SQL} SELECT descriptor FROM library ORDER BY ord LIMIT 40"),
     "variable_coercion": (variables, "SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 4 = 0 THEN event_id::VARCHAR END WHEN 1 THEN CASE event_id % 4 WHEN 0 THEN event_id::DOUBLE::VARCHAR WHEN 2 THEN '2.5' END ELSE CASE WHEN event_id % 4 = 1 THEN 'true' END END AS value FROM events"),
     "flat_lists": (flat_lists, "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ',' || source || ',x' WHEN 1 THEN lang ELSE '' END AS flat, (doc_id % 2 = 0)::BIGINT AS n FROM documents"),

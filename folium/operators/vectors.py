@@ -109,7 +109,7 @@ def first_points(points: DataFrame, n: int, *order: str) -> DataFrame:
 
 def sampled_points(points: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
     """n points without repetition, the same ones for a seed, in the order of their ids."""
-    return points.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n).orderBy(*ids)
+    return points.orderBy(F.md5(F.concat_ws("-", F.lit(seed), *ids)), *ids).limit(n).orderBy(*ids)
 
 
 def with_points(hits: DataFrame, cloud: DataFrame) -> DataFrame:
