@@ -34,7 +34,7 @@ def mined(spark, rows):
 
 def test_several_nodes_and_levels(spark):
     """More rows than a node holds, in clusters, so that whole nodes are pruned."""
-    rows = vectors(20_000, 6, 12, 1)
+    rows = vectors(9_000, 6, 12, 1)
     assert mined(spark, rows) == plain(rows)
 
 
