@@ -171,6 +171,35 @@ def normalised_metadata(raw: DataFrame) -> DataFrame:
     return raw.select("descriptor", fill("title").alias("title"), fill("creation_date", "creation").alias("creation_date"), fill("publication_date", "pubdate").alias("publication_date"), F.coalesce("context", folders).alias("context"), F.coalesce("uuid", uuid).alias("uuid"))
 
 
+def _folds(column: pa.Array, starts: np.ndarray) -> tuple[list, list, list]:
+    """weight, rest, alone of each stretch of values from one start to the next: an average before it becomes
+    old * weight + rest; alone is what its own values come to from the last null on. Null as `moving_average` says."""
+    null, values, n = column.is_null().to_numpy(zero_copy_only=False), column.to_numpy(zero_copy_only=False), len(column)
+    lengths = np.diff(np.append(starts, n))
+    row, of = np.arange(n), np.repeat(np.arange(len(starts)), lengths)
+    last_null = np.maximum.reduceat(np.where(null, row, -1), starts)
+    broken = last_null >= starts
+    tail = np.where(broken, last_null + 1, starts)
+    # never 0, so that what is infinite stays so
+    power = lambda k: np.maximum(0.8**k, 5e-324)
+    parts = np.where(row >= tail[of], values, 0.0) * power(starts[of] + lengths[of] - 1 - row)
+    with np.errstate(invalid="ignore"):
+        rest = np.add.reduceat(parts * 0.2, starts)
+        empty = tail == starts + lengths
+        alone = rest + np.where(empty, 0.0, parts[np.minimum(tail, n - 1)] * 0.8)
+    some = lambda x, none: [None if gone else v for v, gone in zip(x.tolist(), none)]
+    return some(power(lengths), broken), some(rest, broken), some(alone, empty)
+
+
+def _joined(old: tuple, new: tuple) -> tuple:
+    """Two stretches of one key, one behind the other."""
+    (w1, r1, a1), (w2, r2, a2) = old, new
+    if w2 is None:
+        return None, None, a2
+    alone = a2 if a1 is None else a1 * w2 + r2
+    return (None, None, alone) if w1 is None else (max(w1 * w2, 5e-324), r1 * w2 + r2, alone)
+
+
 def moving_average(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """timing of each key: the first value, then (4 * old + new) / 5 for each one after it, in order.
 
@@ -183,41 +212,37 @@ def moving_average(samples: DataFrame, keys: list[str], order: str, value: str)
     schema = StructType([*rows.schema, *[StructField(name, kind) for name, kind in parts.items()]])
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, weight, rest, alone = None, 1.0, 0.0, None
+        first, held = None, (1.0, 0.0, None)  # of the stretch that is not ended yet
 
-        def stretch() -> pa.RecordBatch:
-            sums = [pa.array([x], pa.float64()) for x in (weight, rest, alone)]
-            return pa.RecordBatch.from_arrays([*first.columns, *sums], names=schema.names)
+        def stretch(row: pa.RecordBatch, *sums: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*row.columns, *[pa.array(x, pa.float64()) for x in sums]], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            values = batch.column("_value").to_pylist()
-            new = np.zeros(len(values), dtype=bool)
             # the row before each one, which is the last batch's for the first
-            before = pa.Table.from_batches([first if first is not None else batch.slice(0, 1), batch.slice(0, len(values) - 1)])
+            before = pa.Table.from_batches([first if first is not None else batch.slice(0, 1), batch.slice(0, len(batch) - 1)])
+            new = np.zeros(len(batch), dtype=bool)
             for key in keys:
                 a, b = before[key].combine_chunks(), batch.column(key)
                 same = pc.fill_null(pc.equal(a, b), False).to_numpy(zero_copy_only=False)
                 none = pc.and_(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
                 new |= ~(same | none)
             new[0] |= first is None
-            edges = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), len(values)]
-            for start, end in zip(edges, edges[1:]):
-                if new[start]:
-                    if first is not None:
-                        yield stretch()
-                    first, weight, rest, alone = batch.slice(start, 1), 1.0, 0.0, None
-                for v in values[start:end]:
-                    if v is None:
-                        weight = rest = alone = None
-                    else:
-                        alone = v if alone is None else (alone * 4 + v) / 5
-                        if weight is not None:
-                            # never 0, so that what is infinite stays so
-                            weight, rest = max(weight * 4 / 5, 5e-324), (rest * 4 + v) / 5
+            starts = np.flatnonzero(np.append(True, new[1:]))
+            found = list(zip(*_folds(batch.column("_value"), starts)))
+            if not new[0]:
+                found[0] = _joined(held, found[0])
+            elif first is not None:
+                yield stretch(first, *[[x] for x in held])
+            firsts = batch.take(pa.array(starts))
+            if not new[0]:
+                firsts = pa.Table.from_batches([first, firsts.slice(1)]).combine_chunks().to_batches()[0]
+            if len(found) > 1:
+                yield stretch(firsts.slice(0, len(found) - 1), *[list(x) for x in zip(*found[:-1])])
+            first, held = firsts.slice(len(found) - 1), found[-1]
         if first is not None:
-            yield stretch()
+            yield stretch(first, *[[x] for x in held])
 
     stretches = rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(folded, schema)
     in_order = F.array_sort(F.collect_list(F.struct("_order", "_value", *parts)))
