@@ -1,13 +1,16 @@
 """Library operators: joins of files, texts, metadata and caches; inventories; snapshots of a sync."""
 
+import math
+import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
 
 from folium.functions import keys as key_language
 from folium.functions import text as text_functions
@@ -171,51 +174,69 @@ def normalised_metadata(raw: DataFrame) -> DataFrame:
     return raw.select("descriptor", fill("title").alias("title"), fill("creation_date", "creation").alias("creation_date"), fill("publication_date", "pubdate").alias("publication_date"), F.coalesce("context", folders).alias("context"), F.coalesce("uuid", uuid).alias("uuid"))
 
 
-def _folds(column: pa.Array, starts: np.ndarray) -> tuple[list, list, list]:
-    """weight, rest, alone of each stretch of values from one start to the next: an average before it becomes
-    old * weight + rest; alone is what its own values come to from the last null on. Null as `moving_average` says."""
-    null, values, n = column.is_null().to_numpy(zero_copy_only=False), column.to_numpy(zero_copy_only=False), len(column)
-    lengths = np.diff(np.append(starts, n))
-    row, of = np.arange(n), np.repeat(np.arange(len(starts)), lengths)
-    last_null = np.maximum.reduceat(np.where(null, row, -1), starts)
-    broken = last_null >= starts
-    tail = np.where(broken, last_null + 1, starts)
-    # never 0, so that what is infinite stays so
-    power = lambda k: np.maximum(0.8**k, 5e-324)
-    parts = np.where(row >= tail[of], values, 0.0) * power(starts[of] + lengths[of] - 1 - row)
-    with np.errstate(invalid="ignore"):
-        rest = np.add.reduceat(parts * 0.2, starts)
-        empty = tail == starts + lengths
-        alone = rest + np.where(empty, 0.0, parts[np.minimum(tail, n - 1)] * 0.8)
-    some = lambda x, none: [None if gone else v for v, gone in zip(x.tolist(), none)]
-    return some(power(lengths), broken), some(rest, broken), some(alone, empty)
-
-
-def _joined(old: tuple, new: tuple) -> tuple:
-    """Two stretches of one key, one behind the other."""
-    (w1, r1, a1), (w2, r2, a2) = old, new
-    if w2 is None:
-        return None, None, a2
-    alone = a2 if a1 is None else a1 * w2 + r2
-    return (None, None, alone) if w1 is None else (max(w1 * w2, 5e-324), r1 * w2 + r2, alone)
+def _step(old: float, value: float) -> float:
+    return (old * 4 + value) / 5
+
+
+class _Stretch:
+    """Values of one key that stand in one task, in order.
+
+    alone is what they come to by themselves, from the last null on. Where the key may begin in an earlier task and no
+    null stands among them, they also tell exactly what any average before them comes to: each step keeps the order
+    of averages, so after the first values, head, all lie among a few neighbouring numbers, states, and of each of
+    these ends says what the other values make of it. Without states head is all there is."""
+
+    #: Values after which head is looked at again, and the most neighbours that end it.
+    PART, NEIGHBOURS = 512, 256
+
+    def __init__(self, follows: bool):
+        self.alone, self.open, self.head, self.states, self.ends = None, follows, [], [], []
+        self._low, self._high = -sys.float_info.max / 4, sys.float_info.max / 4
+
+    def add(self, values: list[float | None]) -> None:
+        if None in values:
+            values = values[len(values) - values[::-1].index(None) :]
+            self.alone, self.open, self.head, self.states, self.ends = None, False, [], [], []
+        if self.open:
+            self._carry(values)
+        if values:
+            self.alone = reduce(_step, values) if self.alone is None else reduce(_step, values, self.alone)
+
+    def _carry(self, values: list[float]) -> None:
+        while values and not self.states:
+            part, values = values[: self.PART], values[self.PART :]
+            self.head += part
+            self._low, self._high = reduce(_step, part, self._low), reduce(_step, part, self._high)
+            self.states = self.ends = self._between()
+        if values:
+            to = {x: reduce(_step, values, x) for x in self.ends}
+            self.ends = [to[x] for x in self.ends]
+
+    def _between(self) -> list[float]:
+        found = [self._low]
+        while found[-1] < self._high and len(found) < self.NEIGHBOURS:
+            found.append(math.nextafter(found[-1], math.inf))
+        return [] if found[-1] < self._high else [*found, math.inf, -math.inf, math.nan]
 
 
 def moving_average(samples: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """timing of each key: the first value, then (4 * old + new) / 5 for each one after it, in order.
 
     A null value makes the average start anew. Stretches of the order are folded one by one, and each key's
-    stretches, a task's worth each, put together: old becomes old * weight + rest, or alone where there is no
-    old or a null is among the values."""
+    stretches, a task's worth each, put together as `_Stretch` tells, so that the result is that of one fold to the
+    last bit."""
     by = [*keys, "_order", "_value"]
     rows = samples.select(*keys, F.col(order).alias("_order"), F.col(value).cast("double").alias("_value"))
-    parts = {"weight": DoubleType(), "rest": DoubleType(), "alone": DoubleType()}
+    many = ArrayType(DoubleType())
+    parts = {"alone": DoubleType(), "open": BooleanType(), "head": many, "states": many, "ends": many}
     schema = StructType([*rows.schema, *[StructField(name, kind) for name, kind in parts.items()]])
+    kinds = [pa.float64(), pa.bool_(), *[pa.list_(pa.float64())] * 3]
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held = None, (1.0, 0.0, None)  # of the stretch that is not ended yet
+        first, held = None, None  # of the stretch that is not ended yet
 
-        def stretch(row: pa.RecordBatch, *sums: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*row.columns, *[pa.array(x, pa.float64()) for x in sums]], names=schema.names)
+        def ended(firsts: pa.RecordBatch, found: list[_Stretch]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*firsts.columns, *[pa.array([getattr(x, name) for x in found], kind) for name, kind in zip(parts, kinds)]], names=schema.names)
 
         for batch in batches:
             if not batch.num_rows:
@@ -230,21 +251,27 @@ def moving_average(samples: DataFrame, keys: list[str], order: str, value: str)
                 new |= ~(same | none)
             new[0] |= first is None
             starts = np.flatnonzero(np.append(True, new[1:]))
-            found = list(zip(*_folds(batch.column("_value"), starts)))
-            if not new[0]:
-                found[0] = _joined(held, found[0])
-            elif first is not None:
-                yield stretch(first, *[[x] for x in held])
+            if new[0] and first is not None:
+                yield ended(first, [held])
+            # rows of a key in earlier tasks can only go before a task's first stretch
+            found = [_Stretch(first is None and i == 0) if i or new[0] else held for i in range(len(starts))]
+            values = batch.column("_value").to_pylist()
+            for one, start, end in zip(found, starts, [*starts[1:], len(values)]):
+                one.add(values[start:end])
             firsts = batch.take(pa.array(starts))
             if not new[0]:
                 firsts = pa.Table.from_batches([first, firsts.slice(1)]).combine_chunks().to_batches()[0]
             if len(found) > 1:
-                yield stretch(firsts.slice(0, len(found) - 1), *[list(x) for x in zip(*found[:-1])])
+                yield ended(firsts.slice(0, len(found) - 1), found[:-1])
             first, held = firsts.slice(len(found) - 1), found[-1]
         if first is not None:
-            yield stretch(first, *[[x] for x in held])
+            yield ended(first, [held])
+
+    def after(old: Column, x: Column) -> Column:
+        state = F.aggregate(x["head"], old, _step)
+        return F.when(F.size(x["states"]) == 0, state).otherwise(F.element_at(x["ends"], F.array_position(x["states"], state).cast("int")))
 
     stretches = rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(folded, schema)
     in_order = F.array_sort(F.collect_list(F.struct("_order", "_value", *parts)))
-    whole = F.aggregate(in_order, F.lit(None).cast("double"), lambda old, x: F.when(old.isNull() | x["weight"].isNull(), x["alone"]).otherwise(old * x["weight"] + x["rest"]))
+    whole = F.aggregate(in_order, F.lit(None).cast("double"), lambda old, x: F.when(old.isNull() | ~x["open"], x["alone"]).otherwise(after(old, x)))
     return stretches.groupBy(*keys).agg(whole.alias("timing"))

@@ -38,3 +38,21 @@ def test_rows_of_a_key_are_not_gathered_in_one_row(spark):
     assert plan.first()["timing"] == pytest.approx(_folded([float(i % 7) for i in range(40_000)]))
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.index("collect_list") < text.index("MapInArrow") < text.index("RepartitionByExpression")
+
+
+def test_averages_are_those_of_one_fold_to_the_last_bit(spark):
+    rng = random.Random(3)
+    rows = [("long", i, rng.choice([0.1, 7.3, rng.uniform(-1, 1)])) for i in range(30_000)] + [("same", i, 0.3) for i in range(30_000)] + [("zero", i, float(i < 9)) for i in range(9000)]
+    rows += [(f"k{i % 700}", i, round(rng.uniform(0, 100), 2)) for i in range(30_000)] + [("null", i, None if i == 5000 else rng.random()) for i in range(12_000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "31")
+    try:
+        frame = spark.createDataFrame(rows, "key string, at long, v double").repartition(5)
+        got = {r["key"]: r["timing"] for r in library.moving_average(frame, ["key"], "at", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.shuffle.partitions")
+    by_key = {}
+    for key, _, v in rows:
+        by_key.setdefault(key, []).append(v)
+    assert got == {key: _folded(values) for key, values in by_key.items()}
