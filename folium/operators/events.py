@@ -179,15 +179,30 @@ def years_in_text(texts: DataFrame, before: int = 50, after: int = 20) -> DataFr
     return found.where(own).select("doc_id", at.cast("long").alias("at"), F.col("hit.year").alias("year"), snippet.alias("snippet"))
 
 
+#: A flat block of good JSON strings, else all up to the next closing brace.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_PAIR = rf"{_STRING}\s*:\s*{_STRING}\s*"
+_BLOCK = rf"(?s)\{{\s*{_PAIR}(?:,\s*{_PAIR})*+\}}|\{{[^}}]*\}}"
+
+
+def _unescaped(text: Column) -> Column:
+    """What stands between the quotes of a JSON string, read; quotes, backslashes and control characters that nobody
+    escaped stay."""
+    kept = F.regexp_replace(text, r'(?<!\\)((?:\\\\)*+)\\(?!["\\/bfnrt]|u[0-9a-fA-F]{4})', r"$1\\\\")
+    kept = F.regexp_replace(kept, r'(?<!\\)((?:\\\\)*+)"', r'$1\\"')
+    return F.coalesce(F.get(F.from_json(F.concat(F.lit('["'), kept, F.lit('"]')), "array<string>", {"allowUnquotedControlChars": "true"}), F.lit(0)), text)
+
+
 def salvaged_events(replies: DataFrame) -> DataFrame:
     """reply_id, n, date_text, event_description out of flat {...} blocks of text that is not quite JSON.
 
     A date ends at its next quote. A description may hold quotes that nobody escaped: it ends at the last quote
-    before the closing brace, else at the last before a comma, and in any case before the key of the date."""
+    before the closing brace, else at the last before a comma, and in any case before the key of the date. A block
+    whose strings are good JSON may hold braces in them; escapes of JSON are read."""
     plain = F.translate("reply", "“”‘’", "\"\"''")
-    blocks = replies.select("reply_id", F.posexplode(F.regexp_extract_all(plain, F.lit(r"\{[^}]*\}"), F.lit(0))).alias("n", "block"))
+    blocks = replies.select("reply_id", F.posexplode(F.regexp_extract_all(plain, F.lit(_BLOCK), F.lit(0))).alias("n", "block"))
     upto = lambda end: F.nullif(F.regexp_extract("block", rf'(?s)"event_description"\s*:\s*"(.*)"\s*{end}', 1), F.lit(""))
     description = F.regexp_replace(F.coalesce(upto(r"\}"), upto(","), F.lit("")), r'(?s)"\s*,\s*"date_text"\s*:.*$', "")
     date = F.regexp_extract("block", r'"date_text"\s*:\s*"([^"\n]*)"', 1)
-    both = blocks.select("reply_id", "n", F.trim(date).alias("date_text"), F.regexp_replace(description, r"^\s+|\s+$", "").alias("event_description"))
+    both = blocks.select("reply_id", "n", _unescaped(F.trim(date)).alias("date_text"), _unescaped(F.regexp_replace(description, r"^\s+|\s+$", "")).alias("event_description"))
     return both.where("date_text != '' and event_description != ''")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folium.functions import text
-from folium.operators import embedding, extraction
+from folium.operators import embedding, events, extraction
 from folium.sources import assembly, snapshots
 
 FILE = "hash string, source_name string, descriptor string, text string, ord int"
@@ -71,3 +71,12 @@ def test_assembled_notes_and_names(spark):
     assert row["org"] == 'p\n:PROPERTIES:\n:title: one\n:creation:>2020<\n:tags: "a b" c\n:END:\nbody'
     assert row["name"] == "Classics/War and Peace II - Leo" and row["cut"] == "a" * 35
     assert row["words"] == ("word " * 7).strip() and row["hard"] == "x" * 70
+
+
+def test_escapes_and_braces_of_salvaged_replies(spark):
+    odd = 'schön “so” a\\tb \\ c {x} } "q" 😀\n[y]'
+    docs = spark.createDataFrame([(1, f"In 1900 {odd}.")], "doc_id long, text string")
+    assert [tuple(r) for r in extraction.extracted(docs, extraction.year_clauses).collect()] == [(1, 0, 0, "1900", odd)]
+    raw = r'[{"date_text": "1900", "event_description": "a \d "b" \\ c\u00f3 \"d\""}, {"date_text": "1901", "event_description": "\n e"}'
+    salvaged = events.salvaged_events(spark.createDataFrame([(1, raw)], "reply_id long, reply string")).orderBy("n").collect()
+    assert [tuple(r)[2:] for r in salvaged] == [("1900", 'a \\d "b" \\ có "d"'), ("1901", "\n e")]
