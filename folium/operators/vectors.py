@@ -45,19 +45,40 @@ def merged_chunks(scores: DataFrame, k: int) -> DataFrame:
     return spans.drop("_island").orderBy(F.desc("cosine"), "doc", "first_chunk").limit(k)
 
 
+#: Characters of a text, at least, whose windows are cut out of one block.
+WINDOW_BLOCK = 2048
+
+
 def context_windows(text: Column, length: int = 32, steps: int = 16) -> Column:
-    """Stretches of a text, one every steps characters, each length wide and moved in at the ends."""
-    n = F.length(text)
+    """Stretches of a text, one every steps characters, each length wide and moved in at the ends.
+
+    The text is cut into blocks in one go, and a window out of a block and its neighbours' edges: a place in the
+    whole text would have to be looked for from its start, window by window."""
     half = length // 2
+    size = steps * -(-max(WINDOW_BLOCK, length + 1) // steps)
 
-    def window(i: Column) -> Column:
+    def window(i: Column, b: Column) -> Column:
         start = F.greatest(i - half, F.lit(0))
-        end = F.least(i + half + length % 2, n)
-        wide = F.when((start == 0) & (end < n), F.least(F.lit(length), n)).otherwise(end)
-        begin = F.when((end == n) & (start > 0), F.greatest(n - length, F.lit(0))).otherwise(start)
-        return F.substring(text, begin + 1, wide - begin)
+        end = F.least(i + half + length % 2, b["n"])
+        wide = F.when((start == 0) & (end < b["n"]), F.least(F.lit(length), b["n"])).otherwise(end)
+        begin = F.when((end == b["n"]) & (start > 0), F.greatest(b["n"] - length, F.lit(0))).otherwise(start)
+        return F.substring(b["text"], begin - b["low"] + 1, wide - begin)
 
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1, F.lit(steps)), window)).otherwise(F.array(text))
+    def blocks(whole: Column) -> Column:
+        parts, n = whole["parts"], whole["n"]
+
+        def block(part: Column, k: Column) -> Column:
+            before = F.coalesce(F.right(F.get(parts, k - 1), F.lit(length)), F.lit(""))
+            behind = F.coalesce(F.left(F.get(parts, k + 1), F.lit(length + 1)), F.lit(""))
+            low = F.when(k > 0, k * size - length).otherwise(0)
+            places = F.sequence(k * size, F.least((k + 1) * size, n) - 1, F.lit(steps))
+            return once(F.struct(F.concat(before, part, behind).alias("text"), low.alias("low"), n.alias("n")), lambda b: F.transform(places, lambda i: window(i, b)))
+
+        return F.flatten(F.transform(parts, block))
+
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    n = F.length(text)
+    return F.when(n > 0, once(F.struct(parts.alias("parts"), n.alias("n")), blocks)).otherwise(F.array(text))
 
 
 def significance(cosines: Column, cutoff: float = 0.0) -> Column:
