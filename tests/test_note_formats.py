@@ -11,3 +11,13 @@ def test_plain_stretches_are_not_read_character_by_character(convert):
     start = time.process_time()
     assert convert(text) == text
     assert time.process_time() - start < 1.5
+
+
+def test_notes_go_to_python_in_small_batches_and_once(spark):
+    # an Arrow batch holds 10,000 notes, and a worker several times its texts
+    docs = spark.createDataFrame([("a", "p.md", "# x\n| Date | b |\n|---|---|\n| 1 | 2 |\n\n"), ("b", None, None)], "note_id string, path string, text string").repartition(2)
+    frames = [notes.converted(docs, "org"), notes.converted(docs, "markdown"), notes.round_trips(docs), notes.org_properties(docs), notes.parsed_headers(docs), notes.tables_of(docs).where("metadata['domain'] is not null")]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("BatchEvalPython") == 1 and "Arrow" not in plan and "Pandas" not in plan
+    assert [tuple(r)[:3] for r in frames[-1].collect()] == [("a", 0, ["Date", "b"])]
