@@ -21,21 +21,31 @@ from folium.llm.words import BYTE_KEYS, U64, Stretches, document_of, flat, give_
 
 #: About so many units of stretches for each shard.
 SHARD_UNITS = {"bytes": 2 << 20, "words": 1 << 19}
-#: Texts are worked on in slices of about so many bytes: each byte takes some 100 bytes of arrays here.
-SLICE = 1 << 18
+#: Texts are worked on in slices of about so many bytes: each byte takes some 100 bytes of arrays here, none of which
+#: may reach OWN_MEMORY (slices of 1 << 18 bytes took 4 to 6 times as long, for the pages of their arrays).
+SLICE = 1 << 16
 
 #: Given the bodies of stretches, their documents and first units: document, start, end of removed ranges.
 Finder = Callable[[Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def units(texts: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit value for each unit, n + 1 offsets of the documents' units, and each unit's first and last byte + 1."""
+def units(texts: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit value for each unit, and n + 1 offsets of the documents' units."""
     data, offsets = flat(texts)
     if unit == "bytes":
-        at = np.arange(len(data))
-        return BYTE_KEYS[data], offsets, at, at + 1
+        return BYTE_KEYS[data], offsets
     starts, ends, of_words = words(data, offsets)
-    return word_hashes(data, starts, ends), of_words, starts, ends
+    return word_hashes(data, starts, ends), of_words
+
+
+def places(texts: pa.Array, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, n + 1 offsets of the documents' units, and each unit's first and last byte + 1."""
+    data, offsets = flat(texts)
+    if unit == "bytes":
+        at = np.arange(len(data) + 1)
+        return data, offsets, at[:-1], at[1:]
+    starts, ends, of_words = words(data, offsets)
+    return data, of_words, starts, ends
 
 
 def anchors(values: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +73,7 @@ def _anchor_rows(docs: DataFrame, unit: str, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch, limit=SLICE):
-                values, offsets, _, _ = units(part["text"], unit)
+                values, offsets = units(part["text"], unit)
                 at, grams = anchors(values, offsets, window, k)
                 document = np.searchsorted(offsets, at, side="right") - 1
                 ids = part["doc_id"].to_numpy(zero_copy_only=False)[document]
@@ -80,7 +90,7 @@ def _stretches(docs: DataFrame, homes: DataFrame, unit: str, window: int, k: int
         earliest: dict[int, tuple[int, int]] = {}  # place of a stretch by the hash of its home and body
         for batch in batches:
             for part in sliced(batch, limit=SLICE):
-                values, offsets, first, last = units(part["text"], unit)
+                data, offsets, first, last = places(part["text"], unit)
                 lists = part["anchors"]
                 at_home = lists.flatten()
                 at, home = at_home.field("at").to_numpy().astype(np.int64), at_home.field("home").to_numpy()
@@ -96,7 +106,6 @@ def _stretches(docs: DataFrame, homes: DataFrame, unit: str, window: int, k: int
                 low, high, document, home = low[begin], high[end], document[begin], home[begin]
                 long = high - low >= window
                 low, high, document, home = low[long], high[long], document[long], home[long]
-                data, _ = flat(part["text"])
                 shift = offsets[document]
                 bodies = [data[s:e].tobytes() for s, e in zip(first[shift + low], last[shift + high - 1])] if len(low) else []
                 ids = part["doc_id"].to_numpy(zero_copy_only=False)[document]

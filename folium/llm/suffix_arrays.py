@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
 from folium.llm.repeats import SLICE, merged, range_arrays, with_removed_ranges
-from folium.llm.words import flat, sliced
+from folium.llm.words import flat, kept_memory, sliced
 
 #: Arrays of more bytes stand in unlinked files of the task; so do a queue's tuples beyond so many.
 FILE_FROM = 8 << 20
@@ -169,26 +169,35 @@ def _refined(rank: np.ndarray, key: np.ndarray, members: np.ndarray) -> np.ndarr
     """Ranks, where members of equal rank are told apart by key. A rank is the number of smaller ones.
 
     members: all of the ranks that more than one has. Returns those that still share a rank."""
-    order = np.lexsort((key, rank[members]))
-    members, key = members[order], key[order]
-    old = rank[members]
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    # rank and key as one number; a key by its place among the different ones
+    both = rank[members[order]] * len(key) + (np.cumsum(new) - 1)
+    last = np.argsort(both)
+    members, both = members[order[last]], both[last]
+    old = both // len(key)
     group = np.ones(len(members), dtype=bool)
     group[1:] = old[1:] != old[:-1]
-    new = group.copy()
-    new[1:] |= key[1:] != key[:-1]
+    new = np.ones(len(members), dtype=bool)
+    new[1:] = both[1:] != both[:-1]
     at = np.arange(len(members))
     rank[members] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
     alone = new & np.append(new[1:], True)
     return members[~alone]
 
 
-def _packed(symbols: np.ndarray, at: np.ndarray, left: np.ndarray, width: int, bits: int) -> np.ndarray:
-    """The next width symbols at each place, but left at most, each plus one, as one number."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for i in range(width):
-        ok = left > i
-        value = np.where(ok, symbols[np.minimum(at + i, len(symbols) - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        out = (out << np.uint64(bits)) | value
+def _packed(symbols: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """The next width symbols at each place and behind the last, each plus one, as one number; 0 where there is none."""
+    out = room(len(symbols) + 1, np.uint64)
+    out[:] = 0
+    for s in range(0, len(symbols), BLOCK):
+        part = symbols[s : s + BLOCK + width].astype(np.uint64) + np.uint64(1)
+        block = out[s : min(s + BLOCK, len(symbols))]
+        for i in range(width):
+            block <<= np.uint64(bits)
+            block[: max(len(part) - i, 0)] |= part[i : i + len(block)]
     return out
 
 
@@ -199,9 +208,11 @@ def sorted_leftmost(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray, s
     bits = int(2 * symbols + 2).bit_length()
     width = 63 // bits
     typed = text.astype(np.uint32) * 2 + small
+    packed = _packed(typed, width, bits)
     rank, members, done = np.zeros(m, dtype=np.int64), np.arange(m), 0
     while len(members) and done <= cap:
-        members = _refined(rank, _packed(typed, leftmost[members] + done, length[members] - done, width, bits), members)
+        beyond = (np.maximum(width - (length[members] - done), 0) * bits).astype(np.uint64)  # of the next substring
+        members = _refined(rank, packed[leftmost[members] + done] >> beyond << beyond, members)
         members = members[length[members] > done + width]
         done += width
     shared = np.bincount(rank, minlength=m)[rank] > 1
@@ -228,16 +239,18 @@ def sorted_leftmost(text: np.ndarray, small: np.ndarray, leftmost: np.ndarray, s
 def _shared_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, bits: int) -> np.ndarray:
     """How many symbols the suffixes at a and b share, cap at most."""
     width = 63 // bits
-    out = np.zeros(len(a), dtype=np.int64)
+    packed = _packed(text, width, bits)
+    out = np.full(len(a), cap, dtype=np.int64)
     active, done = np.arange(len(a)), 0
     while len(active) and done < cap:
-        x, y = ((_packed(text, p[active] + done, len(text) - p[active] - done, width, bits)) for p in (a, b))
-        differ = x ^ y
-        same = np.zeros(len(active), dtype=np.int64)
+        differ = packed[a + done] ^ packed[b + done]
+        ends = differ != 0
+        last = differ[ends]
+        same = np.full(len(last), done)
         for i in range(width):
-            same += (differ >> np.uint64(bits * (width - 1 - i))) == 0
-        out[active] += same
-        active = active[same == width]
+            same += (last >> np.uint64(bits * (width - 1 - i))) == 0
+        out[active[ends]] = same
+        a, b, active = a[~ends], b[~ends], active[~ends]
         done += width
     return np.minimum(out, cap)
 
@@ -293,7 +306,7 @@ def suffixes(text: np.ndarray, symbols: int, cap: int, small: np.ndarray, run: n
 def repeated_windows(window: int):
     """A finder for with_removed_ranges over bytes."""
 
-    def find(rows: Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def searched(rows: Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         none = np.zeros(0, dtype=np.int64)
         ids, starts, sizes = [none], [none], [none]
         with tempfile.SpooledTemporaryFile(FILE_FROM) as spool:
@@ -311,7 +324,7 @@ def repeated_windows(window: int):
             text[:] = 0
             for s, n in zip(offsets, sizes):
                 text[s : s + n] = np.frombuffer(spool.read(int(n)), dtype=np.uint8).astype(np.uint16) + 1
-        _, number = np.unique(ids, return_inverse=True)
+        different, number = np.unique(ids, return_inverse=True)
         place_key = number.astype(np.int64) << 40 | starts  # order of documents, then places
 
         out_key: list[np.ndarray] = []
@@ -343,11 +356,15 @@ def repeated_windows(window: int):
             else:
                 held.append((place, common))
         close(*map(np.concatenate, zip(*held)))
-        key = np.unique(np.concatenate(out_key)) if out_key else none
-        document = np.unique(ids)[key >> 40]
+        key = np.sort(np.concatenate(out_key)) if out_key else none
+        document = different[key >> 40]
         start = key & ((1 << 40) - 1)
         return merged(document, start, start + window)
 
+    def find(rows: Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        with kept_memory():
+            return searched(rows)
+
     return find
 
 

@@ -7,6 +7,7 @@ fixed random keys, finished by a mixer: two different stretches share one with p
 
 import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,12 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 
 _libc = ctypes.CDLL(None)
 _trim = getattr(_libc, "malloc_trim", None)
-#: Arrays of a MB or more stand in memory of their own, which goes back to the system when they go.
-if hasattr(_libc, "mallopt"):
-    _libc.mallopt(-3, 1 << 20)
+#: Arrays of a MB or more stand in memory of their own, which goes back to the system when they go. Each takes its
+#: pages anew, which costs more time than most of what is done with them.
+OWN_MEMORY = 1 << 20
+_set = getattr(_libc, "mallopt", lambda *_: 0)
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
+_set(_MMAP_THRESHOLD, OWN_MEMORY)
 
 
 def give_back() -> None:
@@ -39,6 +43,19 @@ def give_back() -> None:
         _trim(0)
 
 
+@contextmanager
+def kept_memory() -> Iterator[None]:
+    """Within, freed arrays up to 32 MB leave their memory to the next ones; all is given back at the end."""
+    _set(_MMAP_THRESHOLD, 32 << 20)
+    _set(_TRIM_THRESHOLD, 256 << 20)
+    try:
+        yield
+    finally:
+        _set(_MMAP_THRESHOLD, OWN_MEMORY)
+        _set(_TRIM_THRESHOLD, 128 << 10)
+        give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose bits all depend on all bits of x."""
     x = x ^ (x >> U64(30))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from folium.llm import repeats, suffix_arrays
+from folium.llm import repeats, suffix_arrays, words
 
 
 def _shared(a, b, cap):
@@ -60,3 +60,25 @@ def test_a_shard_of_the_usual_size_is_sorted_through_files(monkeypatch):
     document, start, end = suffix_arrays.repeated_windows(100)(iter([(np.array([1, 2]), np.array([0, 0]), bodies)]))
     assert list(zip(document.tolist(), start.tolist(), end.tolist())) == [(2, 1, 1001)]
     assert spilled and any(filed)
+
+
+def test_symbols_are_packed_once_however_long_the_shared_prefixes(monkeypatch):
+    packed, numbers = suffix_arrays._packed, []
+    monkeypatch.setattr(suffix_arrays, "_packed", lambda *a: numbers.append(len(out := packed(*a))) or out)
+    body = bytes(np.random.default_rng(2).integers(97, 123, 3000, dtype=np.uint8))
+    document, start, end = suffix_arrays.repeated_windows(100)(iter([(np.arange(4), np.zeros(4, dtype=np.int64), [body] * 4)]))
+    assert list(zip(document.tolist(), start.tolist(), end.tolist())) == [(i, 0, 3000) for i in (1, 2, 3)]
+    assert sum(numbers) <= 3 * (4 * 3001 + 1)  # the names between leftmost suffixes are packed too
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.int64])
+def test_packed_symbols_across_blocks_and_behind_the_end(monkeypatch, kind):
+    monkeypatch.setattr(suffix_arrays, "BLOCK", 5)
+    text = np.random.default_rng(3).integers(0, 257, 23).astype(kind)
+    for width in (1, 3, 7):
+        want = [sum(int(x + 1) << 9 * (width - 1 - j) for j, x in enumerate(text[i : i + width].tolist())) for i in range(24)]
+        assert suffix_arrays._packed(text, width, 9).tolist() == want
+
+
+def test_arrays_of_a_slice_need_no_memory_of_their_own():
+    assert 8 * (repeats.SLICE + 1) < words.OWN_MEMORY
