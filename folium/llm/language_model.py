@@ -33,19 +33,25 @@ LARGEST_DISCOUNTED = 5
 SLICE_TOKENS = 1_500_000
 SHARD_BYTES = 12 << 20
 #: A word that is one of so many tokens, or more, is sent by its number in a list that all tasks have; there
-#: can be no more such words than this.
-COMMON_ONE_IN = 1 << 19
+#: can be no more such words than this. A word less common costs its hash in three shards, 7 bytes each.
+COMMON_ONE_IN = 1 << 21
 #: A shard's sums for a document are sent in steps of one in so many, which is 3e-8 off at most for each shard.
 STEPS = 1 << 24
+#: Of so many numbers or more all first bytes are compressed by themselves, all second ones, and so on: each place has
+#: a code of its own then.
+APART_FROM = 1024
 
 
 def _squeezed(values: np.ndarray) -> bytes:
     """Numbers compressed, all first bytes first."""
-    return zstandard.compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b"", 1)
+    if not len(values):
+        return zstandard.compress(b"", 1)
+    places = values.view(np.uint8).reshape(len(values), -1).T
+    return b"".join(zstandard.compress(x.tobytes(), 1) for x in (places if len(values) >= APART_FROM else [places]))
 
 
 def _numbers(blob: bytes, dtype: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(blob), dtype=np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().stream_reader(blob, read_across_frames=True).readall(), dtype=np.uint8)
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
@@ -99,7 +105,9 @@ def _common_words(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often]), pa.array(np.where(np.arange(often.sum()) == 0, counts.sum(), 0))], names=["key", "n", "tokens"])
 
     found = docs.select("text").mapInArrow(run, "key long, n long, tokens long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
-    found = found.crossJoin(F.broadcast(found.agg(F.sum("tokens").alias("all")))).where(F.col("n") * COMMON_ONE_IN >= F.col("all")).orderBy(F.desc("n"), "key").select("key").toPandas()
+    found = written(found, "common-words")  # else the words are counted twice
+    total = found.agg(F.sum("tokens")).first()[0] or 0
+    found = found.where(F.col("n") * COMMON_ONE_IN >= total).orderBy(F.desc("n"), "key").select("key").toPandas()
     return found["key"].to_numpy(np.int64).view(U64)
 
 
@@ -231,58 +239,76 @@ class _Shard:
         self.n1 = summed(self.b, self.n2, n_words)  # as a history
 
 
+def _needed(own: _Shard, shards: int, common: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The last tokens whose counts a shard needs, by the shard that counts them: its number, which of the common words
+    there are needed (true or false), these words, and the others."""
+    needed = own.words[np.unique(own.c)]
+    listed = np.isin(needed, common)
+    asked_for = np.isin(common, needed[listed])
+    home, rare = _home(common, shards), needed[~listed]
+    of_rare = _home(rare, shards)
+    for to in np.union1d(home[asked_for], of_rare):
+        there = home == to
+        yield int(to), asked_for[there], common[there & asked_for], rare[of_rare == to]
+
+
 def _counts(shards: int, common: Broadcast):
     """What a shard tells and asks before it can normalise: counts of its tokens, the last tokens whose counts
-    it needs, and how many n-grams have each count (7: and all above, with the sum of their counts)."""
+    it needs, and how many n-grams have each count (7: and all above, with the sum of their counts). The count of a
+    token that occurs once is not told: it is what a shard replies for tokens that it was told nothing of."""
 
     def run(asked: pa.Table) -> pa.Table:
         own = _Shard(asked, common.value)
         shard = asked["shard"][0].as_py()
         rows = []
-        token = np.flatnonzero((own.n1 > 0) & (own.words != START))
+        token = np.flatnonzero((_home(own.words, shards) == shard) & (own.words != START) & (own.words != END))
         counted = [(shard, own.words[token], own.n1[token])]
-        begin = np.flatnonzero((own.words == START) & (own.n1 > 0))
-        if len(begin):  # a text that starts ends once
-            counted.append((int(_home(np.array([END]), shards)[0]), np.array([END]), own.n1[begin]))
+        if _home(np.array([START]), shards)[0] == shard:  # a text that starts ends once
+            counted.append((int(_home(np.array([END]), shards)[0]), np.array([END]), own.n1[own.words == START]))
         for to, keys, counts in counted:
-            rows.append((to, None, _pack(keys), _squeezed(counts), None, None, None, None))
-        needed = own.words[np.unique(own.c)]
-        home = _home(needed, shards)
-        for to in np.unique(home):
-            rows.append((int(to), shard, _pack(needed[home == to]), None, None, None, None, None))
+            other = counts != 1
+            rows.append((to, None, None, _pack(keys[other]), _squeezed(counts[other]), None, None, None, None))
+        for to, asked_for, _, rare in _needed(own, shards, common.value):
+            rows.append((to, shard, np.packbits(asked_for).tobytes(), _pack(rare), None, None, None, None, None))
         single = np.concatenate([x[2] for x in counted])
         for order, n in ((1, single), (2, own.n2), (3, own.n3[own.a >= 0])):
             n = n[n > 0]
             of_class = np.minimum(n, LARGEST_DISCOUNTED + 2)
             types, total = np.bincount(of_class, minlength=1), np.bincount(of_class, weights=n, minlength=1)
-            rows += [(0, None, None, None, order, int(r), int(types[r]), int(total[r])) for r in np.flatnonzero(types)]
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            rows += [(0, None, None, None, None, order, int(r), int(types[r]), int(total[r])) for r in np.flatnonzero(types)]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         del own
         give_back()
-        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["to", "origin", "keys", "counts", "order", "r", "types", "total"])
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["to", "origin", "common", "keys", "counts", "order", "r", "types", "total"])
 
     return run
 
 
-def _replies(told: pa.Table) -> pa.Table:
-    """The counts that other shards ask of one; the numbers of n-grams by count pass."""
-    rows = told.to_pylist()
-    known = [(_unpack(r["keys"]), _numbers(r["counts"], np.int64)) for r in rows if r["counts"] is not None]
-    keys, counts = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, U64), np.zeros(0, np.int64))
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    out = []
-    for r in rows:
-        if r["origin"] is not None:
-            asked = _unpack(r["keys"])
-            at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
-            n = np.where(keys[at] == asked, counts[at], 0) if len(keys) else np.zeros(len(asked), np.int64)
-            out.append((r["origin"], r["keys"], _squeezed(n), None, None, None, None))
-        elif r["order"] is not None:
-            out.append((None, None, None, r["order"], r["r"], r["types"], r["total"]))
-    kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    columns = zip(*out) if out else [[]] * len(kinds)
-    return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names=["shard", "keys", "counts", "order", "r", "types", "total"])
+def _replies(shards: int, common: Broadcast):
+    """The counts that other shards ask of one, in the order in which they ask; the numbers of n-grams by count pass."""
+
+    def run(told: pa.Table) -> pa.Table:
+        rows, shard = told.to_pylist(), told["to"][0].as_py()
+        known = [(_unpack(r["keys"]), _numbers(r["counts"], np.int64)) for r in rows if r["counts"] is not None]
+        keys, counts = (np.concatenate(x) for x in zip(*known)) if known else (np.zeros(0, U64), np.zeros(0, np.int64))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+        listed = common.value[_home(common.value, shards) == shard]
+        out = []
+        for r in rows:
+            if r["origin"] is not None:
+                asked_for = np.unpackbits(np.frombuffer(r["common"], dtype=np.uint8), count=len(listed)).astype(bool)
+                asked = np.concatenate((listed[asked_for], _unpack(r["keys"])))
+                at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+                n = np.where(keys[at] == asked, counts[at], 1) if len(keys) else np.ones(len(asked), np.int64)
+                out.append((r["origin"], shard, _squeezed(n), None, None, None, None))
+            elif r["order"] is not None:
+                out.append((None, None, None, r["order"], r["r"], r["types"], r["total"]))
+        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        columns = zip(*out) if out else [[]] * len(kinds)
+        return pa.table([pa.array(x, k) for x, k in zip(columns, kinds)], names=["shard", "home", "counts", "order", "r", "types", "total"])
+
+    return run
 
 
 @dataclass
@@ -325,7 +351,7 @@ _ANSWER = ["documents", "unknown", "base", "score"]
 _TOLD = "kind string, shard int, slice long, ids array<long>, sizes binary, tokens long, " + ", ".join(f"{c} binary" for c in [*_ANSWER, *_MODEL])
 
 
-def _evaluated(smooth: float, stored: bool, common: Broadcast):
+def _evaluated(smooth: float, stored: bool, shards: int, common: Broadcast):
     """The normalised n-grams of a shard, and the sums over its tokens for each document of each slice."""
 
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), *[pa.binary()] * (len(_ANSWER) + len(_MODEL))]
@@ -337,9 +363,9 @@ def _evaluated(smooth: float, stored: bool, common: Broadcast):
         own = _Shard(asked, common.value)
         single = _Single.of(next((x for x in told["stats"].to_pylist() if x is not None), []))
         of_word = np.zeros(len(own.words), dtype=np.int64)
-        for keys, counts in zip(told["keys"], told["counts"]):
-            if keys.is_valid:
-                of_word[np.searchsorted(own.words, _unpack(keys.as_py()))] = _numbers(counts.as_py(), np.int64)
+        counts = {home: n for home, n in zip(told["home"].to_pylist(), told["counts"].to_pylist()) if home is not None}
+        for home, _, listed, rare in _needed(own, shards, common.value):
+            of_word[np.searchsorted(own.words, np.concatenate((listed, rare)))] = _numbers(counts[home], np.int64)
         p1 = np.where(of_word > 0, _kept(of_word, single.shares[1]) * single.factor, single.unknown)
 
         kept = _kept(own.n2, single.shares[2])
@@ -427,15 +453,15 @@ def learned_and_scored(docs: DataFrame, learns: Column, smooth: float = 0.1, sto
     shards = max(1, -(-size // SHARD_BYTES))
     common = spark.sparkContext.broadcast(_common_words(docs))
     asked = _asked(docs, shards, common)
-    told = asked.groupBy("shard").applyInArrow(_counts(shards, common), "to int, origin int, keys binary, counts binary, order int, r int, types long, total long")
-    replies = told.groupBy("to").applyInArrow(_replies, "shard int, keys binary, counts binary, order int, r int, types long, total long")
+    told = asked.groupBy("shard").applyInArrow(_counts(shards, common), "to int, origin int, common binary, keys binary, counts binary, order int, r int, types long, total long")
+    replies = told.groupBy("to").applyInArrow(_replies(shards, common), "shard int, home int, counts binary, order int, r int, types long, total long")
     by_count = replies.where(F.col("order").isNotNull()).groupBy("order", "r").agg(F.sum("types").alias("types"), F.sum("total").alias("total"))
     stats = by_count.agg(F.collect_list(F.struct("order", "r", "types", "total")).alias("stats"))  # 21 entries at most
     to_all = spark.range(shards).select(F.col("id").cast("int").alias("shard")).crossJoin(stats)
-    known = replies.where(F.col("shard").isNotNull()).select("shard", "keys", "counts", F.lit(None).cast(stats.schema["stats"].dataType).alias("stats"))
-    known = known.unionByName(to_all.select("shard", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("counts"), "stats"))
+    known = replies.where(F.col("shard").isNotNull()).select("shard", "home", "counts", F.lit(None).cast(stats.schema["stats"].dataType).alias("stats"))
+    known = known.unionByName(to_all.select("shard", F.lit(None).cast("int").alias("home"), F.lit(None).cast("binary").alias("counts"), "stats"))
     # one job: Spark shuffles what the slices ask once and reads it for the counts and for the scores
-    done = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_evaluated(smooth, stored, common), _TOLD)
+    done = asked.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(_evaluated(smooth, stored, shards, common), _TOLD)
     table = written(done, "katz", ("kind", "shard"))
     answers = table.where("kind = 'answer'").select("slice", "ids", "sizes", "tokens", *_ANSWER)
     scores = answers.groupBy("slice").applyInArrow(_summed, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

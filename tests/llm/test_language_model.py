@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,51 @@ def test_no_rows_and_no_learning_rows(spark):
     assert language_model.learned_and_scored(docs.limit(0), F.lit(True)).scores.count() == 0
     rows = language_model.learned_and_scored(docs, F.lit(None).cast("boolean")).scores.collect()
     assert [r["score"] for r in rows] == [0.0] * 4 and all(r["n_known"] == r["train_tokens"] == 0 for r in rows)
+
+
+def test_words_are_counted_once_for_the_common_ones(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(f"the word w{i}",) for i in range(40)], "text string").mapInArrow(seen, "text string")
+    assert len(language_model._common_words(docs)) == 42 and read.value == 40
+
+
+@pytest.mark.parametrize("n", [0, 1, language_model.APART_FROM - 1, language_model.APART_FROM, 20_000])
+@pytest.mark.parametrize("kind", [np.int32, np.int64, np.uint64, np.float64])
+def test_numbers_come_back_as_they_were(n, kind):
+    numbers = (np.random.default_rng(n).random(n) * 3000).astype(kind)
+    blob = language_model._squeezed(numbers)
+    assert language_model._numbers(blob, kind).tolist() == numbers.tolist()
+    if n == 20_000 and kind == np.int32:  # 11.6 bits each at best
+        assert len(blob) < 1.5 * n
+
+
+def test_shards_tell_each_other_neither_common_words_nor_counts_of_one():
+    shards, rng = 3, np.random.default_rng(4)
+    often, rare = (language_model.mix(np.arange(s, s + n, dtype=np.uint64)) for s, n in ((10**6, 400), (10**7, 3000)))
+    common = type("Listed", (), {"value": often})
+    texts = [rng.permutation(np.concatenate((often, rare[i::10]))) for i in range(10)]
+    held = [(np.concatenate(texts), np.full(10, 700), pa.array(range(10), pa.int64()), np.arange(10) != 3)]
+    asked = pa.Table.from_batches([language_model._slice_rows(held, 0, shards, often)])
+    told = pa.concat_tables([language_model._counts(shards, common)(asked.filter(pa.compute.equal(asked["shard"], i))) for i in range(shards)])
+    replies = pa.concat_tables([language_model._replies(shards, common)(told.filter(pa.compute.equal(told["to"], i))) for i in range(shards)])
+    of_word, listed = {}, set(often.tolist())
+    for row in told.to_pylist():
+        keys = language_model._unpack(row["keys"]).tolist() if row["keys"] else []
+        if row["counts"]:
+            of_word |= dict(zip(keys, language_model._numbers(row["counts"], np.int64).tolist()))
+        else:
+            assert not listed & set(keys)
+    end = int(language_model.END)
+    assert of_word == {end: 9} | dict.fromkeys(often.tolist(), 9) | dict.fromkeys(rare[3::10].tolist(), 0)
+    got = {(r["shard"], r["home"]): language_model._numbers(r["counts"], np.int64).tolist() for r in replies.to_pylist() if r["counts"]}
+    for i in range(shards):
+        own = language_model._Shard(asked.filter(pa.compute.equal(asked["shard"], i)), often)
+        for to, _, first, second in language_model._needed(own, shards, often):
+            assert got[i, to] == [of_word.get(x, 1) for x in [*first.tolist(), *second.tolist()]]
+    assert sum(len(x or b"") for c in ("common", "keys", "counts") for x in told[c].to_pylist()) < 8.5 * len(rare) + 10 * len(often)
