@@ -10,6 +10,7 @@ New pieces go many at once, their different prefixes of one length in one step.
 import hashlib
 import json
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import chain, count, islice, pairwise
@@ -53,9 +54,9 @@ def plain_pieces() -> re.Pattern:
 
 
 class Endings:
-    """An automaton (Aho-Corasick) that tells the tokens that a text ends with: its state after a byte is
-    goto[row[state], byte], from 0 on; the longest token that ends there is longest[state], the next shorter one
-    shorter[token], -1 for none. States without a way of their own share the row of the state that they fall back to."""
+    """An automaton (Aho-Corasick) that tells the tokens that a text ends with. Its state, from 0 on, is a beginning
+    of tokens; the longest token that ends there is longest[state], the next shorter one shorter[token], -1 for none.
+    Ways lie sorted by 256 * state + byte; where a state has none for a byte, that of back[state] holds."""
 
     def __init__(self, tokens: dict[bytes, int], size: int):
         states = sorted({token[:k] for token in tokens for k in range(len(token) + 1)} | {b""}, key=len)
@@ -63,21 +64,37 @@ class Endings:
         above = np.array([number[state[:-1]] for state in states])
         byte = np.array([state[-1] if state else 0 for state in states])
         own = np.array([tokens.get(state, -1) for state in states])
-        inner = np.zeros(len(states), dtype=bool)
-        inner[above] = True
-        self.row = np.where(inner, np.cumsum(inner) - 1, -1)
-        self.goto = np.zeros((int(inner.sum()), 256), dtype=np.int32)
+        ways = 256 * above[1:] + byte[1:]
+        order = np.argsort(ways)
+        self.ways, self.to = np.append(ways[order], np.iinfo(np.int64).max), np.append(order + 1, 0)
+        self.way_list = self.ways.tolist()
+        self.back = np.zeros(len(states), dtype=np.int64)
         self.longest, self.shorter = np.full(len(states), -1), np.full(size, -1)
         levels = np.searchsorted([len(state) for state in states], np.arange(1, len(states[-1]) + 2))
         for a, b in pairwise(levels.tolist()):
-            new = np.arange(a, b)
-            at = self.row[above[a:b]], byte[a:b]
-            back = self.goto[at]
-            self.goto[at] = new
-            self.row[a:b] = np.where(inner[a:b], self.row[a:b], self.row[back])
-            self.goto[self.row[new[inner[a:b]]]] = self.goto[self.row[back[inner[a:b]]]]
-            self.longest[a:b] = np.where(own[a:b] >= 0, own[a:b], self.longest[back])
-            self.shorter[own[a:b][own[a:b] >= 0]] = self.longest[back[own[a:b] >= 0]]
+            back = np.where(above[a:b] > 0, self.after(self.back[above[a:b]], byte[a:b]), 0)
+            self.back[a:b], token = back, own[a:b] >= 0
+            self.longest[a:b] = np.where(token, own[a:b], self.longest[back])
+            self.shorter[own[a:b][token]] = self.longest[back[token]]
+
+    def after(self, states: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The states after a byte each."""
+        found, todo = np.zeros(len(states), dtype=np.int64), np.arange(len(states))
+        while len(todo):
+            way = 256 * states + byte[todo]
+            at = np.searchsorted(self.ways, way)
+            there = self.ways[at] == way
+            found[todo[there]] = self.to[at[there]]
+            further = ~there & (states > 0)
+            todo, states = todo[further], self.back[states[further]]
+        return found
+
+    def after_one(self, state: int, byte: int) -> int:
+        while self.way_list[at := bisect_left(self.way_list, 256 * state + byte)] != 256 * state + byte:
+            if state == 0:
+                return 0
+            state = self.back.item(state)
+        return self.to.item(at)
 
 
 class Kept:
@@ -178,11 +195,11 @@ class PrefixEncoder:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece: the last token of every prefix first, then back from the end."""
-        goto, row, longest, shorter = self.endings.goto.item, self.endings.row.item, self.endings.longest.item, self.endings.shorter.item
+        after, longest, shorter = self.endings.after_one, self.endings.longest.item, self.endings.shorter.item
         pairs, lengths = self.pairs, self.lengths.item
         last, state = [self.size], 0
         for end, byte in enumerate(piece, 1):
-            state = goto(row(state), byte)
+            state = after(state, byte)
             token = longest(state)
             while True:
                 if token < 0:
@@ -206,7 +223,7 @@ class PrefixEncoder:
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of sorted pieces in turn, and how many each has: as encode_piece, by prefixes of one length at a time.
         A prefix that the piece before has too is not encoded again."""
-        goto, row, longest, shorter = self.endings.goto, self.endings.row, self.endings.longest, self.endings.shorter
+        longest, shorter = self.endings.longest, self.endings.shorter
         size = np.fromiter(map(len, pieces), dtype=np.int32, count=len(pieces))
         most = int(size.max())
         data = np.frombuffer(b"".join([p.ljust(most, b"\0") for p in pieces]), dtype=np.uint8).reshape(-1, most)
@@ -217,13 +234,13 @@ class PrefixEncoder:
         shared[1:] = np.minimum(shared[1:], size[:-1])
         data = np.ascontiguousarray(data.T)
         last = np.full((most + 1, len(pieces)), self.size, dtype=np.int32)
-        rows, state = np.arange(len(pieces)), np.zeros(len(pieces), dtype=np.int32)
+        rows, state = np.arange(len(pieces)), np.zeros(len(pieces), dtype=np.int64)
         for end in range(1, most + 1):
             still = size[rows] >= end
             rows, state = rows[still], state[still]
             new = shared[rows] < end
             heads = rows[new]
-            states = goto[row[state[new]], data[end - 1][heads]]
+            states = self.endings.after(state[new], data[end - 1][heads])
             token = longest[states]
             todo = np.arange(len(heads))
             while len(todo):
