@@ -177,9 +177,8 @@ def with_removed_ranges(docs: DataFrame, unit: str, window: int, k: int, find: F
                 whole = b.filter(b["body"].is_null())
                 place, n = (whole["doc_id"].to_numpy(), whole["start"].to_numpy()), whole["n"].to_numpy()
                 copies.append(np.stack([*place, place[1] + n]))
-                b = b.filter(b["body"].is_valid())
-                if b.num_rows:
-                    yield b["doc_id"].to_numpy(), b["start"].to_numpy(), b["body"].to_pylist()
+                for part in sliced(b.filter(b["body"].is_valid()), "body", SLICE):
+                    yield part["doc_id"].to_numpy(), part["start"].to_numpy(), part["body"].to_pylist()
 
         found = np.stack(find(rows()))
         document, start, end = merged(*np.concatenate([found, *copies], axis=1))

@@ -79,6 +79,8 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _up, _down = _powers(_BASE, 1), _powers(_INVERSE, 1)
+#: Powers for sequences of so many values stay in each Python worker; those for longer ones go with them.
+KEPT_POWERS = 1 << 20
 
 
 class Stretches:
@@ -87,12 +89,15 @@ class Stretches:
     def __init__(self, values: np.ndarray):
         global _up, _down
         n = len(values) + 1
-        if len(_up) < n:
+        up, down = _up, _down
+        if len(up) < n:
             size = 1 << max(16, int(n - 1).bit_length())
-            _up, _down = _powers(_BASE, size), _powers(_INVERSE, size)
+            up, down = _powers(_BASE, size), _powers(_INVERSE, size)
+            if size <= KEPT_POWERS:
+                _up, _down = up, down
         self.sums = np.zeros(n, dtype=U64)
-        np.cumsum(values * _up[: n - 1], out=self.sums[1:])
-        self.down = _down
+        np.cumsum(values * up[: n - 1], out=self.sums[1:])
+        self.down = down
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         out = self.sums[end] - self.sums[start]
