@@ -21,3 +21,10 @@ def test_notes_go_to_python_in_small_batches_and_once(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert plan.split("Initial Plan")[0].count("BatchEvalPython") == 1 and "Arrow" not in plan and "Pandas" not in plan
     assert [tuple(r)[:3] for r in frames[-1].collect()] == [("a", 0, ["Date", "b"])]
+
+
+def test_a_wiki_link_keeps_its_bar_when_the_alias_is_empty():
+    # as in the reference and in the SQL of markdown_to_org; marks around nothing are no forms and stay
+    assert notes.markdown_to_org("see [[note|]] [[plain]] [[w|x]]") == "see [[note][]] [[plain]] [[w][x]]"
+    assert notes.markdown_to_org("- **** [](http://x.y) ____") == "- **** [](http://x.y) ____"
+    assert notes.org_to_markdown("2 ** 3 [[http://x.y][]]") == "2 ** 3 [[http://x.y][]]"
