@@ -59,7 +59,7 @@ def export_plan(notes: DataFrame, root: str, target: str, existing: DataFrame, t
 def exported(notes: DataFrame, plan: DataFrame, to: str = "org") -> DataFrame:
     """target_path, text of the notes (path, text) that a plan does not refuse, in the other format."""
     wanted = plan.where("refusal is null").select("path", "target_path")
-    rows = notes.join(wanted, "path").select(F.col("target_path").alias("note_id"), "text")
+    rows = notes.join(wanted, "path").select(F.col("target_path").alias("note_id"), F.coalesce("text", F.lit("")).alias("text"))
     return note_formats.converted(rows, to).withColumnRenamed("note_id", "target_path")
 
 
@@ -68,7 +68,7 @@ def org_documents(notes: DataFrame) -> DataFrame:
     matter with all fields of the metadata, and the body converted."""
     keyed = notes.withColumn("note_id", F.col("path"))
     parts = note_formats.parsed_headers(keyed)
-    bodies = note_formats.converted(parts.select("note_id", F.col("body").alias("text")), "org").withColumnRenamed("text", "_body")
+    bodies = note_formats.converted(parts.select("note_id", F.coalesce("body", F.lit("")).alias("text")), "org").withColumnRenamed("text", "_body")
     made = metadata.entries(keyed.join(parts.select("note_id", "header"), "note_id").select("note_id", "descriptor", "hash", "header", "created"))
     fields = {f: F.col(f) for f in metadata.FIELDS if f not in (*metadata.LISTS, "representations")}
     text = with_drawer(F.lit(""), fields, {f: F.col(f) for f in metadata.LISTS}, F.col("_body"), metadata.FIELDS, {"representations": metadata.representation_text(F.get("representations", F.lit(0)))})

@@ -2,7 +2,8 @@ import time
 
 import pytest
 
-from folium.sources import notes
+from folium import catalogue
+from folium.sources import assembly, notes
 
 
 @pytest.mark.parametrize("convert", [notes.markdown_to_org, notes.org_to_markdown])
@@ -28,3 +29,15 @@ def test_a_wiki_link_keeps_its_bar_when_the_alias_is_empty():
     assert notes.markdown_to_org("see [[note|]] [[plain]] [[w|x]]") == "see [[note][]] [[plain]] [[w][x]]"
     assert notes.markdown_to_org("- **** [](http://x.y) ____") == "- **** [](http://x.y) ____"
     assert notes.org_to_markdown("2 ** 3 [[http://x.y][]]") == "2 ** 3 [[http://x.y][]]"
+
+
+def test_a_null_text_has_no_conversion_and_an_export_of_it_is_empty(spark, tmp_path):
+    docs = spark.createDataFrame([(1, None), (2, "Abc.")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("markdown_to_org", "org_to_markdown"):
+        assert {r[0]: r[1] is None for r in catalogue.queries()[name](spark, str(tmp_path)).collect()} == {1: True, 2: False}
+    given = spark.createDataFrame([("n.md", None)], "path string, text string")
+    plan = spark.createDataFrame([("n.md", "n.org", None)], "path string, target_path string, refusal string")
+    assert [tuple(r) for r in assembly.exported(given, plan).collect()] == [("n.org", "")]
+    noted = given.selectExpr("path", "'{S}/n.md' AS descriptor", "'h' AS hash", "'' AS created", "text")
+    assert ":END:" in assembly.org_documents(noted).first()["text"]
