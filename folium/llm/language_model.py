@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm.storage import written
-from folium.llm.words import BYTE_KEYS, LOWER, U64, Stretches, document_of, flat, give_back, mix, sliced, words
+from folium.llm.words import BYTE_KEYS, LOWER, U64, Stretches, document_of, flat, give_back, kept_memory, mix, sliced, words
 
 START, END = mix(np.array([0xA11CE, 0xB0B], dtype=U64))
 #: Counts above this are kept whole.
@@ -47,7 +47,7 @@ def _squeezed(values: np.ndarray) -> bytes:
     if not len(values):
         return zstandard.compress(b"", 1)
     places = values.view(np.uint8).reshape(len(values), -1).T
-    return b"".join(zstandard.compress(x.tobytes(), 1) for x in (places if len(values) >= APART_FROM else [places]))
+    return b"".join(zstandard.compress(np.ascontiguousarray(x), 1) for x in (places if len(values) >= APART_FROM else [places]))
 
 
 def _numbers(blob: bytes, dtype: type) -> np.ndarray:
@@ -68,6 +68,23 @@ def _home(key: np.ndarray, shards: int) -> np.ndarray:
     return ((key >> U64(33)) % U64(shards)).astype(np.int32)
 
 
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values in rising order, and the place of each value among them: np.unique for lists whose values
+    come often, of which only the different ones are sorted."""
+    found = pa.array(values).dictionary_encode()
+    different = found.dictionary.to_numpy()
+    order = np.argsort(different)
+    place = np.empty(len(order), dtype=np.int32)
+    place[order] = np.arange(len(order))
+    return different[order], place[found.indices.to_numpy()]
+
+
+def _dealt(home: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of a list shard by shard, in order within each, and where each shard's begin."""
+    by_home = np.argsort(home, kind="stable")
+    return by_home, np.searchsorted(home[by_home], np.arange(shards + 1))
+
+
 def discounts(counts: dict[int, int]) -> list[float]:
     """d(1) to d(5) from the numbers of types by count: r* / r by Good and Turing, scaled so that counts
     above 5 keep all and the total given away is that of types seen once. Where the numbers do not allow
@@ -89,24 +106,45 @@ def _kept(counts: np.ndarray, shares: list[float]) -> np.ndarray:
     return share[np.minimum(counts, LARGEST_DISCOUNTED + 1)] * counts
 
 
-def _common_words(docs: DataFrame) -> np.ndarray:
-    """The hashes of the words that are one of COMMON_ONE_IN tokens of a task at least, and of all tokens, by
-    count. The list only shortens what is sent: whatever it holds, the scores are the same."""
+def _added(keys: np.ndarray, counts: np.ndarray, more: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rising keys with their counts after more such keys with theirs; those that are known keep their places."""
+    at = np.searchsorted(keys, more)
+    known = np.zeros(len(more), dtype=bool)
+    inside = at < len(keys)
+    known[inside] = keys[at[inside]] == more[inside]
+    counts[at[known]] += by[known]
+    return np.insert(keys, at[~known], more[~known]), np.insert(counts, at[~known], by[~known])
+
+
+def _word_counts(docs: DataFrame) -> tuple[DataFrame, int, int]:
+    """The words that are one of COMMON_ONE_IN tokens of a task at least, key and n; the tokens and bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for part in sliced(batch):
-                data, offsets = flat(part["text"])
-                starts, ends, _ = words(data, offsets)
-                keys, at = np.unique(np.concatenate((keys, Stretches(BYTE_KEYS[LOWER[data]]).of(starts, ends))), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate((counts, np.ones(len(starts))))).astype(np.int64)
-        often = counts * COMMON_ONE_IN >= counts.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(counts[often]), pa.array(np.where(np.arange(often.sum()) == 0, counts.sum(), 0))], names=["key", "n", "tokens"])
-
-    found = docs.select("text").mapInArrow(run, "key long, n long, tokens long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"))
+        keys, counts, size = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), 0
+        with kept_memory():
+            for batch in batches:
+                for part in sliced(batch):
+                    data, offsets = flat(part["text"])
+                    starts, ends, _ = words(data, offsets)
+                    of_part = np.unique(Stretches(BYTE_KEYS[LOWER[data]]).of(starts, ends), return_counts=True)
+                    keys, counts = _added(keys, counts, *of_part)
+                    size += len(data)
+        tokens = counts.sum()
+        often = counts * COMMON_ONE_IN >= tokens
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[often].view(np.int64)), "n": counts[often], "tokens": np.zeros(often.sum(), np.int64), "bytes": np.zeros(often.sum(), np.int64)})
+        yield pa.RecordBatch.from_pydict({"key": pa.array([None], pa.int64()), "n": [0], "tokens": [int(tokens)], "bytes": [size]})
+
+    found = docs.select("text").mapInArrow(run, "key long, n long, tokens long, bytes long")
+    found = found.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", "tokens", "bytes")])
     found = written(found, "common-words")  # else the words are counted twice
-    total = found.agg(F.sum("tokens")).first()[0] or 0
+    tokens, size = found.where("key is null").agg(F.sum("tokens"), F.sum("bytes")).first()
+    return found.where("key is not null").select("key", "n"), tokens or 0, size or 0
+
+
+def _common_words(docs: DataFrame, counted: tuple[DataFrame, int, int] | None = None) -> np.ndarray:
+    """The hashes of the words that are one of COMMON_ONE_IN tokens of a task at least, and of all tokens, by
+    count; counted: the _word_counts. The list only shortens what is sent: whatever it holds, the scores are the same."""
+    found, total, _ = counted or _word_counts(docs)
     found = found.where(F.col("n") * COMMON_ONE_IN >= total).orderBy(F.desc("n"), "key").select("key").toPandas()
     return found["key"].to_numpy(np.int64).view(U64)
 
@@ -125,7 +163,8 @@ def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]],
     last = np.zeros(len(token), dtype=bool)
     last[offsets[1:] - 1] = True
     token[~last] = np.concatenate([x[0] for x in held])
-    vocabulary, c = np.unique(np.append(token, START), return_inverse=True)
+    vocabulary, c = _numbered(np.append(token, START))
+    del token, last
     begin, c = c[-1], c[:-1]
     n_words = len(vocabulary)
     # words by shard, then by number: common ones by theirs, then others by hash
@@ -147,6 +186,7 @@ def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]],
     else:
         order = np.lexsort((a, c, place[b]))
     a, b, c, document = a[order], b[order], c[order], document[order]
+    del order
     pair_new = np.ones(len(a), dtype=bool)
     pair_new[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
     new = pair_new.copy()
@@ -158,18 +198,21 @@ def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]],
     a, b, c = a[at], b[at][pair_at], c[at][pair_at]
     cut = np.searchsorted(home[b], np.arange(shards + 1))
     ids, learns = pa.concat_arrays([x[2] for x in held]), np.packbits(np.concatenate([x[3] for x in held])).tobytes()
+    # the numbers of common words; those of others change from shard to shard, and only those that it uses are set
+    rank, used = (code + 1).astype(np.int32), np.zeros(n_words, dtype=bool)
     rows = []
     for shard in np.flatnonzero(np.diff(cut)):
         s, e = cut[shard], cut[shard + 1]
         t = pair_at[s], pair_at[e] if e < len(pair_at) else len(at)
         o = at[t[0]], at[t[1]] if t[1] < len(at) else len(document)
-        used = np.zeros(n_words, dtype=bool)
+        used[:] = False
         used[b[s:e]] = used[c[s:e]] = True
         third = a[t[0] : t[1]]
         used[third[third >= 0]] = True
         used &= rare
-        rank = np.where(rare, len(common) + np.cumsum(used), code + 1).astype(np.int32)
-        row = [int(shard), number, _pack(vocabulary[used]), _pack(rank[b[s:e]]), _squeezed(rank[c[s:e]]), _squeezed(n_third[s:e])]
+        others = np.flatnonzero(used)
+        rank[others] = np.arange(len(common) + 1, len(common) + 1 + len(others))
+        row = [int(shard), number, _pack(vocabulary[others]), _pack(rank[b[s:e]]), _squeezed(rank[c[s:e]]), _squeezed(n_third[s:e])]
         row += [_squeezed(np.where(third >= 0, rank[third], 0).astype(np.int32)), _squeezed(times[t[0] : t[1]]), _squeezed(document[o[0] : o[1]]), learns]
         rows.append([*row, None, None] if rows else [*row, ids.to_pylist(), _squeezed(sizes.astype(np.int32))])
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8, pa.list_(pa.int64()), pa.binary()]
@@ -181,18 +224,19 @@ def _asked(docs: DataFrame, shards: int, common: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, number = [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for part in sliced(batch):
-                data, offsets = flat(part["text"])
-                starts, ends, of_words = words(data, offsets)
-                held.append((Stretches(BYTE_KEYS[LOWER[data]]).of(starts, ends), np.diff(of_words), part["doc_id"].cast(pa.int64()), part["learns"].to_numpy(zero_copy_only=False).astype(bool)))
-                n += len(starts) + part.num_rows
-                if n >= SLICE_TOKENS:
-                    yield _slice_rows(held, number, shards, common.value)
-                    held, n, number = [], 0, number + 1
-                    give_back()
-        if held:
-            yield _slice_rows(held, number, shards, common.value)
+        with kept_memory():
+            for batch in batches:
+                for part in sliced(batch):
+                    data, offsets = flat(part["text"])
+                    starts, ends, of_words = words(data, offsets)
+                    held.append((Stretches(BYTE_KEYS[LOWER[data]]).of(starts, ends), np.diff(of_words), part["doc_id"].cast(pa.int64()), part["learns"].to_numpy(zero_copy_only=False).astype(bool)))
+                    n += len(starts) + part.num_rows
+                    if n >= SLICE_TOKENS:
+                        yield _slice_rows(held, number, shards, common.value)
+                        held, n, number = [], 0, number + 1
+                        give_back()
+            if held:
+                yield _slice_rows(held, number, shards, common.value)
 
     return docs.mapInArrow(run, _ASKED)
 
@@ -206,9 +250,10 @@ class _Shard:
         shift = np.concatenate(([0], np.cumsum([len(x) for x in hashes])))[:-1]
         self.words, place = np.unique(np.concatenate([common, *hashes]), return_inverse=True)
         del hashes
+        place = place.astype(np.int32)
+        self.common = place[: len(common)].copy()  # the common words among them
         at = lambda s, number: place[np.where(number > len(common), number + s, number) - 1]
         n_words = len(self.words)
-        place = place.astype(np.int32)
         numbers = lambda name: column(name, lambda x: _numbers(x, np.int32))
         pair = np.concatenate([at(s, x).astype(np.int64) * n_words + at(s, y) for s, x, y in zip(shift, column("first", lambda x: _unpack(x, np.int32)), numbers("second"))])
         pairs, pair = np.unique(pair, return_inverse=True)
@@ -242,14 +287,18 @@ class _Shard:
 def _needed(own: _Shard, shards: int, common: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """The last tokens whose counts a shard needs, by the shard that counts them: its number, which of the common words
     there are needed (true or false), these words, and the others."""
-    needed = own.words[np.unique(own.c)]
-    listed = np.isin(needed, common)
-    asked_for = np.isin(common, needed[listed])
-    home, rare = _home(common, shards), needed[~listed]
-    of_rare = _home(rare, shards)
-    for to in np.union1d(home[asked_for], of_rare):
-        there = home == to
-        yield int(to), asked_for[there], common[there & asked_for], rare[of_rare == to]
+    needed = np.zeros(len(own.words), dtype=bool)
+    needed[own.c] = True
+    asked_for = needed[own.common]
+    needed[own.common] = False
+    rare = own.words[needed]
+    by_home, of_common = _dealt(_home(common, shards), shards)
+    rare_by_home, of_rare = _dealt(_home(rare, shards), shards)
+    for to in range(shards):
+        there = by_home[of_common[to] : of_common[to + 1]]
+        others = rare[rare_by_home[of_rare[to] : of_rare[to + 1]]]
+        if len(others) or asked_for[there].any():
+            yield to, asked_for[there], common[there[asked_for[there]]], others
 
 
 def _counts(shards: int, common: Broadcast):
@@ -257,7 +306,7 @@ def _counts(shards: int, common: Broadcast):
     it needs, and how many n-grams have each count (7: and all above, with the sum of their counts). The count of a
     token that occurs once is not told: it is what a shard replies for tokens that it was told nothing of."""
 
-    def run(asked: pa.Table) -> pa.Table:
+    def made(asked: pa.Table) -> pa.Table:
         own = _Shard(asked, common.value)
         shard = asked["shard"][0].as_py()
         rows = []
@@ -277,10 +326,12 @@ def _counts(shards: int, common: Broadcast):
             types, total = np.bincount(of_class, minlength=1), np.bincount(of_class, weights=n, minlength=1)
             rows += [(0, None, None, None, None, order, int(r), int(types[r]), int(total[r])) for r in np.flatnonzero(types)]
         kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 3, pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        del own
-        give_back()
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=["to", "origin", "common", "keys", "counts", "order", "r", "types", "total"])
 
+    def run(asked: pa.Table) -> pa.Table:
+        with kept_memory():
+            return made(asked)
+
     return run
 
 
@@ -357,7 +408,7 @@ def _evaluated(smooth: float, stored: bool, shards: int, common: Broadcast):
     kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), *[pa.binary()] * (len(_ANSWER) + len(_MODEL))]
     names = [x.split()[0] for x in _TOLD.split(", ")]
 
-    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+    def made(asked: pa.Table, told: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.schema(list(zip(names, kinds))).empty_table()
         own = _Shard(asked, common.value)
@@ -371,20 +422,28 @@ def _evaluated(smooth: float, stored: bool, shards: int, common: Broadcast):
         kept = _kept(own.n2, single.shares[2])
         total, factor, alpha1 = _backoff(own.b, len(own.words), own.n2, kept, p1[own.c])
         p2 = np.where(own.n2 > 0, kept * factor[own.b] / total[own.b], alpha1[own.b] * p1[own.c])
+        del p1, kept, total, factor
 
         real = np.flatnonzero(own.a >= 0)
         pair = own.pair[real]
         histories, history = np.unique(own.a[real].astype(np.int64) * len(own.words) + own.b[pair], return_inverse=True)
         history = history.astype(np.int32)
-        kept = _kept(own.n3[real], single.shares[3])
-        total, factor, alpha2 = _backoff(history, len(histories), own.n3[real], kept, p2[pair])
+        n3, lower = own.n3[real], p2[pair]
+        del pair
+        kept = _kept(n3, single.shares[3])
+        total, factor, alpha2 = _backoff(history, len(histories), n3, kept, lower)
+        kept *= factor[history]
+        kept /= total[history]
+        lower *= alpha2[history]
+        np.copyto(lower, kept, where=n3 > 0)
+        del kept, total, factor
         p = p2[own.pair]
-        p[real] = np.where(own.n3[real] > 0, kept * factor[history] / total[history], alpha2[history] * p2[pair])
+        p[real] = lower
+        del p2, lower, real
 
         # each asked trigram's own values, and their sums by document
-        p = np.log10(p)
+        np.log10(p, out=p)
         of_base = np.log10((of_word + smooth) / (single.tokens + smooth * (single.types + 1)))
-        del kept, total, factor, pair, p1, p2
         rows = []
         for i, (slice_id, ids, sizes) in enumerate(zip(*[asked[c].to_pylist() for c in ("slice", "ids", "sizes")])):
             at = own.at[own.edges[i] : own.edges[i + 1]]
@@ -394,9 +453,11 @@ def _evaluated(smooth: float, stored: bool, shards: int, common: Broadcast):
             some = np.flatnonzero(np.bincount(document))
             blobs = [_pack(some.astype(np.int32)), _squeezed(sums[0][some].astype(np.int32)), *[_squeezed(np.rint(-x[some] * STEPS).astype(np.int64)) for x in sums[1:]]]
             rows.append(["answer", int(asked["shard"][0].as_py()), slice_id, ids, sizes, single.tokens, *blobs, *[None] * len(_MODEL)])
+        del p, of_base
+        own.at = own.times = own.document = None
         if stored:
             held = [np.flatnonzero(x) for x in (own.n1 > 0, own.n2 > 0, (own.n3 > 0) & (own.a >= 0))]
-            often = np.flatnonzero(np.bincount(history, weights=own.n3[real], minlength=len(histories)) > 1)
+            often = np.flatnonzero(np.bincount(history, weights=n3, minlength=len(histories)) > 1)
             small = lambda x: _squeezed(x.astype(np.int32))
             of_pair = np.cumsum(own.n2 > 0) - 1
             used = np.zeros(len(own.words), dtype=bool)
@@ -406,10 +467,12 @@ def _evaluated(smooth: float, stored: bool, shards: int, common: Broadcast):
             model += [small(place[histories[often] // len(own.words)]), small(place[histories[often] % len(own.words)]), _squeezed(alpha2[often])]
             model += [_pack(of_pair[own.pair[held[2]]].astype(np.int32)), small(place[own.a[held[2]]]), small(own.n3[held[2]])]
             rows.append(["model", int(asked["shard"][0].as_py()), None, None, None, single.tokens, *[None] * len(_ANSWER), *model])
-        del own
-        give_back()
         return pa.table([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
+    def run(asked: pa.Table, told: pa.Table) -> pa.Table:
+        with kept_memory():
+            return made(asked, told)
+
     return run
 
 
@@ -449,9 +512,9 @@ def learned_and_scored(docs: DataFrame, learns: Column, smooth: float = 0.1, sto
     Other columns of docs may be any, and are not returned."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(learns, F.lit(False)).alias("learns"))
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-size // SHARD_BYTES))
-    common = spark.sparkContext.broadcast(_common_words(docs))
+    counted = _word_counts(docs)
+    shards = max(1, -(-counted[2] // SHARD_BYTES))
+    common = spark.sparkContext.broadcast(_common_words(docs, counted))
     asked = _asked(docs, shards, common)
     told = asked.groupBy("shard").applyInArrow(_counts(shards, common), "to int, origin int, common binary, keys binary, counts binary, order int, r int, types long, total long")
     replies = told.groupBy("to").applyInArrow(_replies(shards, common), "shard int, home int, counts binary, order int, r int, types long, total long")

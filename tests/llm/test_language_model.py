@@ -169,3 +169,40 @@ def test_shards_tell_each_other_neither_common_words_nor_counts_of_one():
         for to, _, first, second in language_model._needed(own, shards, often):
             assert got[i, to] == [of_word.get(x, 1) for x in [*first.tolist(), *second.tolist()]]
     assert sum(len(x or b"") for c in ("common", "keys", "counts") for x in told[c].to_pylist()) < 8.5 * len(rare) + 10 * len(often)
+
+
+def test_texts_are_read_for_counting_words_and_for_slices_alone(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [*enumerate(_texts()), (None, " \t"), (3, "the same line")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).mapInArrow(seen, "doc_id long, text string")
+    assert language_model.learned_and_scored(docs, F.lit(True)).scores.count() == len(rows)
+    assert read.value == 2 * len(rows)
+
+
+def test_word_counts_of_tasks_add_up(spark):
+    texts = ["a b a", None, "", "b c", " \n ", "a"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    found, tokens, size = language_model._word_counts(docs)
+    assert sorted(r["n"] for r in found.collect()) == [1, 2, 3]
+    assert (tokens, size) == (6, sum(len(t or "") for t in texts))
+    rng = np.random.default_rng(5)
+    keys, counts = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    parts = [np.zeros(0, dtype=np.uint64), *[rng.integers(0, 60, n).astype(np.uint64) << np.uint64(58) for n in (1, 40, 300)]]
+    for part in parts:
+        keys, counts = language_model._added(keys, counts, *np.unique(part, return_counts=True))
+    want = np.unique(np.concatenate(parts), return_counts=True)
+    assert keys.tolist() == want[0].tolist() and counts.tolist() == want[1].tolist()
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_values_are_numbered_in_rising_order(n):
+    values = np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64)[np.random.default_rng(1).integers(0, max(n // 3, 1), n)]
+    different, place = language_model._numbered(values)
+    want = np.unique(values, return_inverse=True)
+    assert different.tolist() == want[0].tolist() and place.tolist() == want[1].tolist()
