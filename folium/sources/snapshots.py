@@ -200,7 +200,8 @@ def sync_notes(spark: SparkSession, root: str, files: DataFrame, actions: bool =
 
     def change(last: int) -> dict[str, DataFrame]:
         held = held_notes(spark, root, last) if "notes" in read_all(spark, root, number=last) else notes_sync.nothing(files)
-        made = notes_sync.synced(files, held, keep)._asdict()
-        return made | ({"actions": notes_sync.touched(files, held)} if actions else {})
+        changes = keep(notes_sync.touched(files, held))
+        made = notes_sync.synced(files, held, keep, changes)._asdict()
+        return made | ({"actions": changes} if actions else {})
 
     return updated(spark, root, change)

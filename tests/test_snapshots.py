@@ -110,3 +110,31 @@ def test_notes_that_did_not_change_are_not_parsed(spark, tmp_path):
     # nothing at all, and an empty library
     snapshots.sync_notes(spark, root, now.limit(0), actions=True)
     assert snapshots.read(spark, root, "events").count() == 0 and snapshots.read(spark, root, "actions").count() == 2
+
+
+def test_a_sync_reads_the_files_for_changes_and_once_to_parse(spark, tmp_path):
+    root, read = f"file://{tmp_path}", spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = {x: note(f"d{x}", x) for x in "abcdef"}
+    for turn, changed in enumerate(({}, {"a": note("db", "z"), "g": note("dg", "g")})):
+        files = files_of(spark, texts | changed)
+        snapshots.sync_notes(spark, root, files.mapInArrow(seen, files.schema), actions=True)
+        assert read.value == 2 * (6 + 7 * turn)
+    same_as_rebuilt(spark, root, texts | changed)
+
+
+def test_files_that_share_a_descriptor_or_have_none(spark, tmp_path):
+    root, held = f"file://{tmp_path}", [("a", "1", note("d", "x", "p")), ("a", "2", note("e", "y", "q")), (None, "3", note("f", "z")), ("b", "4", None), ("c", None, note("g", "w", "r"))]
+    snapshots.sync_notes(spark, root, spark.createDataFrame(held, FILE), actions=True)
+    found = snapshots.held_notes(spark, root)
+    header = lambda t: f'{{"title": "{t}"}}'
+    want = [("a", h, header(t)) for h in "12" for t in "pq"] + [("b", "4", "{}"), ("c", None, header("r"))]
+    assert rows(found.notes, "descriptor", "hash", "header") == sorted(map(str, want))
+    assert rows(found.tables, "descriptor", "table_id", "metadata.domain") == sorted(map(str, [("a", 0, "d"), ("a", 0, "e"), ("c", 0, "g")]))
+    assert rows(found.events, "descriptor", "domain") == sorted(map(str, 2 * [("a", "d"), ("a", "e"), ("c", "g")]))
+    assert rows(snapshots.read(spark, root, "actions"), "descriptor", "action") == sorted(map(str, [("a", "new"), ("a", "new"), ("b", "new"), ("c", "new"), (None, "new")]))
