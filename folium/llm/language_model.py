op1_katz_backoff: words are ordered by shard in 64 bits

Symptom: with many shards a slice's pairs could go to wrong shards; seen in a test with 2^20 shards and 4000 words, no run of that size was made.
Evidence: shard times words was a 32-bit product, which wraps beyond 2^31.
Fix: the product is of 64 bits.
Effect, together with 1 more commit on this code: at 0.6 GB of input CPU 724 -> 493 s, shuffle 1.31 -> 1.31 GB, spill 0.00 -> 0.00 GB, read 1.99 -> 1.39 GB, longest task 21 -> 9 s, most memory of a task 168 -> 168 MB; at 6 GB of input CPU 15224 -> 4767 s, shuffle 17.60 -> 17.60 GB, spill 0.00 -> 0.00 GB, read 23.50 -> 17.48 GB, longest task 207 -> 38 s, most memory of a task 537 -> 537 MB; with hot keys, at 0.6 GB of input CPU 505 -> 275 s, shuffle 0.42 -> 0.42 GB, spill 0.00 -> 0.00 GB, read 0.60 -> 0.42 GB, longest task 10 -> 6 s, most memory of a task 101 -> 101 MB.

@@ -173,7 +173,7 @@ def _slice_rows(held: list[tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]],
     found = np.minimum(np.searchsorted(common, vocabulary, sorter=by_hash), max(len(common) - 1, 0))
     code = np.full(n_words, -1) if not len(common) else np.where(common[by_hash[found]] == vocabulary, by_hash[found], -1)
     rare = code < 0
-    by_home = np.argsort(home * (len(common) + n_words + 1) + np.where(rare, len(common) + np.arange(n_words), code), kind="stable")
+    by_home = np.argsort(home.astype(np.int64) * (len(common) + n_words + 1) + np.where(rare, len(common) + np.arange(n_words), code), kind="stable")
     place = np.empty(n_words, dtype=np.int64)
     place[by_home] = np.arange(n_words)
     b, a = np.empty_like(c), np.full_like(c, -1)

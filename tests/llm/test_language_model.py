@@ -206,3 +206,12 @@ def test_values_are_numbered_in_rising_order(n):
     different, place = language_model._numbered(values)
     want = np.unique(values, return_inverse=True)
     assert different.tolist() == want[0].tolist() and place.tolist() == want[1].tolist()
+
+
+def test_slices_deal_pairs_to_their_shards_among_many():
+    shards, none = 1 << 20, np.zeros(0, dtype=np.uint64)
+    tokens = language_model.mix(np.arange(1, 4001, dtype=np.uint64))
+    rows = language_model._slice_rows([(tokens, np.array([4000]), pa.array([1], pa.int64()), np.array([True]))], 0, shards, none).to_pylist()
+    of_row = [language_model._unpack(r["words"])[language_model._unpack(r["first"], np.int32) - 1] for r in rows]
+    assert sum(map(len, of_row)) == 4001 and len({r["shard"] for r in rows}) == len(rows)
+    assert all((language_model._home(words, shards) == r["shard"]).all() for words, r in zip(of_row, rows))
